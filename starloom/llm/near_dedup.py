@@ -11,7 +11,8 @@ darts are looked at, however many elements there are. With ``weighted`` an eleme
 2. Bands of the signature are joined by their smallest member: a star, never all pairs in a band. Verified stars join
    documents to components; first one star a document, then all others between components.
 3. What is left are members of one band in different components. They are compared inside the band, in blocks of
-   bounded size, by their signatures, and verified. So a link is lost only where the signatures miss it.
+   bounded size: by their signatures, then exactly, and only links that join components leave the block. So a link
+   is lost only where the signatures miss it.
 
 Verification is the exact Jaccard similarity of the shingle sets (32-bit hashes). Components are found by rounds of
 joins; no link is brought to the driver.
@@ -39,7 +40,7 @@ from starloom.llm.store import materialize, raw_documents
 WORDS, SIMILARITY = 5, 0.8
 K, BANDS = 64, 16
 AGREE = 35  # coordinates of 64: at similarity 0.8 fewer agree once in a million
-BLOCK = 512  # members of a band compared at once
+BLOCK = 1024  # members of a band compared at once
 FIRST = 6  # the first region of ranks ends at 2**-FIRST, each next one is as long as all before
 
 
@@ -144,9 +145,7 @@ def _similar(similarity: float) -> Callable:
         for batch in batches:
             good = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
-                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+                good.append(_alike(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32), similarity))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
@@ -172,19 +171,49 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(batches: pa.Table) -> pa.Table:
-    """Pairs of different components inside a block pair of a band whose signatures agree enough."""
-    ids, comp, n, side = (np.asarray(batches.column(c).combine_chunks()) for c in ("id", "comp", "n", "side"))
-    sig = np.frombuffer(b"".join(x.as_py() for x in batches.column("sig")), np.uint32).reshape(len(ids), K)
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # 2: the block against itself
-    a, b = [], []
-    for i in left:
-        other = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) >= SIMILARITY * np.maximum(n[right], n[i]))]
-        other = other[(sig[other] == sig[i]).sum(1) >= AGREE]
-        a += [ids[i]] * len(other)
-        b += ids[other].tolist()
-    a, b = np.array(a, np.int64), np.array(b, np.int64)
-    return pa.table([np.minimum(a, b), np.maximum(a, b)], ["a", "b"])
+def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
+def _across(similarity: float) -> Callable:
+    """Links between the components inside a block pair of a band: a spanning forest of them, not all pairs.
+
+    A pair is looked at in the first band that its signatures share, if they agree enough, and verified at once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, comp, n, side, nth = (np.asarray(table.column(c).combine_chunks()) for c in ("id", "comp", "n", "side", "nth"))
+        sig = np.frombuffer(b"".join(x.as_py() for x in table.column("sig")), np.uint32).reshape(len(ids), BANDS, K // BANDS)
+        sets = table.column("shingles")
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # 2: the block against itself
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        links = []
+        for i in left:
+            other = right[right > i] if side[i] == 2 else right
+            other = other[(comp[other] != comp[i]) & (np.minimum(n[other], n[i]) >= similarity * np.maximum(n[other], n[i]))]
+            same = sig[other] == sig[i]
+            other = other[(same.sum((1, 2)) >= AGREE) & (same.all(2).argmax(1) == nth[i])]
+            mine = None
+            for o in other:
+                a, b = find(int(comp[i])), find(int(comp[o]))
+                if a == b:
+                    continue
+                mine = np.frombuffer(sets[int(i)].as_py(), np.uint32) if mine is None else mine
+                if _alike(mine, np.frombuffer(sets[int(o)].as_py(), np.uint32), similarity):
+                    root[max(a, b)] = min(a, b)
+                    links.append((min(ids[i], ids[o]), max(ids[i], ids[o])))
+        cols = list(zip(*links, strict=True)) or [(), ()]
+        return pa.table([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
@@ -196,9 +225,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
     texts = materialize(texts, "texts")
     rows = K // BANDS * 4
     keys = F.array(*(F.xxhash64(F.lit(b), F.substring("sig", 1 + b * rows, rows)) for b in range(BANDS)))
-    bands = texts.where("n > 0").select(F.explode(keys).alias("band"), "id")
+    bands = texts.where("n > 0").select(F.posexplode(keys).alias("nth", "band"), "id")
     stars = bands.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("members")).where("members > 1")
-    shared = materialize(bands.join(stars, "band").select("band", "a", "members", F.col("id").alias("b")), "bands")
+    shared = materialize(bands.join(stars, "band").select("nth", "band", "a", "members", F.col("id").alias("b")), "bands")
     found = shared.select("b").distinct()
     few = found.count() <= 200_000  # a checked size: 8 bytes each; beyond it the join shuffles
     sets = materialize(signed.select("id", "shingles").join(F.broadcast(found) if few else found, F.col("id") == F.col("b"), "left_semi"), "sets")
@@ -217,16 +246,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
         links = links.union(more)
         comp = components(links)
     # members of one band in different components
-    member = shared.select("band", F.col("b").alias("id"), "members").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    member = shared.select("nth", "band", F.col("b").alias("id"), "members").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = member.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     open_ = member.join(mixed, "band", "left_semi").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # block i meets block j for i <= j: a row goes to each pair that its block is in
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_ = open_.withColumn("side", F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    with_sig = open_.join(texts.select("id", "n", "sig"), "id").select("band", "i", "j", "id", "comp", "n", "side", "sig")
-    rest = with_sig.groupBy("band", "i", "j").applyInArrow(_across, "a long, b long").distinct()
-    rest = materialize(_verified(rest.join(pairs, ["a", "b"], "left_anti"), sets, similarity), "links")
+    whole_rows = open_.join(texts.select("id", "n", "sig"), "id").join(sets, "id").select("nth", "band", "i", "j", "id", "comp", "n", "side", "sig", "shingles")
+    rest = materialize(whole_rows.groupBy("band", "i", "j").applyInArrow(_across(similarity), "a long, b long"), "links")
     if not rest.isEmpty():
         comp = components(links.union(rest))
     whole = texts.select("text_hash", "id", "least").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
