@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starloom.llm import bytesets as B
-from starloom.llm.store import materialize
+from starloom.llm.store import materialize, small_batches
 
 MIN_WORDS, MAX_REPEATED = 10, 20  # base rule: at least so many words, at most so many percent of them repeated
 WINDOW = 5
 MAX_RATE = 0.5
+BROADCAST_HOSTS = 100_000
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True  # fixed values of the contract
@@ -104,7 +105,7 @@ def _prior(hosts: DataFrame) -> tuple[float, float]:
 
 def host_rules(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     """doc_id, host, the five counts, base_failed, host_rate (shrunk) and kept of every document."""
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("source").cast("string")).alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
+    raw = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("source").cast("string")).alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
     rows = raw.mapInArrow(_measured, "doc_id long, host string, " + ", ".join(f"{k} long" for k in METRICS))
     rows = materialize(rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))), "measured")
     hosts = rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
@@ -126,9 +127,10 @@ def _failing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keep_documents(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     """The rows of ``docs`` that pass with their hosts, all columns as they were. Texts are not shuffled: rows are
     measured where they are read, and only the hosts' verdicts are joined to them."""
-    bad = host_rules(docs, max_rate).where(F.col("host_rate") > max_rate).select(F.col("host").alias("__bad")).distinct()
-    marked = docs.mapInArrow(_failing, T.StructType([*docs.schema.fields, T.StructField("__failed", T.BooleanType())]))
-    return marked.where("not __failed").join(bad, F.lower(F.col("source").cast("string")).eqNullSafe(F.col("__bad")), "left_anti").select(*docs.columns)
+    bad = materialize(host_rules(docs, max_rate).where(F.col("host_rate") > max_rate).select(F.col("host").alias("__bad")).distinct(), "bad_hosts")
+    marked = small_batches(docs).mapInArrow(_failing, T.StructType([*docs.schema.fields, T.StructField("__failed", T.BooleanType())])).where("not __failed")
+    few = bad.count() <= BROADCAST_HOSTS  # a checked size; beyond it the join shuffles
+    return marked.join(F.broadcast(bad) if few else bad, F.lower(F.col("source").cast("string")).eqNullSafe(F.col("__bad")), "left_anti").select(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:

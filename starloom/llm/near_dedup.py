@@ -24,15 +24,13 @@ Columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from starloom.llm import bytesets as B
 from starloom.llm.store import materialize, raw_documents
@@ -133,8 +131,7 @@ def _signed(weighted: bool) -> Callable:
                 borders = np.searchsorted(sets, np.arange(j - i + 1, dtype=np.uint64) << np.uint64(32))
                 low = sets.astype(np.uint32)
                 part = batch.slice(i, j - i)
-                text = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(offsets[i:j], offsets[i + 1 : j + 1], strict=True)]
-                cols = [pa.array(text, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(np.diff(borders)), pa.array([low[a:b].tobytes() for a, b in zip(borders, borders[1:], strict=False)], pa.binary())]
+                cols = [part.column("text_hash"), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(np.diff(borders)), pa.array([low[a:b].tobytes() for a, b in zip(borders, borders[1:], strict=False)], pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], ["doc_id", "text_hash", "sig", "n", "shingles"])
 
     return run
@@ -216,10 +213,15 @@ def _across(similarity: float) -> Callable:
     return run
 
 
+def _text_hash() -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
     """doc_id, text_hash and class_id (the smallest doc_id of the class) of every document."""
     spark = docs.sparkSession
-    signed = raw_documents(docs).mapInArrow(_signed(weighted), "doc_id long, text_hash binary, sig binary, n long, shingles binary")
+    raw = raw_documents(docs).select("doc_id", F.unhex(F.md5("raw")).alias("text_hash"), "raw")
+    signed = raw.mapInArrow(_signed(weighted), "doc_id long, text_hash binary, sig binary, n long, shingles binary")
     signed = materialize(signed.withColumn("id", F.monotonically_increasing_id()), "signed")
     texts = signed.groupBy("text_hash").agg(F.min("id").alias("id"), F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max("sig").alias("sig"))
     texts = materialize(texts, "texts")
@@ -264,21 +266,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the smallest doc_id, all columns as they were."""
-    first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    rows = materialize(near_duplicates(docs), "classes")
+    first = rows.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
     # of rows with this doc_id in a class, one text and of that one row stays
-    chosen = first.groupBy("class_id").agg(F.min("text_hash").alias("keep_hash"), F.first("doc_id").alias("keep_id"))
-    marked = docs.mapInArrow(_hashed, T.StructType([*docs.schema.fields, T.StructField("__hash", T.BinaryType())]))
+    chosen = first.groupBy("class_id").agg(F.min("text_hash").alias("keep_hash"), F.first("doc_id").alias("keep_id"), F.count("*").alias("rows"))
+    chosen = materialize(chosen, "chosen")
+    marked = docs.withColumn("__hash", _text_hash())
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (F.col("__hash") == F.col("keep_hash"))
     kept = marked.join(chosen.select("keep_id", "keep_hash"), same, "left_semi")
-    one = Window.partitionBy("doc_id", "__hash").orderBy(F.lit(0))
-    return kept.withColumn("__nth", F.row_number().over(one)).where("__nth = 1").select(*docs.columns)
-
-
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        values, offsets = B.bytes_of(batch.column("text"))
-        text = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(offsets, offsets[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.binary())], [*batch.schema.names, "__hash"])
+    if not chosen.where("rows > 1").isEmpty():  # else each row is there once, and no window is needed
+        one = Window.partitionBy("doc_id", "__hash").orderBy(F.lit(0))
+        kept = kept.withColumn("__nth", F.row_number().over(one)).where("__nth = 1")
+    return kept.select(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from starloom.llm import bytesets as B
-from starloom.llm.store import materialize, shuffle_partitions
+from starloom.llm.store import materialize, shuffle_partitions, small_batches
 
 END = 1
 DIMS, BITS = 4, 12
@@ -168,7 +168,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str, pattern: str, length: int
 
     ``tokenizer`` is the file of the tokenizers library, ``ranks`` the same vocabulary for tiktoken, ``pattern`` its split.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     tokens = texts.mapInArrow(_tokenized(tokenizer, ranks, pattern), "doc_id long, key long, n long, ids binary")
     tokens = materialize(tokens.withColumn("row", F.monotonically_increasing_id()), "tokens")
     order = ("key", "doc_id", "row")

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.llm import bytesets as B
+from starloom.llm.store import small_batches
 
 BITS, SCALE = 18, 16.0
 MAX_ROWS, EPOCHS, THRESHOLD = 20_000, 2, 0.3
@@ -92,13 +93,13 @@ def fit(rows: list[tuple[int, float, np.ndarray, np.ndarray]]) -> np.ndarray:
     for _ in range(EPOCHS):
         for i in rng.permutation(order):
             _, y, place, count = rows[i]
-            x = np.append(count * (SCALE / max(1, count.sum())), 1.0)
-            model.update(np.append(place, 1 << BITS), x, y)
+            x = np.append(count * (SCALE / max(1, int(count.sum()))), 1.0)
+            model.update(np.append(place.astype(np.int64), 1 << BITS), x, y)
     return model.weights(slice(None)).astype(np.float32)
 
 
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [(r["doc_id"], float(r["label"]), np.frombuffer(r["places"], np.uint32).astype(np.int64), np.frombuffer(r["counts"], np.uint32).astype(np.float64)) for b in batches for r in b.to_pylist()]
+    rows = [(r["doc_id"], float(r["label"]), np.frombuffer(r["places"], np.uint32), np.frombuffer(r["counts"], np.uint32)) for b in batches for r in b.to_pylist()]
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array([fit(rows).tobytes()], pa.binary())], ["weights"])
 
@@ -112,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> np.nd
         share = int(1e6 * 0.95 * max_rows / total)
         usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).limit(max_rows)
     # at most max_rows ids and labels: a proven bound for the broadcast
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     chosen = texts.join(F.broadcast(usable), "doc_id").mapInArrow(_featured, "doc_id long, label int, places binary, counts binary")
     found = chosen.repartition(1).mapInArrow(_fitted, "weights binary").collect()
     return np.frombuffer(found[0][0], np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
@@ -141,7 +142,7 @@ def _scored(weights, keep: float | None) -> Callable:
 def classify(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     out = texts.mapInArrow(_scored(sent, None), "doc_id long, text string, __score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -149,7 +150,7 @@ def classify(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that score at least the threshold, all columns as they were."""
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    return docs.mapInArrow(_scored(sent, THRESHOLD), docs.schema)
+    return small_batches(docs).mapInArrow(_scored(sent, THRESHOLD), docs.schema)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starloom.llm.store import small_batches
+
 MARK = "▁"
 TABLE = 300_000  # chunks in a task's table
 
@@ -79,7 +81,7 @@ def _mapped(model: str, columns: Callable[[str, str], tuple], schema: pa.Schema)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:

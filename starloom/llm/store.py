@@ -79,9 +79,20 @@ def chunk_of(keys: list[int], *cols: str) -> Column:
     return F.element_at(F.array(*map(F.lit, keys)), at + 1)
 
 
+ROWS = 1000  # rows of text that go to Python at once
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, with the session's batches to Python cut to ``ROWS``: texts are long, and executors hold several."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ROWS:
+        conf.set(name, str(ROWS))
+    return docs
+
+
 def raw_documents(docs: DataFrame) -> DataFrame:
     """doc_id and the UTF-8 bytes of text (null: empty); all other columns are left out."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
 
 
 def sum_blobs(df: DataFrame, dtype: str, lanes: int = 8):

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.llm import bytesets as B
-from starloom.llm.store import chunk_of, even_keys, materialize, materialize_by_key, shuffle_partitions
+from starloom.llm.store import chunk_of, even_keys, materialize, materialize_by_key, shuffle_partitions, small_batches
 
 _POS = 24  # bits for a position in a block
 _ANSWER = "chunk int, kind int, keys binary, docs binary, flags binary"
@@ -284,7 +284,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, carry: bool = False) -> Data
     keys = even_keys(n, 2)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
-    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("raw"), chunk_of(keys, "doc_id", "text").alias("chunk"), *rows)
+    parts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("raw"), chunk_of(keys, "doc_id", "text").alias("chunk"), *rows)
     chunks = materialize_by_key(parts, "chunk", "chunks", n)
     bare = chunks.select("chunk", "doc_id", "raw")
     pair = lambda answers, f, schema, left=bare: left.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(f, schema)
