@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.llm import bytesets as B
-from starloom.llm.store import materialize, raw_documents
+from starloom.llm.store import materialize, raw_documents, temporary
 
 WORDS, SIMILARITY = 5, 0.8
 K, BANDS = 64, 16
@@ -266,11 +266,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the smallest doc_id, all columns as they were."""
-    rows = materialize(near_duplicates(docs), "classes")
-    first = rows.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    # of rows with this doc_id in a class, one text and of that one row stays
-    chosen = first.groupBy("class_id").agg(F.min("text_hash").alias("keep_hash"), F.first("doc_id").alias("keep_id"), F.count("*").alias("rows"))
-    chosen = materialize(chosen, "chosen")
+    with temporary(docs.sparkSession):  # signatures and sets are not needed any more once it is chosen
+        first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+        # of rows with this doc_id in a class, one text and of that one row stays
+        chosen = first.groupBy("class_id").agg(F.min("text_hash").alias("keep_hash"), F.first("doc_id").alias("keep_id"), F.count("*").alias("rows"))
+        chosen = materialize(chosen, "chosen", stay=True)
     marked = docs.withColumn("__hash", _text_hash())
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (F.col("__hash") == F.col("keep_hash"))
     kept = marked.join(chosen.select("keep_id", "keep_hash"), same, "left_semi")
