@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from starloom.llm.store import even_keys, materialize, shuffle_partitions, sum_blobs
 
-BLOCK, QUERIES, HEAD, EVERY = 1024, 16_384, 16, 50
+BLOCK, QUERIES, HEAD, EVERY = 1024, 4096, 16, 50
+DENSE = 0.02  # share of open pairs from which a block is multiplied as a whole
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -97,11 +98,23 @@ def search(blocks: list[tuple], queries: tuple, rotation: np.ndarray, k: int) ->
         y = x @ rotation
         bound = turned[active, :HEAD] @ y[:, :HEAD].T + rest[active, None] * np.linalg.norm(y[:, HEAD:], axis=1)[None, :]
         slack = (length[active, None] * norms[None, :]) * 1e-9 + 1e-6
-        a, c = np.nonzero((bound + slack >= limit[active, None]) & (q_row[active, None] != row[None, :]))
-        who = active[a]
-        score = np.empty(len(who), np.int64)
-        for s in range(0, len(who), 1 << 16):
-            score[s : s + (1 << 16)] = _exact(q[who[s : s + (1 << 16)]], x[c[s : s + (1 << 16)]])
+        open_ = (bound + slack >= limit[active, None]) & (q_row[active, None] != row[None, :])
+        if open_.mean() > DENSE and np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(1, q.shape[1]) < 2**53:
+            # many pairs: one product, exact as all sums are integers below 2**53; only a query's best k of the block stay
+            s = np.where(open_, q[active] @ x.T, -np.inf)
+            least = limit[active]
+            if s.shape[1] > k:
+                least = np.maximum(least, np.partition(s, -k, axis=1)[:, -k])
+            a, c = np.nonzero((s >= least[:, None]) & open_)
+            who, score = active[a], s[a, c].astype(np.int64)
+        else:
+            a, c = np.nonzero(open_)
+            who = active[a]
+            score = np.empty(len(who), np.int64)
+            for b in range(0, len(who), 1 << 16):
+                score[b : b + (1 << 16)] = _exact(q[who[b : b + (1 << 16)]], x[c[b : b + (1 << 16)]])
+            wins = score >= limit[who]
+            who, c, score = who[wins], c[wins], score[wins]
         # a query's best so far and its new ones, ranked
         touched = np.unique(who)
         old = np.repeat(touched, best_s.shape[1])
@@ -167,7 +180,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = EVERY) -> DataFrame:
     # every group of queries meets every shard: the stated query set against all rows, in blocks
     n_groups = groups.count()
     shards = even_keys(parts, 1)
-    numbered = queries.withColumn("g", F.row_number().over(Window.orderBy("group")) - 1).drop("group")  # a row for each 16,384 queries
+    numbered = queries.withColumn("g", F.row_number().over(Window.orderBy("group")) - 1).drop("group")  # a row for each 4,096 queries
     units = F.array(*map(F.lit, shards))
     right = numbered.withColumn("shard", F.explode(units))
     at = F.element_at(units, (F.pmod(F.col("nth"), F.lit(parts)) + 1).cast("int"))
