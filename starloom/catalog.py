@@ -13,23 +13,10 @@ from pyspark.sql import functions as F
 from starloom.functions.robust import clip, median_or_zero, robust_z, round6, teff_from_bv
 from starloom.operators import frames as O
 from starloom.operators import joins as J
+from starloom.registry import QUERIES, SQL, on_px, query
 from starloom.sources.frames import FRAMES, PX_SQL, SIDE, pixels, table
 from starloom.streaming.events import windowed_counts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return register
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
@@ -38,10 +25,6 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-def on_px(name: str, f: Callable[[DataFrame], DataFrame], sql: str | None) -> None:
-    query(name, f"WITH {PX_SQL} {sql}" if sql else None)(lambda s, d: f(pixels(s, d)))
-
-
 METRICS_SQL = """med AS (SELECT *, median(v) OVER (PARTITION BY frame_id) AS m,
   coalesce(lead(v) OVER r, v) - coalesce(lag(v) OVER r, v) AS g FROM px WINDOW r AS (PARTITION BY frame_id, y ORDER BY x)),
 met AS (SELECT frame_id, any_value(m) AS background, 1.4826 * median(abs(v - m)) AS noise, median(g * g) AS energy FROM med GROUP BY 1)"""
@@ -90,20 +73,20 @@ on_px("w6_quantile_labels", lambda px: O.quantile_labels(O.metrics(px).select("f
 on_px("w11_gradients", lambda px: px.select("frame_id", "y", "x", round6((F.coalesce(F.lead("v").over(Window.partitionBy("frame_id", "y").orderBy("x")), "v") - F.coalesce(F.lag("v").over(Window.partitionBy("frame_id", "y").orderBy("x")), "v")) / 2).alias("gx")), "SELECT frame_id, y, x, round((coalesce(lead(v) OVER r, v) - coalesce(lag(v) OVER r, v)) / 2, 6) AS gx FROM px WINDOW r AS (PARTITION BY frame_id, y ORDER BY x)")
 
 
-def _stack_sql(iters: int, weight: str) -> str:
-    p = "PARTITION BY y, x"
-    parts = [f"k0 AS (SELECT y, x, v, {weight} AS w, count(*) OVER ({p}) AS n, TRUE AS keep, count(*) OVER ({p}) <= 2 AS stop FROM px WHERE v > 0)"]
+def stack_sql(iters: int, weight: str, keys: str = "y, x", source: str = "px") -> str:
+    p = f"PARTITION BY {keys}"
+    parts = [f"k0 AS (SELECT {keys}, v, {weight} AS w, count(*) OVER ({p}) AS n, TRUE AS keep, count(*) OVER ({p}) <= 2 AS stop FROM {source} WHERE v > 0)"]
     for i in range(iters):
         parts.append(f"a{i} AS (SELECT *, sum(keep::INT * w) OVER ({p}) AS v1, sum(keep::INT * w * w) OVER ({p}) AS v2, sum(keep::INT * w * v) OVER ({p}) AS sv FROM k{i})")
         parts.append(f"b{i} AS (SELECT *, sv / v1 AS mean, sqrt(sum(keep::INT * w * (v - sv / v1) ** 2) OVER ({p}) / (v1 - v2 / v1)) AS s FROM a{i})")
         parts.append(f"c{i} AS (SELECT *, CASE WHEN stop THEN keep ELSE coalesce(keep AND v >= mean - 2 * s AND v <= mean + 2 * s, keep) END AS nxt FROM b{i})")
         parts.append(f"d{i} AS (SELECT *, sum(nxt::INT) OVER ({p}) AS n1, sum(keep::INT) OVER ({p}) AS n0 FROM c{i})")
-        parts.append(f"k{i + 1} AS (SELECT y, x, v, w, n, nxt AS keep, stop OR n1 < ceil(0.5 * n) OR n1 = n0 AS stop FROM d{i})")
-    return ", " + ", ".join(parts) + f" SELECT y, x, round(coalesce(sum(keep::INT * w * v) / nullif(sum(keep::INT * w), 0), avg(v)), 4) AS v, CAST(sum(keep::INT) AS BIGINT) AS n_kept FROM k{iters} GROUP BY 1, 2"
+        parts.append(f"k{i + 1} AS (SELECT {keys}, v, w, n, nxt AS keep, stop OR n1 < ceil(0.5 * n) OR n1 = n0 AS stop FROM d{i})")
+    return ", " + ", ".join(parts) + f" SELECT {keys}, round(coalesce(sum(keep::INT * w * v) / nullif(sum(keep::INT * w), 0), avg(v)), 4) AS v, CAST(sum(keep::INT) AS BIGINT) AS n_kept FROM k{iters} GROUP BY ALL"
 
 
-on_px("r1_sigma_clip_stack", lambda px: O.stack(px), _stack_sql(3, "1.0"))
-on_px("r2_weighted_stack", lambda px: O.stack(px.withColumn("w", 1 / (F.col("frame_id") + 1).cast("double")), weighted=True), _stack_sql(3, "1.0 / (frame_id + 1)"))
+on_px("r1_sigma_clip_stack", lambda px: O.stack(px), stack_sql(3, "1.0"))
+on_px("r2_weighted_stack", lambda px: O.stack(px.withColumn("w", 1 / (F.col("frame_id") + 1).cast("double")), weighted=True), stack_sql(3, "1.0 / (frame_id + 1)"))
 OLA_SQL = f"SELECT y, x, CASE WHEN ws > 1e-6 THEN round(vs / ws, 4) END AS v FROM (SELECT y, x, sum(v * w) AS vs, sum(w) AS ws FROM (SELECT *, 0.25 * (1 - cos(2 * pi() * (y - trow * {O.STRIDE}) / {O.TILE - 1})) * (1 - cos(2 * pi() * (x - tcol * {O.STRIDE}) / {O.TILE - 1})) AS w FROM t) GROUP BY 1, 2)"
 on_px("r8_overlap_add", lambda px: O.overlap_add(O.tile_of(px.where("frame_id = 0"), SIDE)), f", {TILES_SQL.replace('FROM px,', 'FROM (SELECT * FROM px WHERE frame_id = 0) px,')} {OLA_SQL}")
 on_px("r10_tile_seams", lambda px: O.seams(px, SIDE).select(*(F.col(c).cast("long").alias(c) for c in ("r1", "c1", "r2", "c2", "samples")), "mean_abs", "p95_abs"), f""", {TILES_SQL}, u AS (SELECT trow, tcol, y, x, avg(v) AS v FROM t GROUP BY 1, 2, 3, 4), w AS (SELECT trow, tcol, y, x, v - median(v) OVER (PARTITION BY trow, tcol) AS v FROM u),
@@ -290,3 +273,6 @@ def _capped(s, d):
     q = clip(median_or_zero(F.col("value")) / 100 - 1, -3.0, 3.0)
     e = table(s, d, "events").groupBy("user_id").agg(F.exp(1.7 * q).alias("w"))
     return e.select("user_id", round6(F.least("w", 2 * F.median("w").over(Window.partitionBy()))).alias("w"))
+
+
+from starloom.plans import analytics, stencils  # noqa: E402, F401  (they register theirs, some upon the SQL above)

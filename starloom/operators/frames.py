@@ -83,13 +83,13 @@ def local_weights(px: DataFrame, side: int) -> DataFrame:
     return z.select("frame_id", "trow", "tcol", round6(F.exp(q)).alias("weight"))
 
 
-def stack(px: DataFrame, low: float = 2.0, high: float = 2.0, iters: int = 3, min_frac: float = 0.5, weighted: bool = False) -> DataFrame:
+def stack(px: DataFrame, low: float = 2.0, high: float = 2.0, iters: int = 3, min_frac: float = 0.5, weighted: bool = False, keys: tuple[str, ...] = ("y", "x")) -> DataFrame:
     """Sigma-clipped (weighted) mean of each pixel over frames; invalid values (not finite, or not above 0) take no part.
 
     Each round clips at mean -/+ sigmas of what is kept. Where fewer than ceil(min_frac * n) survive, the rounds stop
     with the over-clipped set; an empty set falls back to the mean of all valid values.
     """
-    pixel = Window.partitionBy("y", "x")
+    pixel = Window.partitionBy(*keys)
     w = F.col("w") if weighted else F.lit(1.0)
     df = px.where(~F.isnan("v") & (F.col("v") > 0)).withColumn("w", w)
     df = df.withColumn("n", F.count("*").over(pixel)).withColumn("keep", F.lit(True)).withColumn("stop", F.col("n") <= 2)
@@ -104,7 +104,7 @@ def stack(px: DataFrame, low: float = 2.0, high: float = 2.0, iters: int = 3, mi
         df = df.withColumn("stop", F.col("stop") | (F.col("left") < F.ceil(min_frac * F.col("n"))) | (F.col("left") == F.col("had"))).withColumn("keep", F.col("next"))
     k = F.col("keep").cast("double") * F.col("w")
     mean = F.coalesce(F.sum(k * F.col("v")) / F.nullif(F.sum(k), F.lit(0.0)), F.avg("v"))
-    return df.groupBy("y", "x").agg(F.round(mean, 4).alias("v"), F.sum(F.col("keep").cast("long")).alias("n_kept"))
+    return df.groupBy(*keys).agg(F.round(mean, 4).alias("v"), F.sum(F.col("keep").cast("long")).alias("n_kept"))
 
 
 def overlap_add(tiles: DataFrame) -> DataFrame:
