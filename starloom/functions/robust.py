@@ -60,3 +60,16 @@ def teff_from_bv(bv: Column) -> Column:
     """Effective temperature from B-V (Ballesteros 2012), B-V held to [-0.4, 2]."""
     x = 0.92 * clip(bv, -0.4, 2.0)
     return 4600 * (1 / (x + 1.7) + 1 / (x + 0.62))
+
+
+def huber_weight(z: Column, k: float = 1.345) -> Column:
+    return F.when(F.abs(z) <= k, 1.0).otherwise(k / F.abs(z))
+
+
+def tukey_weight(z: Column, k: float = 4.685) -> Column:
+    return F.when(F.abs(z) < k, F.pow(1 - F.pow(z / k, F.lit(2.0)), F.lit(2.0))).otherwise(0.0)
+
+
+def smoothstep(c: Column, low: float, high: float) -> Column:
+    t = clip((c - low) / (high - low), 0.0, 1.0)
+    return t * t * (3 - 2 * t)

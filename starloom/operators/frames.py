@@ -163,3 +163,12 @@ def kmeans(points: DataFrame, dims: list[str], k: int, rounds: int = 20) -> Data
             break
         centres = new
     return points.withColumn("label", label().cast("int"))
+
+
+def tile_grid(spark, height: int, width: int, size: int, overlap: float) -> DataFrame:
+    """trow, tcol, y0, x0 of a grid of tiles; the last row and column are moved inwards, a frame below one tile has one."""
+    step = max(1, int(size * (1 - overlap)))
+    n = lambda length: 1 + max(0, -(-(length - size) // step))
+    at = lambda i, length: F.least(F.col(i) * step, F.lit(max(length - size, 0))).cast("int")
+    rows = spark.range(n(height)).select(F.col("id").cast("int").alias("trow")).withColumn("tcol", F.explode(F.sequence(F.lit(0), F.lit(n(width) - 1))))
+    return rows.select("trow", "tcol", at("trow", height).alias("y0"), at("tcol", width).alias("x0"))

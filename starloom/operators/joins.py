@@ -64,3 +64,31 @@ def repeated_median(points: DataFrame, key: str) -> DataFrame:
     inner = slopes.groupBy(key, "id").agg(F.median("s").alias("s"))
     slope = inner.groupBy(key).agg(F.median("s").alias("slope"))
     return points.join(slope, key).groupBy(key).agg(F.round(F.first("slope"), 6).alias("slope"), F.round(F.median(F.col("y") - F.col("slope") * F.col("x")), 4).alias("intercept"))
+
+
+def around(points: DataFrame, px: DataFrame, r: int) -> DataFrame:
+    """points(frame_id, py, px_, ...) with every pixel at most ``r`` away on both axes (dy, dx, v): an equi join on exploded places."""
+    steps = F.sequence(F.lit(-r), F.lit(r))
+    at = points.withColumn("dy", F.explode(steps)).withColumn("dx", F.explode(steps)).withColumn("y", F.col("py") + F.col("dy")).withColumn("x", F.col("px_") + F.col("dx"))
+    return at.join(px, ["frame_id", "y", "x"])
+
+
+def aperture_flux(stars: DataFrame, px: DataFrame, r: float, inner: float, outer: float, least: int) -> DataFrame:
+    """sky: median of the annulus (stars with fewer than ``least`` pixels there go); flux: sum of v - sky within ``r``."""
+    near = around(stars, px, math.ceil(max(r, outer))).withColumn("d", F.sqrt((F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")).cast("double")))
+    ring, disk = F.col("d").between(inner, outer), F.when(F.col("d") <= r, F.col("v"))
+    found = near.groupBy("frame_id", "rank").agg(F.median(F.when(ring, F.col("v"))).alias("sky"), F.count_if(ring).alias("n"), F.sum(disk).alias("s"), F.count(disk).alias("k"))
+    return found.where(F.col("n") >= least).select("frame_id", "rank", F.round("sky", 6).alias("sky"), F.round(F.col("s") - F.col("k") * F.col("sky"), 3).alias("flux"))
+
+
+def ring_fill(cells: DataFrame, least: int) -> DataFrame:
+    """A null cell takes the median of the valid ones in square rings around it, as many rings as hold ``least`` of them.
+
+    As in nearest_cells, the coarse grid's valid cells travel in one array of bounded size."""
+    valid = cells.where("v is not null").agg(F.collect_list(F.struct("cy", "cx", "v")).alias("valid"))
+    ring = lambda c: F.greatest(F.abs(c.cy - F.col("cy")), F.abs(c.cx - F.col("cx")))
+    df = cells.join(F.broadcast(valid)).withColumn("reach", F.get(F.array_sort(F.transform("valid", ring)), F.least(F.lit(least), F.size("valid")) - 1))
+    df = df.withColumn("near", F.array_sort(F.transform(F.filter("valid", lambda c: ring(c) <= F.col("reach")), lambda c: c.v)))
+    mid = F.size("near") / 2
+    both = (F.get("near", F.ceil(mid - 1).cast("int")) + F.get("near", F.floor(mid).cast("int"))) / 2
+    return df.select("cy", "cx", F.round(F.coalesce("v", both), 6).alias("v"))
