@@ -12,7 +12,12 @@ from starloom.operators import joins as J
 from starloom.registry import SQL, on_px, query
 from starloom.sources.frames import FRAMES, PX_SQL, SIDE, table
 
-FRAME = Window.partitionBy("frame_id")
+def by_frame():
+    return Window.partitionBy("frame_id")
+
+
+def along_row():
+    return Window.partitionBy("frame_id", "y").orderBy("x")
 
 
 def part(name: str) -> str:
@@ -29,8 +34,8 @@ def local(px: DataFrame) -> DataFrame:
 
 
 # projections and predicates
-on_px("f2_output_scale", lambda px: px.withColumn("b", F.median("v").over(FRAME)).select("frame_id", "y", "x", F.round(F.col("v") / F.col("b") * F.when((F.col("y") % 2 == 0) & (F.col("x") % 2 == 0), 1000.0).otherwise(800.0) + 32, 5).alias("v")), "SELECT frame_id, y, x, round(v / median(v) OVER (PARTITION BY frame_id) * CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN 1000 ELSE 800 END + 32, 5) AS v FROM px")
-on_px("f3_normalize_to", lambda px: px.withColumn("b", F.median("v").over(FRAME)).select("frame_id", "y", "x", round6(F.col("v") * 1000 / F.greatest("b", F.lit(1e-6))).alias("scaled"), round6(F.col("v") + 1000 - F.col("b")).alias("shifted")), "SELECT frame_id, y, x, round(v * 1000 / greatest(median(v) OVER f, 1e-6), 6) AS scaled, round(v + 1000 - median(v) OVER f, 6) AS shifted FROM px WINDOW f AS (PARTITION BY frame_id)")
+on_px("f2_output_scale", lambda px: px.withColumn("b", F.median("v").over(by_frame())).select("frame_id", "y", "x", F.round(F.col("v") / F.col("b") * F.when((F.col("y") % 2 == 0) & (F.col("x") % 2 == 0), 1000.0).otherwise(800.0) + 32, 5).alias("v")), "SELECT frame_id, y, x, round(v / median(v) OVER (PARTITION BY frame_id) * CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN 1000 ELSE 800 END + 32, 5) AS v FROM px")
+on_px("f3_normalize_to", lambda px: px.withColumn("b", F.median("v").over(by_frame())).select("frame_id", "y", "x", round6(F.col("v") * 1000 / F.greatest("b", F.lit(1e-6))).alias("scaled"), round6(F.col("v") + 1000 - F.col("b")).alias("shifted")), "SELECT frame_id, y, x, round(v * 1000 / greatest(median(v) OVER f, 1e-6), 6) AS scaled, round(v + 1000 - median(v) OVER f, 6) AS shifted FROM px WINDOW f AS (PARTITION BY frame_id)")
 on_px("f4_valid", lambda px: px.select("frame_id", "y", "x", F.when(~F.isnan("v") & (F.col("v") > 40000), round6(F.col("v"))).alias("v")), "SELECT frame_id, y, x, CASE WHEN NOT isnan(v) AND v > 40000 THEN round(v, 6) END AS v FROM px")
 on_px("f5_canvas_mask", lambda px: px.join(px.groupBy("y", "x").agg(F.count("*").alias("n")).where(f"n >= {FRAMES - 1}"), ["y", "x"], "left").select("frame_id", "y", "x", F.when(F.col("n").isNotNull(), round6(F.col("v"))).otherwise(0.0).alias("v")), f"SELECT frame_id, y, x, CASE WHEN count(*) OVER (PARTITION BY y, x) >= {FRAMES - 1} THEN round(v, 6) ELSE 0 END AS v FROM px")
 on_px("f8_probe_frames", lambda px: px.where(F.col("frame_id").isin([i * (FRAMES - 1) // 4 for i in range(5)]) & F.col("y").between(4, 11) & F.col("x").between(4, 11)).select("frame_id", "y", "x", round6(F.col("v")).alias("v")), f"SELECT frame_id, y, x, round(v, 6) AS v FROM px WHERE frame_id IN (SELECT i * {FRAMES - 1} // 4 FROM range(5) t(i)) AND y BETWEEN 4 AND 11 AND x BETWEEN 4 AND 11")
@@ -76,8 +81,7 @@ def _merged(s, d):
     return sums.join(table(s, d, "nation"), sums.k == F.col("n_nationkey")).groupBy(F.col("n_name").alias("folder")).agg(F.sum("frames").alias("frames"), F.sum("errors").alias("errors"))
 
 
-_ROW = Window.partitionBy("frame_id", "y").orderBy("x")
-on_px("a29_line_means", lambda px: px.withColumn("g", F.abs(F.coalesce(F.lead("v").over(_ROW), "v") - F.coalesce(F.lag("v").over(_ROW), "v")) / 2).groupBy("x").agg(F.round(F.avg("g"), 3).alias("mean")), "SELECT x, round(avg(g), 3) AS mean FROM (SELECT x, abs(coalesce(lead(v) OVER r, v) - coalesce(lag(v) OVER r, v)) / 2 AS g FROM px WINDOW r AS (PARTITION BY frame_id, y ORDER BY x)) GROUP BY 1")
+on_px("a29_line_means", lambda px: px.withColumn("g", F.abs(F.coalesce(F.lead("v").over(along_row()), "v") - F.coalesce(F.lag("v").over(along_row()), "v")) / 2).groupBy("x").agg(F.round(F.avg("g"), 3).alias("mean")), "SELECT x, round(avg(g), 3) AS mean FROM (SELECT x, abs(coalesce(lead(v) OVER r, v) - coalesce(lag(v) OVER r, v)) / 2 AS g FROM px WINDOW r AS (PARTITION BY frame_id, y ORDER BY x)) GROUP BY 1")
 on_px("a30_seam_summary", lambda px: O.seams(px, SIDE).agg(F.count("*").alias("pairs"), F.round(F.avg("mean_abs"), 3).alias("mean"), round6(nearest_rank(F.col("mean_abs"), 0.95)).alias("p95"), round6(F.max("mean_abs")).alias("worst")), None)
 SQL["a30_seam_summary"] = f"SELECT count(*) AS pairs, round(avg(mean_abs), 3) AS mean, round(list_sort(list(mean_abs))[CAST(floor(0.95 * (count(*) - 1) + 0.5) AS INT) + 1], 6) AS p95, round(max(mean_abs), 6) AS worst FROM {part('r10_tile_seams')}"
 on_px("k4_worst_seams", lambda px: longs(O.seams(px, SIDE).select("r1", "c1", "r2", "c2", "mean_abs").orderBy(F.col("mean_abs").desc(), "r1", "c1", "r2", "c2").limit(3), "r1", "c1", "r2", "c2"), None)
@@ -242,8 +246,13 @@ def on_warps(name: str, sql: str, f) -> None:
 C = F.col
 on_warps("x13_invert_warp", "SELECT id, round(a11 / (a00 * a11 - a01 * a10), 6) AS b00, round((a01 * ty - a11 * tx) / (a00 * a11 - a01 * a10), 5) + 0.0 AS bx, round((a10 * tx - a00 * ty) / (a00 * a11 - a01 * a10), 5) + 0.0 AS by FROM w", lambda w: w.withColumn("det", C("a00") * C("a11") - C("a01") * C("a10")).select("id", F.round(C("a11") / C("det"), 6).alias("b00"), (F.round((C("a01") * C("ty") - C("a11") * C("tx")) / C("det"), 5) + 0.0).alias("bx"), (F.round((C("a10") * C("tx") - C("a00") * C("ty")) / C("det"), 5) + 0.0).alias("by")))
 on_warps("x14_canvas_bounds", ", k AS (SELECT a00 * x + a01 * y + tx AS cx, a10 * x + a11 * y + ty AS cy FROM w, (VALUES (0, 0), (511, 0), (0, 383), (511, 383)) c(x, y)) SELECT CAST(floor(min(cx)) AS BIGINT) AS x0, CAST(floor(min(cy)) AS BIGINT) AS y0, CAST(ceil(max(cx)) AS BIGINT) AS x1, CAST(ceil(max(cy)) AS BIGINT) AS y1 FROM k", lambda w: w.withColumn("c", F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (0, 511) for y in (0, 383))))).select((C("a00") * C("c.x") + C("a01") * C("c.y") + C("tx")).alias("cx"), (C("a10") * C("c.x") + C("a11") * C("c.y") + C("ty")).alias("cy")).agg(F.floor(F.min("cx")).alias("x0"), F.floor(F.min("cy")).alias("y0"), F.ceil(F.max("cx")).alias("x1"), F.ceil(F.max("cy")).alias("y1")))
-_HALF = (C("a00") < 0) & (C("a11") < 0)
-on_warps("x16_shift", "SELECT id, a00 < 0 AND a11 < 0 AS half_turn, round(CASE WHEN a00 < 0 AND a11 < 0 THEN sqrt((tx - 511) ** 2 + (ty - 383) ** 2) ELSE sqrt(tx * tx + ty * ty) END, 5) AS shift FROM w", lambda w: w.select("id", _HALF.alias("half_turn"), F.round(F.when(_HALF, F.hypot(C("tx") - 511, C("ty") - 383)).otherwise(F.hypot("tx", "ty")), 5).alias("shift")))
+
+
+def half_turn():
+    return (C("a00") < 0) & (C("a11") < 0)
+
+
+on_warps("x16_shift", "SELECT id, a00 < 0 AND a11 < 0 AS half_turn, round(CASE WHEN a00 < 0 AND a11 < 0 THEN sqrt((tx - 511) ** 2 + (ty - 383) ** 2) ELSE sqrt(tx * tx + ty * ty) END, 5) AS shift FROM w", lambda w: w.select("id", half_turn().alias("half_turn"), F.round(F.when(half_turn(), F.hypot(C("tx") - 511, C("ty") - 383)).otherwise(F.hypot("tx", "ty")), 5).alias("shift")))
 on_warps("g15_dithering", "SELECT round(avg((sqrt(tx * tx + ty * ty) >= 10)::INT), 6) AS share FROM w", lambda w: w.agg(F.round(F.avg((F.sqrt(C("tx") * C("tx") + C("ty") * C("ty")) >= 10).cast("double")), 6).alias("share")))
 on_warps("v4_registration_report", "SELECT id, round(degrees(atan2(a01, a00)), 5) AS rotation, round(sqrt(a00 * a00 + a01 * a01), 6) AS scale FROM w", lambda w: w.select("id", F.round(F.degrees(F.atan2("a01", "a00")), 5).alias("rotation"), F.round(F.hypot("a00", "a01"), 6).alias("scale")))
 on_warps("f13_identity", "SELECT id, abs(a00 - 1) < 1e-6 AND abs(a11 - 1) < 1e-6 AND abs(a01) < 1e-6 AND abs(a10) < 1e-6 AND abs(tx) < 1e-6 AND abs(ty) < 1e-6 AS same FROM w", lambda w: w.select("id", (F.greatest(F.abs(C("a00") - 1), F.abs(C("a11") - 1), F.abs("a01"), F.abs("a10"), F.abs("tx"), F.abs("ty")) < 1e-6).alias("same")))
