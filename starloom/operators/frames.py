@@ -107,11 +107,11 @@ def stack(px: DataFrame, low: float = 2.0, high: float = 2.0, iters: int = 3, mi
     return df.groupBy(*keys).agg(F.round(mean, 4).alias("v"), F.sum(F.col("keep").cast("long")).alias("n_kept"))
 
 
-def overlap_add(tiles: DataFrame) -> DataFrame:
-    """Tiles blended with two-dimensional Hann windows; null where the windows sum to nothing."""
+def overlap_add(tiles: DataFrame, keys: tuple[str, ...] = ("y", "x")) -> DataFrame:
+    """Tiles blended with two-dimensional Hann windows (times their column w, if there); null where these sum to nothing."""
     w = hann(F.col("y") - F.col("trow") * STRIDE, TILE) * hann(F.col("x") - F.col("tcol") * STRIDE, TILE)
-    s = tiles.withColumn("hw", w).groupBy("y", "x").agg(F.sum(F.col("v") * F.col("hw")).alias("vs"), F.sum("hw").alias("ws"))
-    return s.select("y", "x", F.when(F.col("ws") > 1e-6, F.round(F.col("vs") / F.col("ws"), 4)).alias("v"))
+    s = tiles.withColumn("hw", w * F.col("w") if "w" in tiles.columns else w).groupBy(*keys).agg(F.sum(F.col("v") * F.col("hw")).alias("vs"), F.sum("hw").alias("ws"))
+    return s.select(*keys, F.when(F.col("ws") > 1e-6, F.round(F.col("vs") / F.col("ws"), 4)).alias("v"))
 
 
 def seams(px: DataFrame, side: int) -> DataFrame:
