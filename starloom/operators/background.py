@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.functions.robust import MAD_TO_SIGMA
@@ -47,3 +47,92 @@ def subtract(px: DataFrame, model: Column, block: int, limit: float = 1.15) -> D
     spread = lambda c: F.percentile(c, 0.9) - F.percentile(c, 0.1)
     better = blocks.agg((spread("new") <= limit * spread("old")).alias("__ok"))
     return df.join(F.broadcast(better)).withColumn("v", F.when(F.col("__ok"), F.col("__v")).otherwise(F.col("v"))).select(*px.columns)
+
+
+KERNELS = {
+    "multiquadric": (lambda d, s: np.sqrt(d * d + s * s), lambda d, s: F.sqrt(d * d + s * s)),
+    "gaussian": (lambda d, s: np.exp(-d * d / (2 * s * s)), lambda d, s: F.exp(-d * d / (2 * s * s))),
+    "thinplate": (lambda d, s: d * d * np.log(d + s), lambda d, s: d * d * F.ln(d + s)),
+}
+
+
+def _grid(cells: DataFrame) -> np.ndarray:
+    """y, x, v of the coarse grid's valid cells (some hundred rows whatever the image)."""
+    g = cells.where("v is not null and not isnan(v)").orderBy("y", "x").select("y", "x", "v").toPandas()
+    return g.to_numpy(float)
+
+
+def _radial_fit(g: np.ndarray, kernel: str, reach: float, ridges: tuple[float, ...]) -> tuple[np.ndarray, float]:
+    """Coefficients (one a cell) and rms: the strongest ridge that stays within a fifth of the cells' own scatter, else
+    the one that fits best."""
+    far = np.hypot(g[:, None, 0] - g[None, :, 0], g[:, None, 1] - g[None, :, 1])
+    design, v = KERNELS[kernel][0](far, reach), g[:, 2] - np.median(g[:, 2])
+    limit = max(0.15, 0.2 * MAD_TO_SIGMA * np.median(np.abs(v - np.median(v))))
+    tried = [(robust_fit(design, v, r), r) for r in sorted(ridges)]
+    scored = [(c, float(np.sqrt(np.mean((v - design @ c) ** 2)))) for c, _ in tried]
+    within = [t for t in scored if t[1] <= limit]
+    return within[-1] if within else min(scored, key=lambda t: t[1])
+
+
+def radial(cells: DataFrame, kernel: str = "multiquadric", reach: float | None = None, ridges: tuple[float, ...] = tuple(1e-6 * 3.0**i for i in range(6))) -> tuple[Column, float]:
+    """The radial-basis surface through a coarse grid as an expression of y and x, and its rms; ``reach`` defaults to
+    the grid's spacing. Coefficients travel in the plan as one array, so the expression stays small."""
+    g = _grid(cells)
+    if len(g) < 3:
+        return F.lit(0.0), 0.0
+    step = np.diff(np.unique(g[:, 0]))
+    reach = reach or float(step.min() if len(step) else 1.0)
+    c, rms = _radial_fit(g, kernel, reach, ridges)
+    node = F.array(*(F.array(F.lit(float(a)), F.lit(float(b)), F.lit(float(k))) for (a, b, _), k in zip(g, c, strict=True)))
+    far = lambda n: F.sqrt((F.col("y") - n[0]) * (F.col("y") - n[0]) + (F.col("x") - n[1]) * (F.col("x") - n[1]))
+    return F.lit(float(np.median(g[:, 2]))) + F.aggregate(node, F.lit(0.0), lambda s, n: s + n[2] * KERNELS[kernel][1](far(n), reach)), rms
+
+
+def surface(cells: DataFrame, method: str = "rbf", degree: int = 2, worst: float = 0.25) -> tuple[Column, str]:
+    """The surface by ``method`` (rbf or poly) and the method used: rbf gives way to a polynomial that fits better if
+    its rms is above ``worst``."""
+    if method == "poly":
+        return polynomial(cells, degree), "poly"
+    model, rms = radial(cells)
+    if rms > worst:
+        other = polynomial(cells, degree)
+        off = cells.where("v is not null").agg(F.sqrt(F.avg(F.pow(F.col("v") - other, F.lit(2.0))))).first()[0]
+        if off is not None and off < rms:
+            return other, "poly"
+    return model, "rbf"
+
+
+def autotune(cells: DataFrame, every: int = 5, degrees: tuple[int, ...] = (1, 2, 3), kernels: tuple[str, ...] = tuple(KERNELS), reaches: tuple[float, ...] = (1.0, 2.0)) -> DataFrame:
+    """trial, method, degree, kernel, reach, rms of all settings, fitted without each ``every``-th cell and measured on
+    these; the best has rank 1, ties go to the simpler (earlier) trial. One task fits one setting on the coarse grid."""
+    spark = cells.sparkSession
+    trials = [("poly", d, None, None) for d in degrees] + [("rbf", None, k, r) for k in kernels for r in reaches]
+    table = spark.createDataFrame([(i, *t) for i, t in enumerate(trials)], "trial int, method string, degree int, kernel string, reach double")
+    g = _grid(cells)
+    scored = table.repartition(len(trials), "trial").mapInPandas(_held_out(g, every), "trial int, method string, degree int, kernel string, reach double, rms double")
+    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.round("rms", 6), "trial")))
+
+
+def _held_out(g: np.ndarray, every: int):
+    def run(batches):
+        test = np.arange(len(g)) % every == every - 1
+        fit, out = g[~test], g[test]
+        step = np.diff(np.unique(g[:, 0]))
+        unit, size, mid = float(step.min() if len(step) else 1.0), max(np.ptp(g[:, :2]) if len(g) else 1.0, 1.0), g[:, :2].sum(0) / max(len(g), 1)
+        base = lambda p, degree: np.stack([((p[:, 0] - mid[0]) / size) ** i * ((p[:, 1] - mid[1]) / size) ** j for i, j in powers(degree)], 1)
+        for trials in batches:
+            rms = []
+            for t in trials.itertuples():
+                if len(fit) < 3 or not len(out):
+                    rms.append(float("inf"))
+                    continue
+                if t.method == "poly":
+                    got = base(out, int(t.degree)) @ robust_fit(base(fit, int(t.degree)), fit[:, 2])
+                else:
+                    far = np.hypot(out[:, None, 0] - fit[None, :, 0], out[:, None, 1] - fit[None, :, 1])
+                    c, _ = _radial_fit(fit, t.kernel, t.reach * unit, tuple(1e-6 * 3.0**i for i in range(6)))
+                    got = KERNELS[t.kernel][0](far, t.reach * unit) @ c + np.median(fit[:, 2])
+                rms.append(float(np.sqrt(np.mean((out[:, 2] - got) ** 2))))
+            yield trials.assign(rms=rms)
+
+    return run
