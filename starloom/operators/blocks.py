@@ -210,6 +210,18 @@ def warp(px: DataFrame, warps: DataFrame, height: int, width: int, block: int =
     return dealt.groupBy("frame_id", "__by", "__bx").applyInPandas(run, "frame_id long, y long, x long, v double")
 
 
+def warp_mosaic(px: DataFrame, warps: DataFrame, height: int, width: int, block: int = BLOCK) -> DataFrame:
+    """:func:`warp` for mosaics: each of the four planes of a 2 x 2 cell is sampled on its own, so colours never mix."""
+    plane = F.col("y") % 2 * 2 + F.col("x") % 2
+    planes = px.select((F.col("frame_id") * 4 + plane).alias("frame_id"), F.floor(F.col("y") / 2).alias("y"), F.floor(F.col("x") / 2).alias("x"), "v")
+    four = warps.withColumn("p", F.explode(F.array(*map(F.lit, range(4))))).withColumns({"oy": F.floor(F.col("p") / 2), "ox": F.col("p") % 2})
+    shift = lambda a, b, t, o: (F.col(a) * F.col("ox") + F.col(b) * F.col("oy") + F.col(t) - F.col(o)) / 2
+    four = four.select((F.col("frame_id") * 4 + F.col("p")).alias("frame_id"), "a00", "a01", shift("a00", "a01", "tx", "ox").alias("tx"), "a10", "a11", shift("a10", "a11", "ty", "oy").alias("ty"))
+    out = warp(planes, four, (height + 1) // 2, (width + 1) // 2, max(block // 2, 1))
+    p = F.col("frame_id") % 4
+    return out.select(F.floor(F.col("frame_id") / 4).alias("frame_id"), (F.col("y") * 2 + F.floor(p / 2)).alias("y"), (F.col("x") * 2 + p % 2).alias("x"), "v").where((F.col("y") < height) & (F.col("x") < width))
+
+
 def soft_threshold(tile: np.ndarray, alpha: float = 1.5, r: int = 15) -> np.ndarray:
     """A tile's difference from its box mean, shrunk by alpha sigmas (upper median); zeros stay."""
     rest = tile - (back := box_mean(tile, r))
