@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.functions.robust import MAD_TO_SIGMA
+from starloom.operators.joins import nearest_cells
 
 
 def robust_fit(design: np.ndarray, v: np.ndarray, ridge: float = 0.0, rounds: int = 8, k: float = 1.345) -> np.ndarray:
@@ -136,3 +137,29 @@ def _held_out(g: np.ndarray, every: int):
             yield trials.assign(rms=rms)
 
     return run
+
+
+def mesh_cells(px: DataFrame, size: int, sigmas: float = 3.0, least: int = 4) -> DataFrame:
+    """cells(cy, cx, v) of px(y, x, v): medians of pixels within ``sigmas`` of the whole median (bright sources fall out);
+    a cell with fewer than ``least`` of them takes the value of the nearest that has a value."""
+    m = px.join(F.broadcast(px.agg(F.median("v").alias("__m"))))
+    m = m.join(F.broadcast(m.agg((MAD_TO_SIGMA * F.median(F.abs(F.col("v") - F.col("__m")))).alias("__s"))))
+    calm = F.when((F.col("__s") <= 0) | (F.abs(F.col("v") - F.col("__m")) <= sigmas * F.col("__s")), F.col("v"))
+    cells = m.groupBy(F.floor(F.col("y") / size).alias("cy"), F.floor(F.col("x") / size).alias("cx")).agg(F.median(calm).alias("v"), F.count(calm).alias("n"))
+    return nearest_cells(cells.select("cy", "cx", F.when(F.col("n") >= least, F.col("v")).alias("v")))
+
+
+def mesh(px: DataFrame, cells: DataFrame, size: int) -> DataFrame:
+    """px with the column model: cells read bilinearly between their centres, level beyond the outermost ones.
+
+    Four equi joins with the coarse grid; Spark broadcasts it where it is small and shuffles both sides where not."""
+    ends = cells.agg(F.max("cy").alias("__hy"), F.max("cx").alias("__hx"))
+    df = px.join(F.broadcast(ends))
+    for c, h in (("y", "__hy"), ("x", "__hx")):
+        at = F.least(F.greatest((F.col(c) + 0.5) / size - 0.5, F.lit(0.0)), F.col(h).cast("double"))
+        df = df.withColumn(f"__{c}0", F.floor(at)).withColumn(f"__{c}1", F.least(F.col(f"__{c}0") + 1, F.col(h))).withColumn(f"__{c}f", at - F.floor(at))
+    for i in (0, 1):
+        for j in (0, 1):
+            df = df.join(cells.select(F.col("cy").alias(f"__y{i}"), F.col("cx").alias(f"__x{j}"), F.col("v").alias(f"__c{i}{j}")), [f"__y{i}", f"__x{j}"], "left")
+    side = lambda i: F.col(f"__c{i}0") * (1 - F.col("__xf")) + F.col(f"__c{i}1") * F.col("__xf")
+    return df.withColumn("model", side(0) * (1 - F.col("__yf")) + side(1) * F.col("__yf")).select(*px.columns, "model")

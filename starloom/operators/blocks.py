@@ -249,3 +249,22 @@ def on_tiles(tiles: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], *more
         return pd.DataFrame({"frame_id": key[0], "trow": key[1], "tcol": key[2], "y": y, "x": x, "v": kernel(a)[y - y.min(), x - x.min()]})
 
     return tiles.groupBy("frame_id", "trow", "tcol", *more).applyInPandas(run, "frame_id long, trow int, tcol int, y long, x long, v double")
+
+
+def chroma_denoise(rgb: DataFrame, strength: float = 0.7, r: int = 2, protect: float = 0.9, rounds: int = 1, block: int = BLOCK) -> DataFrame:
+    """rgb(frame_id, y, x, r, g, b) with its colour differences drawn towards their box means; luma stays as it is.
+
+    Pixels above the frame's ``protect`` quantile of luma (stars) keep their colours."""
+    luma = 0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b")
+    df = rgb.withColumn("luma", luma).withColumns({"cb": F.col("b") - F.col("luma"), "cr": F.col("r") - F.col("luma")})
+    both = df.select("frame_id", "y", "x", F.posexplode(F.array("cb", "cr")).alias("c", "v")).select((F.col("frame_id") * 2 + F.col("c")).alias("frame_id"), "y", "x", "v")
+    for _ in range(rounds):
+        both = box_blur(both, r, block)
+    key = ["frame_id", "y", "x"]
+    half = lambda c: F.max(F.when(F.col("frame_id") % 2 == c, F.col("v")))
+    smooth = both.groupBy(F.floor(F.col("frame_id") / 2).alias("frame_id"), "y", "x").agg(half(0).alias("sb"), half(1).alias("sr"))
+    limit = df.groupBy("frame_id").agg(F.percentile("luma", protect).alias("limit"))
+    df = df.join(smooth, key).join(limit, "frame_id").withColumn("k", F.when(F.col("luma") <= F.col("limit"), strength).otherwise(0.0))
+    cb, cr = (F.col(c) + F.col("k") * (F.col(s) - F.col(c)) for c, s in (("cb", "sb"), ("cr", "sr")))
+    red, blue = F.col("luma") + cr, F.col("luma") + cb
+    return df.select(*key, red.alias("r"), ((F.col("luma") - 0.299 * red - 0.114 * blue) / 0.587).alias("g"), blue.alias("b"))

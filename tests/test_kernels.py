@@ -94,3 +94,33 @@ def test_surface_ignores_outliers_and_flattens(spark):
     assert np.ptp(flat) < 1.0
     worse = grid(G.subtract(px, G.polynomial(coarse) * -1, 4), "v", image.shape)
     assert np.allclose(worse, image)  # the guard holds
+
+
+def test_mesh_follows_the_sky_under_stars(spark):
+    y, x = np.indices((24, 24))
+    sky = 100 + 0.5 * y + 0.25 * x
+    image = sky + 900.0 * ((y % 11 == 5) & (x % 7 == 3))
+    px = rows(spark, image).drop("frame_id")
+    model = grid(G.mesh(px, G.mesh_cells(px, 6), 6), "model", image.shape)
+    assert np.abs(model - sky)[4:-4, 4:-4].max() < 1.5
+    assert np.isfinite(model).all()
+
+
+def test_chroma_denoise_keeps_luma_and_stars(spark):
+    rng = np.random.default_rng(9)
+    data = [(0, y, x, *(float(v) for v in rng.normal(100, 10, 3) + (500 if (y, x) == (5, 5) else 0))) for y in range(12) for x in range(12)]
+    rgb = spark.createDataFrame(data, "frame_id long, y long, x long, r double, g double, b double")
+    old, new = ({(r.y, r.x): (r.r, r.g, r.b) for r in df.collect()} for df in (rgb, B.chroma_denoise(rgb, block=4)))
+    luma = lambda c: 0.299 * c[0] + 0.587 * c[1] + 0.114 * c[2]
+    assert all(luma(old[k]) == pytest.approx(luma(new[k])) for k in old)
+    assert new[5, 5] == pytest.approx(old[5, 5])
+    assert np.std([c[0] - c[2] for c in new.values()]) < 0.7 * np.std([c[0] - c[2] for c in old.values()])
+
+
+def test_kmeans_finds_three_groups(spark):
+    from starloom.operators import frames as O
+
+    data = [(i, float(10 * (i % 3) + 0.1 * (i // 3)), float(-5 * (i % 3))) for i in range(18)]
+    found = O.kmeans(spark.createDataFrame(data, "frame_id long, a double, b double"), ["a", "b"], 3).collect()
+    groups = {frozenset(r.frame_id for r in found if r.label == k) for k in range(3)}
+    assert groups == {frozenset(range(k, 18, 3)) for k in range(3)}
