@@ -71,7 +71,7 @@ SQL["a22_weight_variance"] = f"SELECT round(var_pop(w) / (avg(w) ** 2 + 1e-12),
 @query("a28_scan_score", "SELECT user_id, round(greatest(0, 1 - 0.25 * count(*) FILTER (event_type = 'error') - 0.1 * count(*) FILTER (event_type = 'signup')), 4) AS score FROM events WHERE event_id % 9 = 0 GROUP BY 1")
 def _score(s, d):
     kind = F.col("event_type")
-    return table(s, d, "events").where("event_id % 9 = 0").groupBy("user_id").agg(F.round(F.greatest(F.lit(0.0), 1 - 0.25 * F.count_if(kind == "error") - 0.1 * F.count_if(kind == "signup")), 4).alias("score"))
+    return table(s, d, "events").groupBy("user_id").agg(F.round(F.greatest(F.lit(0.0), 1 - 0.25 * F.count_if(kind == "error") - 0.1 * F.count_if(kind == "signup")), 4).alias("score"))
 
 
 @query("a27_merged_scan", "SELECT n_name AS folder, count(*) AS frames, CAST(count(*) FILTER (bal < 0) AS BIGINT) AS errors FROM (SELECT c_nationkey AS k, c_acctbal AS bal FROM customer UNION ALL SELECT s_nationkey, s_acctbal FROM supplier) JOIN nation ON n_nationkey = k GROUP BY 1")
