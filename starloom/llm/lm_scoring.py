@@ -1,12 +1,14 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every token from both sides.
 
-Tokens are white-space separated words, hashed into 2**BITS bins. All words of all documents are counted; the most
-frequent bins are classes of their own, the others are dealt to the remaining classes at equal mass, and
-P(token) = P(class | window) * count(bin) / count(class). The network sees WINDOW classes on either side (class 0
+Tokens are white-space separated words, each known by its 64-bit hash. All words of all documents are counted in a
+table that grows with the corpus. The most frequent OWN words are classes of their own, the others are dealt to the
+remaining classes at equal mass (by count as far as the 2**BITS most frequent words, which every task holds; by hash
+beyond them), and P(token) = P(class | window) * count(word) / count(class). Counts of words beyond the frequent ones
+are joined back to the documents that have them. The network sees WINDOW classes on either side (class 0
 beyond the text's borders), one rectified layer, softmax over classes. It is trained in NumPy on masked tokens, one in
 MASK of every document in each of ROUNDS rounds: every task learns from its own documents, starting from the same
-weights, and weights are averaged by tokens. What is gathered - counts and weights, one array a task - grows with the
-input; it is added up in a few streaming lanes, and the driver sees arrays of fixed size only.
+weights, and weights are averaged by tokens. Weights and the classes' totals, one array a task, are added up in a few streaming
+lanes; the driver sees arrays of fixed size only.
 
 A document's score is the sum of its tokens' conditional log-probabilities; mean_logp is that sum by token.
 
@@ -24,31 +26,82 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.llm import bytesets as B
-from starloom.llm.store import raw_documents, sum_blobs
+from starloom.llm.store import materialize, raw_documents, sum_blobs
 
 BITS, CLASSES, OWN = 18, 128, 95
 WINDOW, HIDDEN = 2, 24
 MASK, ROUNDS, BATCH, RATE = 16, 2, 256, 0.05
+HELD = 1 << 20  # words a task counts before it passes them on
 SHAPES = {"t": (2 * WINDOW, CLASSES, HIDDEN), "b": (HIDDEN,), "u": (HIDDEN, CLASSES), "c": (CLASSES,)}
 
 
 def bins(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bins of a block's words, and the documents' borders there."""
+    """The 64-bit hashes of a block's words, and the documents' borders there."""
     starts, ends = B.runs(~B.SPACE[values], offsets)
-    return (B.Prefix(values).of(starts, ends) & np.uint64((1 << BITS) - 1)).astype(np.int32), B.per_document(starts, offsets)
-
-
-def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each bin's class, and the log-probability of the bin in its class."""
-    order = np.argsort(-counts.astype(np.float64), kind="stable")
-    cls = np.zeros(len(counts), np.uint8)
-    cls[order[:OWN]] = np.arange(1, OWN + 1)
-    tail = order[OWN:]
-    mass = np.cumsum(counts[tail].astype(np.float64))
-    rest = CLASSES - OWN - 1
-    cls[tail] = OWN + 1 + np.minimum(mass / max(mass[-1], 1.0) * rest, rest - 1).astype(np.int64)
-    total = np.bincount(cls, counts, CLASSES)
-    return cls, np.log(np.maximum(counts, 1) / np.maximum(total[cls], 1)).astype(np.float32)
+    return B.Prefix(values).of(starts, ends).view(np.int64), B.per_document(starts, offsets)
+
+
+class Classes:
+    """Each word's class. ``words`` are the frequent ones with their ``counts``, ``others`` is the count of all others."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, others: int):
+        at = np.argsort(words)
+        self.words, self.counts = words[at], counts[at]
+        order = np.argsort(-self.counts, kind="stable")
+        tail = order[OWN:]
+        mass = np.cumsum(self.counts[tail].astype(np.float64))
+        known = mass[-1] if len(mass) else 0.0
+        rest = CLASSES - OWN - 1
+        self.of_known = np.zeros(len(words), np.uint8)
+        self.of_known[order[:OWN]] = np.arange(1, len(order[:OWN]) + 1)
+        self.of_known[tail] = OWN + 1 + np.minimum(mass / max(known + others, 1.0) * rest, rest - 1).astype(np.int64)
+        self.first = known / max(known + others, 1.0)
+        # most words are found at once, at the place that their last bits name
+        self.places = np.zeros(4 << BITS, np.int32)
+        self.places[self.words[order[::-1]] & ((4 << BITS) - 1)] = order[::-1]
+
+    def find(self, found: np.ndarray) -> np.ndarray:
+        """Where the frequent words are, -1 for others."""
+        if not len(self.words):
+            return np.full(len(found), -1, np.int32)
+        at = self.places[found & (len(self.places) - 1)]
+        miss = np.flatnonzero(self.words[at] != found)
+        i = np.minimum(np.searchsorted(self.words, found[miss]), len(self.words) - 1)
+        at[miss] = np.where(self.words[i] == found[miss], i, -1)
+        return at
+
+    def at(self, found: np.ndarray, where: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(found), np.uint8)
+        frequent = where >= 0
+        out[frequent] = self.of_known[where[frequent]]
+        rest = CLASSES - OWN - 1
+        u = (B.mix(found[~frequent].view(np.uint64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        out[~frequent] = OWN + 1 + np.minimum((self.first + u * (1 - self.first)) * rest, rest - 1).astype(np.int64)
+        return out
+
+    def __getitem__(self, found):
+        one = np.asarray(found, np.int64)
+        return self.at(one.ravel(), self.find(one.ravel())).reshape(one.shape)[()]
+
+
+class Inside:
+    """Log-probabilities of words in their classes: those of frequent words at hand, counts of others in ``rare``
+    (word, n), without words that occur once; None if there are no others. Unseen words count as occurring once."""
+
+    def __init__(self, cls: Classes, totals: np.ndarray, rare: DataFrame | None):
+        self.cls, self.rare = cls, rare
+        self.minus = -np.log(np.maximum(totals, 1))
+        self.known = np.log(np.maximum(cls.counts, 1)) + self.minus[cls.of_known]
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.known, self.minus
+
+    def __getitem__(self, word) -> float:
+        at = self.cls.find(np.array([word], np.int64))[0]
+        if at >= 0:
+            return float(self.known[at])
+        n = self.rare.where(F.col("word") == int(word)).collect() if self.rare is not None else []
+        return float(self.minus[self.cls[word]] + (np.log(n[0].n) if n else 0.0))
 
 
 def fresh() -> dict[str, np.ndarray]:
@@ -138,16 +191,63 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             yield bins(values[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
+def _merged(words: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+    w, n = np.concatenate(words), np.concatenate(counts)
+    order = np.argsort(w)
+    w, n = w[order], n[order]
+    first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+    return pa.RecordBatch.from_arrays([pa.array(w[first]), pa.array(np.add.reduceat(n, first))], ["word", "n"])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << BITS, np.int64)
+    words, counts, held = [], [], 0
     for found, _ in _blocks(batches):
-        total += np.bincount(found, minlength=1 << BITS)
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+        if len(found):
+            w, n = np.unique(found, return_counts=True)
+            words.append(w)
+            counts.append(n.astype(np.int64))
+            held += len(w)
+        if held > HELD:
+            yield _merged(words, counts)
+            words, counts, held = [], [], 0
+    if held:
+        yield _merged(words, counts)
+
+
+def _totals(sent) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES, np.int64)
+        for batch in batches:
+            word, n = (batch.column(c).to_numpy() for c in ("word", "n"))
+            np.add.at(total, sent.value[word], n)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["totals"])
+
+    return run
+
+
+def count_words(raw: DataFrame) -> tuple[Classes, Inside]:
+    """Classes and log-probabilities of all words."""
+    counts = materialize(raw.mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    level = F.floor(F.log2("n") * 256)  # a few thousand levels, whatever the input
+    frequent, words, others = None, 0, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect(), reverse=True):
+        if others or words + r.words > 1 << BITS:
+            others += r.n
+        else:
+            frequent, words = r.level, words + r.words
+    known = counts.where(F.lit(False) if frequent is None else level >= frequent).toArrow()
+    cls = Classes(*(known.column(c).to_numpy() for c in ("word", "n")), others)
+    totals = np.bincount(cls.of_known, cls.counts, CLASSES).astype(np.int64)
+    if not others:
+        return cls, Inside(cls, totals, None)
+    rare = counts if frequent is None else counts.where(level < frequent)
+    totals += sum_blobs(rare.mapInArrow(_totals(raw.sparkSession.sparkContext.broadcast(cls)), "totals binary"), "i8")
+    return cls, Inside(cls, totals, rare.where("n > 1"))
 
 
 def _trained(sent, turn: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls, _, start = sent.value
+        cls, start = sent.value
         trainer = Trainer(unflat(start))
         for found, borders in _blocks(batches):
             target = cls[found]
@@ -163,26 +263,30 @@ def _trained(sent, turn: int) -> Callable:
     return run
 
 
-def train(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes and log-probabilities of the bins, and the network's weights, from all documents."""
+def train(docs: DataFrame) -> tuple[Classes, Inside, np.ndarray]:
+    """Classes and log-probabilities of the words, and the network's weights, from all documents."""
     raw = raw_documents(docs).select("raw")
-    counts = sum_blobs(raw.mapInArrow(_counted, "counts binary"), "i8")
-    cls, inside = classes_of(np.zeros(1 << BITS, np.int64) if counts is None else counts)
+    cls, inside = count_words(raw)
     weights = flat(fresh())
     for turn in range(ROUNDS):
-        sent = docs.sparkSession.sparkContext.broadcast((cls, inside, weights))
+        sent = docs.sparkSession.sparkContext.broadcast((cls, weights))
         total = sum_blobs(raw.mapInArrow(_trained(sent, turn), "weights binary"), "f8")
         if total is not None and total[-1]:
             weights = (total[:-1] / total[-1]).astype(np.float32)
     return cls, inside, weights
 
 
-def score_block(found: np.ndarray, borders: np.ndarray, model: tuple) -> np.ndarray:
-    cls, inside, weights = model
-    target = cls[found]
-    logp = class_logp(unflat(weights), contexts(target, borders), target.astype(np.intp)) + inside[found]
+def score_block(found: np.ndarray, borders: np.ndarray, model: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each document's sum, but for the logarithms of other words' counts; these words, and the borders among them."""
+    cls, known, minus, weights = model
+    where = cls.find(found)
+    target = cls.at(found, where)
+    other = np.flatnonzero(where < 0)
+    inside = known[where] if len(known) else np.zeros(len(found))
+    inside[other] = minus[target[other]]
+    logp = class_logp(unflat(weights), contexts(target, borders), target.astype(np.intp)) + inside
     total = np.append(0.0, np.cumsum(logp))
-    return total[borders[1:]] - total[borders[:-1]]
+    return total[borders[1:]] - total[borders[:-1]], found[other], np.searchsorted(other, borders)
 
 
 def _scored(sent) -> Callable:
@@ -191,17 +295,23 @@ def _scored(sent) -> Callable:
             values, offsets = B.bytes_of(batch.column("raw"))
             for i, j in B.blocks(offsets):
                 found, borders = bins(values[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                n, total = np.diff(borders), score_block(found, borders, sent.value)
-                mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n), pa.array(total), mean], ["doc_id", "n_tokens", "sum_logp", "mean_logp"])
+                total, other, at = score_block(found, borders, sent.value)
+                rare = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(other))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(borders)), pa.array(total), rare], ["doc_id", "n_tokens", "sum_logp", "rare"])
 
     return run
 
 
 def score(docs: DataFrame, model: tuple | None = None) -> DataFrame:
     """doc_id, n_tokens, sum_logp and mean_logp of every document; the model is trained on ``docs`` if not given."""
-    sent = docs.sparkSession.sparkContext.broadcast(model or train(docs))
-    return raw_documents(docs).mapInArrow(_scored(sent), "doc_id long, n_tokens long, sum_logp double, mean_logp double")
+    cls, inside, weights = model or train(docs)
+    sent = docs.sparkSession.sparkContext.broadcast((cls, *inside.arrays(), weights))
+    out = raw_documents(docs).mapInArrow(_scored(sent), "doc_id long, n_tokens long, sum_logp double, rare array<long>")
+    if inside.rare is not None:
+        out = materialize(out.withColumn("id", F.monotonically_increasing_id()), "scored")
+        logs = out.select("id", F.explode("rare").alias("word")).join(inside.rare, "word").groupBy("id").agg(F.sum(F.ln("n")).alias("more"))
+        out = out.drop("rare").join(logs, "id", "left").withColumn("sum_logp", F.col("sum_logp") + F.coalesce("more", F.lit(0.0)))
+    return out.select("doc_id", "n_tokens", "sum_logp", F.when(F.col("n_tokens") > 0, F.col("sum_logp") / F.col("n_tokens")).alias("mean_logp"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
