@@ -18,7 +18,7 @@ Verification is the exact Jaccard similarity of the shingle sets (32-bit hashes)
 joins; no link is brought to the driver.
 
 Nulls: a null text is empty; empty texts (no word) are copies only of the same text. Rows with a null doc_id belong
-to classes, but name one only if all are null. Repeated rows are one class. An empty table gives an empty result.
+to classes, but name one only if all are null; unlike texts with one doc_id, or none, are classes of one name. Repeated rows are one class. An empty table gives an empty result.
 Columns other than doc_id and text are not read.
 """
 
@@ -218,7 +218,7 @@ def _text_hash() -> Column:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
-    """doc_id, text_hash and class_id (the smallest doc_id of the class) of every document."""
+    """doc_id, text_hash, comp (the class itself) and class_id (the smallest doc_id of the class) of every document."""
     spark = docs.sparkSession
     raw = raw_documents(docs).select("doc_id", F.unhex(F.md5("raw")).alias("text_hash"), "raw")
     signed = raw.mapInArrow(_signed(weighted), "doc_id long, text_hash binary, sig binary, n long, shingles binary")
@@ -261,15 +261,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
         comp = components(links.union(rest))
     whole = texts.select("text_hash", "id", "least").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     named = whole.groupBy("comp").agg(F.min("least").alias("class_id"))
-    return signed.select("doc_id", "text_hash").join(whole.join(named, "comp").select("text_hash", "class_id"), "text_hash")
+    return signed.select("doc_id", "text_hash").join(whole.join(named, "comp").select("text_hash", "comp", "class_id"), "text_hash")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the smallest doc_id, all columns as they were."""
     with temporary(docs.sparkSession):  # signatures and sets are not needed any more once it is chosen
         first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-        # of rows with this doc_id in a class, one text and of that one row stays
-        chosen = first.groupBy("class_id").agg(F.min("text_hash").alias("keep_hash"), F.first("doc_id").alias("keep_id"), F.count("*").alias("rows"))
+        # of rows with this doc_id in a class, one text and of that one row stays; classes of one name are still several
+        chosen = first.groupBy("comp").agg(F.min("text_hash").alias("keep_hash"), F.first("doc_id").alias("keep_id"), F.count("*").alias("rows"))
         chosen = materialize(chosen, "chosen", stay=True)
     marked = docs.withColumn("__hash", _text_hash())
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (F.col("__hash") == F.col("keep_hash"))

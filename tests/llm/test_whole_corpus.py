@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from starloom.llm import lm_scoring
+from starloom.llm import lm_scoring, near_dedup
 
 
 def test_lm_words_keep_their_own_counts(spark, monkeypatch):
@@ -32,3 +32,15 @@ def test_lm_words_keep_their_own_counts(spark, monkeypatch):
         c = np.array([of[x] for x in w], np.uint8)
         want = lm_scoring.class_logp(net, lm_scoring.contexts(c, np.array([0, len(w)])), c.astype(np.intp)).sum() + sum(logp[x] for x in w)
         assert r.n_tokens == len(w) and abs(r.sum_logp - want) < 1e-6 * max(1, abs(want))
+
+
+def test_keep_one_of_each_class_not_of_each_name(spark):
+    """Unlike texts stay, though their doc_ids are null or equal."""
+    text = lambda k: " ".join(f"{k}x{i}" for i in range(60))
+    near = text("c").replace("cx59", "other")
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (5, text("c")), (5, text("d")), (9, near), (5, near), (7, text("d")), (None, text("e")), (8, text("e"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in near_dedup.keep_one(df).collect()]
+    kind = lambda t: t.split("x")[0]
+    assert sorted((str(d), kind(t)) for d, t in got) == [("5", "c"), ("5", "d"), ("8", "e"), ("None", "a"), ("None", "b")]
+    assert set(got) <= set(rows)
