@@ -200,7 +200,7 @@ def _wloc_sql(rounds: int) -> str:
 
 @query("p5_robust_location", _wloc_sql(3))
 def _location(s, d):
-    e = table(s, d, "events").select("event_type", "event_id", F.col("value").alias("v"), (F.col("event_id") % 7 + 1).alias("w"), F.lit(True).alias("keep"))
+    e = table(s, d, "events").select("event_type", "event_id", F.col("value").alias("v"), F.greatest(F.col("event_id") % 7 + 1, F.lit(1e-9)).alias("w"), F.col("value").isNotNull().alias("keep"))
     group = Window.partitionBy("event_type")
 
     def middle(df, x, out):
@@ -208,11 +208,13 @@ def _location(s, d):
         df = df.withColumn("x", x).withColumn("c", F.sum(w).over(group.orderBy("x", "event_id"))).withColumn("t", F.sum(w).over(group))
         return df.withColumn(out, F.min(F.when(F.col("keep") & (2 * F.col("c") >= F.col("t")), F.col("x"))).over(group))
 
-    for _ in range(3):
-        e = middle(middle(e, F.col("v"), "m"), F.abs(F.col("v") - F.col("m")), "mad")
-        e = e.withColumn("keep", F.col("keep") & (F.abs(F.col("v") - F.col("m")) <= 2.5 * 1.4826 * F.col("mad")))
-    k = F.when(F.col("keep"), F.col("w"))
-    return e.groupBy("event_type").agg(F.round(F.sum(k * F.col("v")) / F.sum(k), 5).alias("location"), F.count_if("keep").alias("n"))
+    for _ in range(5):
+        e = middle(middle(e, F.col("v"), "m"), F.abs(F.col("v") - F.col("m")), "mad").withColumn("mad", 1.4826 * F.col("mad"))
+        e = e.withColumn("near", F.col("keep") & (F.abs(F.col("v") - F.col("m")) <= 2.5 * F.col("mad")))
+        e = e.withColumn("n", F.count_if("near").over(group)).withColumn("all", F.count_if("keep").over(group))
+        # a group that stops here stops in all later rounds, too; fewer than 3 values, or none clipped, end it
+        e = e.withColumn("keep", F.when((F.col("mad") >= 1e-15) & (F.col("n") >= 3) & (F.col("n") < F.col("all")), F.col("near")).otherwise(F.col("keep")))
+    return middle(e, F.col("v"), "m").groupBy("event_type").agg(F.round(F.min("m"), 5).alias("location"), F.count_if("keep").alias("n"))
 
 
 on_px("p6_white_gains", lambda px: J.repeated_median(px.where("y = 0").select("frame_id", F.col("x").alias("id"), F.col("x").cast("double").alias("x"), F.col("v").alias("y")), "frame_id").select("frame_id", F.round(F.least(1e4 / F.greatest(F.col("intercept") + F.col("slope") * 0.5, F.lit(1e-6)), F.lit(3.0)), 6).alias("gain")), None)
