@@ -5,8 +5,8 @@ table that grows with the corpus. The most frequent OWN words are classes of the
 remaining classes at equal mass (by count as far as the 2**BITS most frequent words, which every task holds; by hash
 beyond them), and P(token) = P(class | window) * count(word) / count(class). Counts of words beyond the frequent ones
 are joined back to the documents that have them. The network sees WINDOW classes on either side (class 0
-beyond the text's borders), one rectified layer, softmax over classes. It is trained in NumPy on masked tokens, one in
-MASK of every document in each of ROUNDS rounds: every task learns from its own documents, starting from the same
+beyond the text's borders), one rectified layer, softmax over classes. It is trained in NumPy on every token, one in
+ROUNDS of every document in each of ROUNDS rounds: every task learns from its own documents, starting from the same
 weights, and weights are averaged by tokens. Weights and the classes' totals, one array a task, are added up in a few streaming
 lanes; the driver sees arrays of fixed size only.
 
@@ -30,7 +30,7 @@ from starloom.llm.store import materialize, raw_documents, sum_blobs
 
 BITS, CLASSES, OWN = 18, 128, 95
 WINDOW, HIDDEN = 2, 24
-MASK, ROUNDS, BATCH, RATE = 16, 2, 256, 0.05
+ROUNDS, BATCH, RATE = 2, 256, 0.05
 HELD = 1 << 20  # words a task counts before it passes them on
 SHAPES = {"t": (2 * WINDOW, CLASSES, HIDDEN), "b": (HIDDEN,), "u": (HIDDEN, CLASSES), "c": (CLASSES,)}
 
@@ -173,7 +173,9 @@ class Trainer:
         dh = (p @ self.w["u"].T) * (h > 0)
         grad = {"u": h.T @ p, "c": p.sum(0), "b": dh.sum(0), "t": np.zeros(SHAPES["t"], np.float32)}
         for k in range(2 * WINDOW):
-            np.add.at(grad["t"][k], ctx[:, k], dh)
+            seen = np.zeros((CLASSES, len(dh)), np.float32)
+            seen[ctx[:, k], np.arange(len(dh))] = 1
+            grad["t"][k] = seen @ dh
         for k, d in grad.items():
             self.g[k] += d * d
             self.w[k] -= RATE * d / np.sqrt(self.g[k])
@@ -245,15 +247,19 @@ def count_words(raw: DataFrame) -> tuple[Classes, Inside]:
     return cls, Inside(cls, totals, rare.where("n > 1"))
 
 
+def turn_of(found: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """The round in which each token is a target: every token has one."""
+    nth = np.arange(len(found)) - np.repeat(borders[:-1], np.diff(borders))
+    return B.mix((nth.astype(np.uint64) << np.uint64(20)) + found.view(np.uint64)) % np.uint64(ROUNDS)
+
+
 def _trained(sent, turn: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cls, start = sent.value
         trainer = Trainer(unflat(start))
         for found, borders in _blocks(batches):
             target = cls[found]
-            nth = np.arange(len(found)) - np.repeat(borders[:-1], np.diff(borders))
-            masked = np.flatnonzero(B.mix((nth.astype(np.uint64) << np.uint64(20)) + found.astype(np.uint64)) % np.uint64(MASK) == turn)
-            # ctx of the masked tokens only would save little: the gather below is cheap
+            masked = np.flatnonzero(turn_of(found, borders) == turn)
             ctx = contexts(target, borders)[masked]
             order = np.random.default_rng(len(found)).permutation(len(masked))
             trainer.learn(ctx[order], target[masked][order].astype(np.intp))

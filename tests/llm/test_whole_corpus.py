@@ -1,8 +1,10 @@
 """Corpus operators against brute force where part of the input was once left out."""
 
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 
 from starloom.llm import lm_scoring, near_dedup
 
@@ -44,3 +46,32 @@ def test_keep_one_of_each_class_not_of_each_name(spark):
     kind = lambda t: t.split("x")[0]
     assert sorted((str(d), kind(t)) for d, t in got) == [("5", "c"), ("5", "d"), ("8", "e"), ("None", "a"), ("None", "b")]
     assert set(got) <= set(rows)
+
+
+def test_lm_every_token_is_a_target_once(monkeypatch):
+    """The trainer sees each token of each text over the rounds."""
+    texts = [" ".join(f"w{(i * k) % 23}" for k in range(40 + i)) for i in range(30)] + ["", "one"]
+    batch = pa.RecordBatch.from_arrays([pa.array([t.encode() for t in texts], pa.binary())], ["raw"])
+    cls = lm_scoring.Classes(np.zeros(0, np.int64), np.zeros(0, np.int64), 1)
+    seen = []
+    monkeypatch.setattr(lm_scoring.Trainer, "learn", lambda self, ctx, target: seen.append(len(target)))
+    for turn in range(lm_scoring.ROUNDS):
+        list(lm_scoring._trained(SimpleNamespace(value=(cls, lm_scoring.flat(lm_scoring.fresh()))), turn)(iter([batch])))
+    assert sum(seen) == sum(len(t.split()) for t in texts) and min(seen) > 0
+
+
+def test_lm_gradient_adds_up_over_a_batch():
+    rng = np.random.default_rng(5)
+    ctx, target = rng.integers(0, 9, (64, 4)), rng.integers(0, 9, 64)
+    a = lm_scoring.Trainer(lm_scoring.unflat(lm_scoring.flat(lm_scoring.fresh())))
+    start = {k: v.astype(np.float64) for k, v in a.w.items()}
+    h = np.maximum(sum(start["t"][k][ctx[:, k]] for k in range(4)) + start["b"], 0)
+    p = np.exp(h @ start["u"] + start["c"])
+    p /= p.sum(1, keepdims=True)
+    p[np.arange(64), target] -= 1
+    dh = (p / 64 @ start["u"].T) * (h > 0)
+    want = np.zeros_like(start["t"])
+    for k in range(4):
+        np.add.at(want[k], ctx[:, k], dh)
+    a.step(ctx, target)
+    assert np.allclose(a.w["t"], start["t"] - lm_scoring.RATE * want / np.sqrt(1e-3 + want * want), atol=1e-4)
