@@ -217,7 +217,7 @@ def _location(s, d):
     return middle(e, F.col("v"), "m").groupBy("event_type").agg(F.round(F.min("m"), 5).alias("location"), F.count_if("keep").alias("n"))
 
 
-on_px("p6_white_gains", lambda px: J.repeated_median(px.where("y = 0").select("frame_id", F.col("x").alias("id"), F.col("x").cast("double").alias("x"), F.col("v").alias("y")), "frame_id").select("frame_id", F.round(F.least(1e4 / F.greatest(F.col("intercept") + F.col("slope") * 0.5, F.lit(1e-6)), F.lit(3.0)), 6).alias("gain")), None)
+on_px("p6_white_gains", lambda px: J.repeated_median(px.select("frame_id", F.struct("y", "x").alias("id"), F.col("x").cast("double").alias("x"), F.col("v").alias("y")), "frame_id").select("frame_id", F.round(F.least(1e4 / F.greatest(F.col("intercept") + F.col("slope") * 0.5, F.lit(1e-6)), F.lit(3.0)), 6).alias("gain")), None)
 SQL["p6_white_gains"] = f"SELECT frame_id, round(least(1e4 / greatest(intercept + slope * 0.5, 1e-6), 3), 6) AS gain FROM {part('p4_repeated_median')}"
 
 

@@ -1,7 +1,11 @@
 """Queries held against plain Python over all rows of their table."""
 
+from statistics import median
+
 from starloom import catalog
 
+SF = "/root/testdata/sf0.001"
+
 EVENTS = "event_id long, user_id long, event_type string, value double"
 
 
@@ -50,3 +54,27 @@ def test_robust_location_clips_until_nothing_is_left_to_clip(spark, tmp_path):
         want[kind] = (round(m, 5), n)
     got = {r.event_type: (r.location, r.n) for r in catalog.queries()["p5_robust_location"](spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def _line(points):
+    slopes = [median([(v - y) / (u - x) for u, v in points if u != x]) for x, y in points]
+    b = median(slopes)
+    return b, median([y - b * x for x, y in points])
+
+
+def test_lines_and_tiles_use_every_row_of_every_frame(spark):
+    from starloom.sources.frames import pixels
+
+    px = [(r.frame_id, r.y, r.x, float(r.v)) for r in pixels(spark, SF).select("frame_id", "y", "x", "v").collect()]
+    frames = {p[0] for p in px}
+    lines = {r.frame_id: (r.slope, r.intercept) for r in catalog.queries()["p4_repeated_median"](spark, SF).collect()}
+    gains = {r.frame_id for r in catalog.queries()["p6_white_gains"](spark, SF).collect()}
+    assert set(lines) == gains == frames
+    for f in sorted(frames)[:3]:
+        b, a = _line([(float(x), v) for g, _, x, v in px if g == f])
+        assert abs(lines[f][0] - b) < 1e-4 and abs(lines[f][1] - a) < 1e-2
+    blended = {(r.frame_id, r.y, r.x): r.v for r in catalog.queries()["r8_overlap_add"](spark, SF).collect()}
+    assert {k[0] for k in blended} == frames
+    for f, y, x, v in px:  # all tiles of a frame agree on a pixel
+        got = blended.get((f, y, x))
+        assert got is None or abs(got - v) < 1e-3
