@@ -16,7 +16,6 @@ An empty table gives an empty result. The pipeline stage drops nothing. Columns
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -33,11 +32,32 @@ from starloom.llm.store import materialize, shuffle_partitions, small_batches
 END = 1
 DIMS, BITS = 4, 12
 TABLE = 300_000  # words in a task's table
-_UNSAFE = re.compile(r" \s|\s |^\s|\s$")
+
+
+class Growing:
+    """An array that grows at its end without being copied each time."""
+
+    def __init__(self, dtype: type, width: int = 0):
+        self.n, self.held = 0, np.zeros((1024, width) if width else 1024, dtype)
+
+    def add(self, more: np.ndarray) -> None:
+        need = self.n + len(more)
+        if need > len(self.held):
+            wider = np.zeros((max(need, 2 * len(self.held)), *self.held.shape[1:]), self.held.dtype)
+            wider[: self.n] = self.held[: self.n]
+            self.held = wider
+        self.held[self.n : need] = more
+        self.n = need
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
 
 
 class Words:
-    """Byte-level BPE by a table of distinct words: no token reaches over a single space into the next word."""
+    """Byte-level BPE by a table of distinct words: no token reaches over a single space into the next word.
+
+    Beside its ids the table holds the sum of their signs for every word, so a document's vector is a sum over words."""
 
     def __init__(self, tokenizer: str, ranks: str, pattern: str):
         self.json, self.whole = tokenizer, None
@@ -47,11 +67,13 @@ class Words:
         for token, i in table.items():
             self.size[i] = len(token)
         self.special = "<|endoftext|>"
+        self.signs = _signs(1 << 16)
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.flat, self.first, self.count = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.first, self.count, self.vector = (Growing(*x) for x in ((np.uint16,), (np.int64,), (np.int64,), (np.float32, DIMS)))
+        self.safe = Growing(bool)
 
     def learn(self, words: set[str]) -> None:
         if len(self.at) > TABLE:
@@ -62,9 +84,12 @@ class Words:
         ids = np.array(self.fast.encode_ordinary(" " + " ".join(new)), np.uint16)
         borders = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(w.encode()) + 1 for w in new])) + 1
         starts = np.append(0, borders[:-1])
-        self.first = np.append(self.first, starts + len(self.flat))
-        self.count = np.append(self.count, borders - starts)
-        self.flat = np.append(self.flat, ids)
+        self.first.add(starts + self.flat.n)
+        self.count.add(borders - starts)
+        self.vector.add(np.add.reduceat(self.signs[ids], np.minimum(starts, len(ids) - 1)))
+        self.flat.add(ids)
+        # two spaces, or a space beside other white space, may join in one token
+        self.safe.add(np.array([w != "" and not w[0].isspace() and not w[-1].isspace() for w in new]))
         self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
 
     def one(self, text: str) -> np.ndarray:
@@ -73,21 +98,25 @@ class Words:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint16)
         return np.array(self.fast.encode_ordinary(text), np.uint16)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        simple = [t != "" and self.special not in t and not _UNSAFE.search(t) for t in texts]
-        cut = [t.split(" ") if s else [] for t, s in zip(texts, simple, strict=True)]
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Each text's ids, and the sum of their signs."""
+        cut = [t.split(" ") for t in texts]
         self.learn(set().union(*(c[1:] for c in cut)))
-        out = []
-        for text, s, words in zip(texts, simple, cut, strict=True):
-            if not s:
-                out.append(self.one(text))
-                continue
-            head = np.array(self.fast.encode_ordinary(words[0]), np.uint16)
+        out, vectors = [], np.zeros((len(texts), DIMS))
+        for k, (text, words) in enumerate(zip(texts, cut, strict=True)):
             at = np.fromiter(map(self.at.__getitem__, words[1:]), np.int64, len(words) - 1)
-            n = self.count[at]
-            rest = self.flat[np.repeat(self.first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            out.append(np.concatenate([head, rest]))
-        return out
+            head = words[0]
+            if self.special in text or head == "" or head[0].isspace() or head[-1].isspace() or not self.safe.all[at].all():
+                ids = self.one(text)
+                vectors[k] = self.signs[ids].sum(0)
+            else:
+                start = np.array(self.fast.encode_ordinary(head), np.uint16)
+                n = self.count.all[at]
+                rest = self.flat.all[np.repeat(self.first.all[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                ids = np.concatenate([start, rest])
+                vectors[k] = self.signs[start].sum(0) + self.vector.all[at].sum(0)
+            out.append(ids)
+        return out, vectors
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -124,22 +153,21 @@ def _signs(n: int) -> np.ndarray:
     return np.stack([(h >> np.uint64(d) & np.uint64(1)).astype(np.float32) * 2 - 1 for d in range(DIMS)], 1)
 
 
-def curve_keys(ids: list[np.ndarray], signs: np.ndarray) -> np.ndarray:
-    vectors = np.array([signs[x].sum(0) for x in ids], np.float64).reshape(len(ids), DIMS)
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+def curve_keys(vectors: np.ndarray) -> np.ndarray:
+    vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     return hilbert(np.clip(((vectors + 1) / 2 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1))
 
 
 def _tokenized(tokenizer: str, ranks: str, pattern: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(tokenizer, ranks, pattern)
-        signs = _signs(1 << 16)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                ids = [np.append(x, np.uint16(END)) for x in words.encode(part.column("text").to_pylist())]
+                ids, vectors = words.encode(part.column("text").to_pylist())
+                ids = [np.append(x, np.uint16(END)) for x in ids]
                 n = np.array([len(x) for x in ids], np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(curve_keys(ids, signs)), pa.array(n), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "key", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(curve_keys(vectors + words.signs[END])), pa.array(n), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "key", "n", "ids"])
 
     return run
 

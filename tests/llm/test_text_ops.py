@@ -70,7 +70,7 @@ def test_sp_codec_any_text(t):
 @given(ANY)
 def test_words_any_text(t):
     for x in (t, t + "<|endoftext|>"):
-        assert WORDS.encode([x])[0].tolist() == WHOLE.encode(x, add_special_tokens=False).ids
+        assert WORDS.encode([x])[0][0].tolist() == WHOLE.encode(x, add_special_tokens=False).ids
 
 
 def test_packing(spark, docs, empty):
