@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, row string, raw string, n_words int, key string, host string"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, row string, raw string, n_words int, key string, host string, keep_id long, keep_hash string, __hash string, __nth int, __failed boolean, __bad string, __score double"
 
 
 def base_texts(seed=3):
@@ -18,7 +18,7 @@ def base_texts(seed=3):
         copy = list(near)
         copy[rng.randrange(len(copy))] = "changed"
         out.append(" ".join(copy))
-    out += ["", None, " ", "one two", "one two", "ä" * 60 + "ö", "xy" * 200, "日本語 テキスト\nab\n\nab\n", "Line a b\nLine a b\n" * 8, "x  y \t z ▁ w <|endoftext|> end ", "All  rights, RESERVED. cc-by cc by; General Public License", "Released under the MlT Licence. \x00 ok", passage + " " + out[4]]
+    out += ["", None, " ", "one two", "one two", "ä" * 60 + "ö", "xy" * 200, "日本語 テキスト\nab\n\nab\n", "Line a b\nLine a b\n" * 8, "x  y \t z ▁ w <|endoftext|> end ", "All  rights, RESERVED. cc-by cc by; General Public License", "Released under the MlT Licence. \x00 ok", "Releasd under the MIT Licence, as said", passage + " " + out[4]]
     return out
 
 
@@ -30,7 +30,7 @@ def texts():
 @pytest.fixture(scope="session")
 def docs(spark, texts):
     """Every case, under column names that clash with inner ones; nulls in any column."""
-    rows = [(i if i != 7 else None, t, None, [None, "a.org", "B.org", "b.org"][i % 4], None, "r", None, 5, None, "h") for i, t in enumerate(texts)]
+    rows = [(i if i != 7 else None, t, None, [None, "a.org", "B.org", "b.org"][i % 4], None, "r", None, 5, None, "h", 3, "k", "mine", 4, True, "b", 0.5) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows + [rows[3], rows[3]], COLUMNS).repartition(3)
 
 
