@@ -1,15 +1,17 @@
 """Document rules, and verdicts on whole hosts.
 
-Every document is measured by fixed rules. A host here is the value of ``source`` (for a URL: its host, lower-cased).
-Failures are summed by host before they are shuffled, so a host with a third of all rows costs one row a task. The
-hosts' failure rates follow a beta prior fitted by moments over all hosts (each weighted by its size), and a host's
-rate is shrunk towards it: (failures + a) / (documents + a + b). A host whose shrunk rate is above ``max_rate`` is
-rejected as a whole, and the verdict is joined back to its documents. Small hosts are thereby judged by the prior
-until they have shown enough documents.
+Every document is measured by fixed rules. Its host is that of the URL in ``source``, or ``source`` itself where it is
+no URL, lower-cased. Failures are summed by host before they are shuffled, so a host with a third of all rows costs one
+row a task. The hosts' failure rates follow a beta prior fitted by moments over all hosts (each weighted by its size),
+and a host's rate is shrunk towards it: (failures + a) / (documents + a + b). A host is rejected as a whole where its
+rate lies above the corpus' by more than ``margin`` with a posterior probability of CREDIBLE (normal approximation of
+the beta posterior), and the verdict is joined back to its documents. Small hosts are thereby judged by the prior until
+they have shown enough documents; where all hosts fail alike none is rejected, whatever the common rate.
 
 Nulls: a null text has no words and fails the base rule; null sources are one host of their own. Empty and very long
 texts are measured whole. Repeated rows count each. An empty table gives an empty result. Columns other than doc_id,
-text and source are not read. If all hosts have one rate the prior is as strong as all documents together.
+text and source are not read; the filter carries them along. If all hosts have one rate the prior is as strong as all
+documents together.
 """
 
 from __future__ import annotations
@@ -18,16 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from starloom.llm import bytesets as B
 from starloom.llm.store import materialize, small_batches
 
 MIN_WORDS, MAX_REPEATED = 10, 20  # base rule: at least so many words, at most so many percent of them repeated
 WINDOW = 5
-MAX_RATE = 0.5
+MARGIN = 0.2  # how far a host's failure rate may lie above that of the corpus
+Z = 1.645  # CREDIBLE = 0.95, one-sided
 BROADCAST_HOSTS = 100_000
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = np.zeros(256, bool)
@@ -103,34 +105,53 @@ def _prior(hosts: DataFrame) -> tuple[float, float]:
     return m, float(x["docs"]) if spread <= 0 or base <= 0 else min(max(base / spread - 1, 1.0), float(x["docs"]))
 
 
-def host_rules(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """doc_id, host, the five counts, base_failed, host_rate (shrunk) and kept of every document."""
-    raw = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("source").cast("string")).alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
-    rows = raw.mapInArrow(_measured, "doc_id long, host string, " + ", ".join(f"{k} long" for k in METRICS))
-    rows = materialize(rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))), "measured")
+def host_of(source: Column) -> Column:
+    """The host of a URL, else the text itself; lower-cased."""
+    text = source.cast("string")
+    host = F.regexp_extract(text, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    return F.lower(F.when(host != "", host).otherwise(text))
+
+
+def _judged(rows: DataFrame, margin: float) -> DataFrame:
+    """host, host_rate (shrunk) and whether it is rejected, a row a host."""
     hosts = rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
     m, strength = _prior(hosts)
-    judged = hosts.select(F.col("host").alias("judged_host"), ((F.col("failed") + m * strength) / (F.col("n") + strength)).alias("host_rate"))
+    rate = (F.col("failed") + m * strength) / (F.col("n") + strength)
+    spread = F.sqrt(rate * (1 - rate) / (F.col("n") + strength + 1))
+    return hosts.select("host", rate.alias("host_rate"), (rate - Z * spread > m + margin).alias("rejected"))
+
+
+def host_rules(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
+    """doc_id, host, the five counts, base_failed, host_rate (shrunk) and kept of every document."""
+    rows = _rows(docs)
+    judged = _judged(rows, margin).withColumnRenamed("host", "judged_host")
     # a plain join: small host tables are broadcast by size, large ones are shuffled and split where skewed
-    out = rows.join(judged, F.col("host").eqNullSafe(F.col("judged_host")), "left").drop("judged_host")
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_rate))
+    out = rows.join(judged, F.col("host").eqNullSafe(F.col("judged_host")), "left")
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("rejected")).drop("judged_host", "rejected")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    raw = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), host_of(F.col("source")).alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
+    rows = raw.mapInArrow(_measured, "doc_id long, host string, " + ", ".join(f"{k} long" for k in METRICS))
+    return materialize(rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))), "measured")
 
 
-def _failing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values, offsets = B.bytes_of(batch.column("text"))
+        text = batch.column("text")
+        values, offsets = B.bytes_of(text.fill_null("") if text.null_count else text)
         parts = [measure(values[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in B.blocks(offsets)]
         words, again = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in ("n_words", "n_repeat_words"))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((words < MIN_WORDS) | (100 * again > MAX_REPEATED * words))], [*batch.schema.names, "__failed"])
+        yield batch.filter(pa.array((words >= MIN_WORDS) & (100 * again <= MAX_REPEATED * words)))
 
 
-def keep_documents(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
+def keep_documents(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
     """The rows of ``docs`` that pass with their hosts, all columns as they were. Texts are not shuffled: rows are
-    measured where they are read, and only the hosts' verdicts are joined to them."""
-    bad = materialize(host_rules(docs, max_rate).where(F.col("host_rate") > max_rate).select(F.col("host").alias("__bad")).distinct(), "bad_hosts")
-    marked = small_batches(docs).mapInArrow(_failing, T.StructType([*docs.schema.fields, T.StructField("__failed", T.BooleanType())])).where("not __failed")
+    measured where they are read, and only the rejected hosts are joined to them."""
+    bad = materialize(_judged(_rows(docs), margin).where("rejected").select("host"), "bad_hosts")
+    passing = small_batches(docs).mapInArrow(_passing, docs.schema)
     few = bad.count() <= BROADCAST_HOSTS  # a checked size; beyond it the join shuffles
-    return marked.join(F.broadcast(bad) if few else bad, F.lower(F.col("source").cast("string")).eqNullSafe(F.col("__bad")), "left_anti").select(*docs.columns)
+    return passing.join(F.broadcast(bad) if few else bad, host_of(passing["source"]).eqNullSafe(bad["host"]), "left_anti")
 
 
 def digest(docs: DataFrame) -> DataFrame:
