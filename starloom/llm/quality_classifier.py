@@ -2,12 +2,14 @@
 
 Words are runs of letters, digits and non-ASCII bytes; runs of other signs are words too. A document's features are
 its words and pairs of neighbouring words, hashed into 2**BITS places, each with its share of all features as value.
-Training takes labelled rows up to ``max_rows`` (a documented bound: a hash of doc_id chooses among more of them);
-their features go to one task, which learns by FTRL-proximal in a fixed order. Every text is then scored whole where it
+Training takes labelled documents up to ``max_rows`` (a documented bound: of more of them those whose doc_id has the
+smallest hash); their features go to one task, which learns by FTRL-proximal in a fixed order. Every text is then scored whole where it
 is read, as a sparse dot product with the broadcast weights (2**BITS floats). Only text enters a score.
 
 Nulls and empty texts score the bias alone. Labels that are null, or of documents that are not there, are left out; a
-document labelled twice counts with its smaller label. Repeated rows each give a row, an empty table an empty result;
+document labelled twice counts with its smaller label, and of several texts with one doc_id one is learnt from (the
+smallest features). Scores depend on the rows alone, not on how they are dealt, though on the hashes that order them.
+Repeated rows each give a row, an empty table an empty result;
 without labels all scores are 0.5. Columns other than doc_id and text (in labels: doc_id and quality) are not read.
 """
 
@@ -110,11 +112,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> np.nd
     usable = usable.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
     total = usable.count()
     if total > max_rows:
-        share = int(1e6 * 0.95 * max_rows / total)
-        usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).limit(max_rows)
+        share = int(1e6 * min(1.0, 1.05 * max_rows / total)) + 1  # a few more, of which the first are taken
+        usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+        usable = usable.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)), "doc_id").limit(max_rows)
     # at most max_rows ids and labels: a proven bound for the broadcast
     texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     chosen = texts.join(F.broadcast(usable), "doc_id").mapInArrow(_featured, "doc_id long, label int, places binary, counts binary")
+    # rows of one doc_id multiply in the join: one stays of each, so that one task gets max_rows of them at most
+    chosen = chosen.groupBy("doc_id", "label").agg(F.min(F.struct("places", "counts")).alias("x")).select("doc_id", "label", "x.places", "x.counts")
     found = chosen.repartition(1).mapInArrow(_fitted, "weights binary").collect()
     return np.frombuffer(found[0][0], np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
 
@@ -132,7 +137,7 @@ def _scored(weights, keep: float | None) -> Callable:
             parts = [score_block(values[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], weights.value) for i, j in B.blocks(offsets)]
             score = np.concatenate(parts or [np.zeros(0)])
             if keep is None:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "__score"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
             else:
                 yield batch.filter(pa.array(score >= keep))
 
@@ -143,8 +148,8 @@ def classify(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    out = texts.mapInArrow(_scored(sent, None), "doc_id long, text string, __score double")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    out = texts.mapInArrow(_scored(sent, None), "doc_id long, score double")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
