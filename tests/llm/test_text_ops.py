@@ -156,3 +156,66 @@ def test_bad_host_is_rejected(spark):
 def test_one_host(spark, n):
     df = spark.createDataFrame([(i, "word " * 30, None) for i in range(n)], "doc_id long, text string, source string")
     assert host_rules.digest(df).count() == n
+
+
+def test_no_notice_matches_another(spark):
+    notices = [license_scan.Notice(*x) for x in license_scan.NOTICES]
+    for phrase, label, _ in license_scan.NOTICES:
+        for text in (phrase, f"xx {phrase} yy", f"a {phrase} b"):
+            found = license_scan.scan(text.encode(), notices)[-1]
+            assert [(x["label"], x["edits"]) for x in found] == [(label, 0)], (phrase, found)
+    for text, label in (("Licensed under CC BY 4.0", "cc-by"), ("released under the XYZ license", ""), ("Released under the BSD license.", "bsd"), ("licensed under cc by nc", "cc-by,cc-by-nc"), ("underlicensed under cc by sand", "cc-by")):
+        assert license_scan.scan(text.encode(), notices)[5] == label, text
+
+
+def test_random_edits_are_found_as_by_brute_force():
+    import random
+
+    rng = random.Random(8)
+    for x in license_scan.NOTICES:
+        n = license_scan.Notice(*x)
+        phrase = x[0].encode()
+        for _ in range(12):
+            t = bytearray(phrase)
+            for _ in range(rng.randint(0, n.edits)):
+                i = rng.randrange(1, len(t) - 1)
+                kind = rng.randrange(3)
+                if kind == 0:
+                    del t[i]
+                elif kind == 1:
+                    t[i] = rng.choice(b"qz")
+                else:
+                    t.insert(i, rng.choice(b"qz"))
+            text = b" some words here " + b" ".join(bytes(t).split()) + b" and more words follow "
+            whole = n.best(text, 0, len(text))  # no seeds
+            got = n.search(text)
+            assert got == whole
+            assert bool(got) or not n.exact <= set(bytes(t).split())
+
+
+def test_very_long_text(spark):
+    words = [f"w{i % 4999}x{i % 37}" for i in range(420_000)]
+    text = " ".join(words) + " All rights reserved\n"
+    assert len(text) > 3_000_000
+    df = spark.createDataFrame([(1, text), (2, "short text"), (3, text + "tail")], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.digest(df).collect()}
+    assert got[1].n_words == 420_003 and got[1].base_labels == "reserved" and got[1].first_word == 420_000
+    sp = CODEC.sp.encode(text)
+    sha = hashlib.sha256(",".join(map(str, sp)).encode()).hexdigest()
+    assert {r.doc_id: r.ids_sha256 for r in sp_codec.digest(df, public_tokenizers.path("piece_bpe_32k.model")).collect()}[1] == sha
+    packed = queries.pack_documents(df, False).groupBy("doc_id").sum("length").collect()
+    assert dict(map(tuple, packed))[1] == len(WHOLE.encode(text, add_special_tokens=False).ids) + 1
+    from starloom.llm import near_dedup
+
+    assert {r.doc_id: r.class_id for r in near_dedup.digest(df).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_hosts_of_urls_and_relative_cut(spark):
+    good, bad = " ".join(f"word{i}" for i in range(20)), "spam"
+    rows = [(i, bad if i % 10 < 4 else good, f"https://user@Site{i % 5}.org:80/page{i}?q") for i in range(1000)]
+    rows += [(2000 + i, bad if i % 10 < 8 else good, "http://WORSE.org/x") for i in range(200)]
+    out = host_rules.host_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.host for r in out} == {f"site{k}.org" for k in range(5)} | {"worse.org"}
+    assert all(r.kept == (not r.base_failed and r.host != "worse.org") for r in out)
+    even = [r for r in rows if "WORSE" not in r[2]]  # hosts that fail alike are not told apart, whatever their rate
+    assert all(r.kept == (not r.base_failed) for r in host_rules.digest(spark.createDataFrame(even, "doc_id long, text string, source string")).collect())
