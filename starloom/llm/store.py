@@ -32,7 +32,8 @@ _scopes: list[list[str]] = []
 
 @contextlib.contextmanager
 def temporary(spark: SparkSession):
-    """Tables that :func:`materialize` writes inside go at its end, but for those asked to stay."""
+    """Tables that :func:`materialize` writes inside go at its end, but for those asked to stay: they belong to the
+    scope around it, if there is one."""
     _scopes.append([])
     try:
         yield
@@ -43,11 +44,18 @@ def temporary(spark: SparkSession):
             at.getFileSystem(conf).delete(at, True)
 
 
+def new_path(spark: SparkSession, name: str, stay: bool = False) -> str:
+    """A folder of its own in the shared one."""
+    folder = f"{shared_dir(spark)}/starloom-{uuid.uuid4().hex}"
+    scopes = _scopes[:-1] if stay else _scopes
+    if scopes:
+        scopes[-1].append(folder)
+    return f"{folder}/{name}"
+
+
 def materialize(df: DataFrame, name: str, stay: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/starloom-{uuid.uuid4().hex}/{name}"
-    if _scopes and not stay:
-        _scopes[-1].append(path)
+    path = new_path(df.sparkSession, name, stay)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -55,10 +63,11 @@ def materialize(df: DataFrame, name: str, stay: bool = False) -> DataFrame:
 def materialize_by_key(df: DataFrame, key: str, name: str, n: int) -> DataFrame:
     """As :func:`materialize`, bucketed by ``key``: later groupings on it read the table without another shuffle."""
     spark, table = df.sparkSession, f"starloom_{name}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/starloom-{uuid.uuid4().hex}/{name}"
-    writer = df.repartition(n, key).write.option("compression", "zstd").option("path", path)
+    writer = df.repartition(n, key).write.option("compression", "zstd").option("path", new_path(spark, name))
     writer.bucketBy(n, key).sortBy(key).format("parquet").saveAsTable(table)
-    return spark.table(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the name only: its files and what was read of their buckets stay
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -92,8 +101,15 @@ def even_keys(n: int, per: int) -> list[int]:
     return keys
 
 
+def chunk_keys(n: int) -> list[int]:
+    """Keys of chunks and buckets for ``n`` partitions: two for each, evenly dealt while they fit into an expression."""
+    return even_keys(n, 2) if n <= 2048 else list(range(2 * n))
+
+
 def chunk_of(keys: list[int], *cols: str) -> Column:
     """One of ``keys`` for each row, by a hash of ``cols``."""
+    if keys[-1] == len(keys) - 1:
+        return F.pmod(F.xxhash64(*cols), F.lit(len(keys))).cast("int")
     at = F.pmod(F.xxhash64(*cols), F.lit(len(keys))).cast("int")
     return F.element_at(F.array(*map(F.lit, keys)), at + 1)
 
@@ -115,8 +131,8 @@ def raw_documents(docs: DataFrame) -> DataFrame:
 
 
 def sum_blobs(df: DataFrame, dtype: str, lanes: int = 8):
-    """Element-wise sum of the array that each row's only column holds, or None: rows are added up as they stream
-    through a few lanes, and one array a lane comes to the driver."""
+    """Element-wise sum of the array that each row's only column holds, or None. Rows are added up as they stream, first
+    in as many lanes as there are shuffle partitions, then in a few; one array of each of these comes to the driver."""
     import numpy as np
     import pyarrow as pa
 
@@ -131,5 +147,8 @@ def sum_blobs(df: DataFrame, dtype: str, lanes: int = 8):
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], [name])
 
+    wide = shuffle_partitions(df.sparkSession)
+    if wide > 8 * lanes:
+        df = df.repartition(wide).mapInArrow(add, f"{name} binary")
     found = [np.frombuffer(r[0], dtype) for r in df.repartition(lanes).mapInArrow(add, f"{name} binary").collect()]
     return sum(found[1:], found[0]) if found else None

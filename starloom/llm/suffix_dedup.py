@@ -1,7 +1,7 @@
-"""Removal of repeated byte strings across documents, by distributed prefix doubling on sampled positions.
+"""Removal of repeated byte strings across documents, by rounds of ranks over content-sampled positions.
 
-A byte goes if a string of ``length`` bytes over it also starts in a document with a smaller doc_id. Plain prefix
-doubling sorts a (position, rank, rank) row for every byte of the corpus in every round, many times the input on disk.
+Plain prefix doubling sorts a (position, rank, rank) row for every byte of the corpus in every round, many times the
+input on disk; this is a departure from it, in fixed rounds (README.md has the figures).
 Here the first round is run on a sample that is chosen by content: of the ``length - q + 1`` first substrings of q
 bytes in each window of ``length`` bytes, the one with the smallest hash (the leftmost on ties). Equal windows choose
 equal substrings at equal offsets, so no repeat is lost, and about one position in 13 is left. Ranks are classes of
@@ -32,8 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.llm import bytesets as B
-from starloom.llm.store import chunk_of, even_keys, materialize, materialize_by_key, shuffle_partitions, small_batches
+from starloom.llm.store import chunk_keys, chunk_of, materialize, materialize_by_key, shuffle_partitions, small_batches
 
+CHUNK = 32 << 20  # bytes of text in a chunk, about
 _POS = 24  # bits for a position in a block
 _ANSWER = "chunk int, kind int, keys binary, docs binary, flags binary"
 
@@ -280,9 +281,10 @@ def suffix_dedup(docs: DataFrame, length: int = 50, carry: bool = False) -> Data
     """
     if length < 4:
         raise ValueError("length must be at least 4")
-    n = shuffle_partitions(docs.sparkSession)
-    keys = even_keys(n, 2)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n = max(shuffle_partitions(docs.sparkSession), -(-size // (2 * CHUNK)))  # a chunk is one task's table, however much there is
+    keys = chunk_keys(n)
     rows = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
     parts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("raw"), chunk_of(keys, "doc_id", "text").alias("chunk"), *rows)
     chunks = materialize_by_key(parts, "chunk", "chunks", n)

@@ -79,9 +79,10 @@ def test_top_k(spark, monkeypatch):
     rows += [(450, None), (500, [1.0, None]), (550, [float("nan")] * 20), (600, [float("inf")] * 20), (None, [1.0] * 20), (650, []), (700, [0.5, -0.5]), (50, rows[50][1]), (351, rows[350][1]), (352, rows[350][1]), (353, [0.0] * 20), (750, [0.0] * 20)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
     rows = [(i, None if v is None else [None if c is None else float(np.float32(c)) for c in v]) for i, v in rows]
-    for block, queries in ((1024, 16384), (32, 5)):
+    for block, queries, numbers in ((1024, 16384, 1 << 22), (32, 5, 60)):
         monkeypatch.setattr(topk, "BLOCK", block)
         monkeypatch.setattr(topk, "QUERIES", queries)
+        monkeypatch.setattr(topk, "PASS", numbers)
         assert sorted(map(tuple, topk.digest(df).collect())) == brute_top(rows)
     assert topk.digest(df.limit(0)).collect() == []
 
@@ -91,3 +92,42 @@ def test_top_k_large_numbers(spark):
     rows = [(i, [float(2**17 + i), 3.0 + i, -(2.0**17)]) for i in range(0, 120, 10)]
     got = sorted(map(tuple, topk.digest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
     assert got == brute_top(rows)
+
+
+def test_classifier_equals_plain_loops():
+    """FTRL and the dot product against loops over dictionaries."""
+    from math import exp, sqrt
+
+    rng = np.random.default_rng(3)
+    rows = [(d, float(d % 3 == 0), np.unique(rng.integers(0, 50, 12)).astype(np.uint32)) for d in range(40)]
+    rows = [(d, y, p, rng.integers(1, 4, len(p)).astype(np.uint32)) for d, y, p in rows]
+    z, n = {}, {}
+    q = quality_classifier
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= q.L1 else (np.sign(z[i]) * q.L1 - z[i]) / ((q.BETA + sqrt(n[i])) / q.ALPHA + q.L2)
+    order, deal = sorted(range(len(rows)), key=lambda i: rows[i][0]), np.random.default_rng(5)
+    for _ in range(q.EPOCHS):
+        for r in deal.permutation(order):
+            _, y, place, count = rows[r]
+            x = {int(i): c * q.SCALE / count.sum() for i, c in zip(place, count, strict=True)} | {1 << q.BITS: 1.0}
+            w = {i: weight(i) for i in x}
+            error = 1 / (1 + exp(-sum(w[i] * x[i] for i in x))) - y
+            for i, v in x.items():
+                g, old = error * v, n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (sqrt(old + g * g) - sqrt(old)) / q.ALPHA * w[i]
+                n[i] = old + g * g
+    got = q.fit(rows[::-1])
+    assert all(abs(got[i] - weight(i)) < 1e-5 for i in z) and np.count_nonzero(got) <= len(z)
+    text = b"one two two, three"
+    values = np.frombuffer(text, np.uint8)
+    place, _ = q.features(values, np.array([0, len(text)]))
+    dense = rng.normal(0, 1, (1 << q.BITS) + 1).astype(np.float32)
+    want = 1 / (1 + exp(-(sum(float(dense[i]) for i in place) * q.SCALE / len(place) + float(dense[-1]))))
+    assert len(place) == 5 + 4 and abs(q.score_block(values, np.array([0, len(text)]), dense)[0] - want) < 1e-6
+
+
+def test_classifier_bound_holds_after_the_join(spark):
+    """Repeated doc_ids do not multiply what one task gets; with more labels than the bound some are learnt from."""
+    docs = spark.createDataFrame([(i % 50, f"{'good' if i % 50 % 2 else 'bad'} words here {i}") for i in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    a, b = (quality_classifier.train(docs.repartition(n), labels, 20) for n in (2, 7))
+    assert (a == b).all() and np.count_nonzero(a)
