@@ -5,10 +5,15 @@ table that grows with the corpus. The most frequent OWN words are classes of the
 remaining classes at equal mass (by count as far as the 2**BITS most frequent words, which every task holds; by hash
 beyond them), and P(token) = P(class | window) * count(word) / count(class). Counts of words beyond the frequent ones
 are joined back to the documents that have them. The network sees WINDOW classes on either side (class 0
-beyond the text's borders), one rectified layer, softmax over classes. It is trained in NumPy on every token, one in
-ROUNDS of every document in each of ROUNDS rounds: every task learns from its own documents, starting from the same
-weights, and weights are averaged by tokens. Weights and the classes' totals, one array a task, are added up in a few streaming
-lanes; the driver sees arrays of fixed size only.
+beyond the text's borders), one rectified layer, softmax over classes.
+
+Texts are read twice: once to count words, once to write their classes (a byte a token). Training deals documents by a
+hash to groups of about GROUP tokens, whose number grows with the corpus, and reads each group in the order of that
+hash: every group learns by Adagrad in NumPy from the same starting weights, and the groups' weights are averaged by
+tokens. This is repeated in ROUNDS rounds, in each of which one in ROUNDS of every document's tokens is a target, so
+every token is one once. Groups and steps depend on the documents alone, not on how the table is partitioned; only
+the order in which 64-bit sums are added may differ. Weights are added up in streaming lanes; the driver sees arrays of
+fixed size only.
 
 A document's score is the sum of its tokens' conditional log-probabilities; mean_logp is that sum by token.
 
@@ -26,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.llm import bytesets as B
-from starloom.llm.store import materialize, raw_documents, sum_blobs
+from starloom.llm.store import materialize, raw_documents, shuffle_partitions, sum_blobs
 
 BITS, CLASSES, OWN = 18, 128, 95
-WINDOW, HIDDEN = 2, 24
+WINDOW, HIDDEN = 2, 32
 ROUNDS, BATCH, RATE = 2, 256, 0.05
+GROUP, PART = 1 << 21, 1 << 16  # tokens that one group learns from, and that are handled at once
 HELD = 1 << 20  # words a task counts before it passes them on
 SHAPES = {"t": (2 * WINDOW, CLASSES, HIDDEN), "b": (HIDDEN,), "u": (HIDDEN, CLASSES), "c": (CLASSES,)}
 
@@ -173,9 +179,10 @@ class Trainer:
         dh = (p @ self.w["u"].T) * (h > 0)
         grad = {"u": h.T @ p, "c": p.sum(0), "b": dh.sum(0), "t": np.zeros(SHAPES["t"], np.float32)}
         for k in range(2 * WINDOW):
-            seen = np.zeros((CLASSES, len(dh)), np.float32)
-            seen[ctx[:, k], np.arange(len(dh))] = 1
-            grad["t"][k] = seen @ dh
+            order = np.argsort(ctx[:, k].astype(np.uint8), kind="stable")
+            c = ctx[order, k]
+            first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+            grad["t"][k][c[first]] = np.add.reduceat(dh[order], first)
         for k, d in grad.items():
             self.g[k] += d * d
             self.w[k] -= RATE * d / np.sqrt(self.g[k])
@@ -247,77 +254,137 @@ def count_words(raw: DataFrame) -> tuple[Classes, Inside]:
     return cls, Inside(cls, totals, rare.where("n > 1"))
 
 
-def turn_of(found: np.ndarray, borders: np.ndarray) -> np.ndarray:
+def turn_of(classes: np.ndarray, borders: np.ndarray) -> np.ndarray:
     """The round in which each token is a target: every token has one."""
-    nth = np.arange(len(found)) - np.repeat(borders[:-1], np.diff(borders))
-    return B.mix((nth.astype(np.uint64) << np.uint64(20)) + found.view(np.uint64)) % np.uint64(ROUNDS)
+    nth = np.arange(len(classes)) - np.repeat(borders[:-1], np.diff(borders))
+    return B.mix((nth.astype(np.uint64) << np.uint64(8)) + classes.astype(np.uint64)) % np.uint64(ROUNDS)
+
+
+def _coded(sent) -> Callable:
+    """Classes of each document's tokens, the sum of their logarithms inside classes as far as counts are at hand, and
+    the words whose counts are not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls, known, minus = sent.value
+        for batch in batches:
+            values, offsets = B.bytes_of(batch.column("raw"))
+            for i, j in B.blocks(offsets):
+                found, borders = bins(values[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                where = cls.find(found)
+                classes = cls.at(found, where)
+                other = np.flatnonzero(where < 0)
+                inside = known[where] if len(known) else np.zeros(len(found))
+                inside[other] = minus[classes[other]]
+                rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(other, borders), pa.int32()), pa.array(found[other]))
+                blobs = [classes[a:b].tobytes() for a, b in zip(borders, borders[1:], strict=False)]
+                hashes = B.mix(B.Prefix(values).of(offsets[i:j], offsets[i + 1 : j + 1])).view(np.int64)
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(borders)), pa.array(B.sums(inside, borders)), pa.array(blobs, pa.binary()), pa.array(hashes), rare], ["doc_id", "n_tokens", "inside", "classes", "place", "rare"])
+
+    return run
+
+
+def code(docs: DataFrame, cls: Classes, inside: Inside) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast((cls, *inside.arrays()))
+    rows = raw_documents(docs).mapInArrow(_coded(sent), "doc_id long, n_tokens long, inside double, classes binary, place long, rare array<long>")
+    return materialize(rows.withColumn("id", F.monotonically_increasing_id()), "coded")
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(group, classes, borders): documents of a group, in their order, as soon as they have PART tokens together."""
+    held: list[bytes] = []
+    size, group = 0, None
+
+    def out() -> tuple[int, np.ndarray, np.ndarray]:
+        return group, np.frombuffer(b"".join(held), np.uint8), np.cumsum([0, *map(len, held)])
+
+    for batch in batches:
+        for g, c in zip(batch.column("group").to_pylist(), batch.column("classes").to_pylist(), strict=True):
+            if held and (g != group or size >= PART):
+                yield out()
+                held, size = [], 0
+            group = g
+            held.append(c)
+            size += len(c)
+    if held:
+        yield out()
 
 
 def _trained(sent, turn: int) -> Callable:
+    """Rows sorted by group: a row with weights for each of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls, start = sent.value
-        trainer = Trainer(unflat(start))
-        for found, borders in _blocks(batches):
-            target = cls[found]
-            masked = np.flatnonzero(turn_of(found, borders) == turn)
-            ctx = contexts(target, borders)[masked]
-            order = np.random.default_rng(len(found)).permutation(len(masked))
-            trainer.learn(ctx[order], target[masked][order].astype(np.intp))
-        weighted = np.append(flat(trainer.w).astype(np.float64) * trainer.seen, trainer.seen)
-        yield pa.RecordBatch.from_arrays([pa.array([weighted.tobytes()], pa.binary())], ["weights"])
+        trainer, at = None, None
+
+        def out() -> pa.RecordBatch:
+            weighted = np.append(flat(trainer.w).astype(np.float64) * trainer.seen, trainer.seen)
+            return pa.RecordBatch.from_arrays([pa.array([weighted.tobytes()], pa.binary())], ["weights"])
+
+        for group, classes, borders in _parts(batches):
+            if group != at:
+                if trainer:
+                    yield out()
+                trainer, at = Trainer(unflat(sent.value)), group
+            masked = np.flatnonzero(turn_of(classes, borders) == turn)
+            ctx = contexts(classes, borders)[masked]
+            order = np.random.default_rng(len(classes)).permutation(len(masked))
+            trainer.learn(ctx[order], classes[masked][order].astype(np.intp))
+        if trainer:
+            yield out()
 
     return run
 
 
-def train(docs: DataFrame) -> tuple[Classes, Inside, np.ndarray]:
-    """Classes and log-probabilities of the words, and the network's weights, from all documents."""
-    raw = raw_documents(docs).select("raw")
-    cls, inside = count_words(raw)
+def _learnt(coded: DataFrame) -> np.ndarray:
+    """The network's weights, from the written classes of all documents."""
+    spark = coded.sparkSession
+    tokens = coded.agg(F.sum("n_tokens")).first()[0] or 0
+    groups = max(1, -(-tokens // GROUP))
+    dealt = coded.where("n_tokens > 0").select(F.pmod(F.xxhash64("place", "doc_id"), F.lit(groups)).alias("group"), "place", "doc_id", "classes")
+    dealt = dealt.repartition(max(1, min(groups, shuffle_partitions(spark))), "group").sortWithinPartitions("group", "place", "doc_id").select("group", "classes")
     weights = flat(fresh())
     for turn in range(ROUNDS):
-        sent = docs.sparkSession.sparkContext.broadcast((cls, weights))
-        total = sum_blobs(raw.mapInArrow(_trained(sent, turn), "weights binary"), "f8")
+        sent = spark.sparkContext.broadcast(weights)
+        total = sum_blobs(dealt.mapInArrow(_trained(sent, turn), "weights binary"), "f8")
         if total is not None and total[-1]:
             weights = (total[:-1] / total[-1]).astype(np.float32)
-    return cls, inside, weights
+    return weights
 
 
-def score_block(found: np.ndarray, borders: np.ndarray, model: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each document's sum, but for the logarithms of other words' counts; these words, and the borders among them."""
-    cls, known, minus, weights = model
-    where = cls.find(found)
-    target = cls.at(found, where)
-    other = np.flatnonzero(where < 0)
-    inside = known[where] if len(known) else np.zeros(len(found))
-    inside[other] = minus[target[other]]
-    logp = class_logp(unflat(weights), contexts(target, borders), target.astype(np.intp)) + inside
-    total = np.append(0.0, np.cumsum(logp))
-    return total[borders[1:]] - total[borders[:-1]], found[other], np.searchsorted(other, borders)
+def train(docs: DataFrame) -> tuple[Classes, Inside, np.ndarray]:
+    """Classes and log-probabilities of the words, and the network's weights, from all documents."""
+    cls, inside = count_words(raw_documents(docs).select("raw"))
+    return cls, inside, _learnt(code(docs, cls, inside))
 
 
 def _scored(sent) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = unflat(sent.value)
         for batch in batches:
-            values, offsets = B.bytes_of(batch.column("raw"))
-            for i, j in B.blocks(offsets):
-                found, borders = bins(values[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                total, other, at = score_block(found, borders, sent.value)
-                rare = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(other))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(borders)), pa.array(total), rare], ["doc_id", "n_tokens", "sum_logp", "rare"])
+            blobs = batch.column("classes").to_pylist()
+            ends = np.cumsum([0, *map(len, blobs)])
+            total = [np.zeros(0)]
+            for i, j in B.blocks(ends, PART):
+                classes, borders = np.frombuffer(b"".join(blobs[i:j]), np.uint8), ends[i : j + 1] - ends[i]
+                total.append(B.sums(class_logp(weights, contexts(classes, borders), classes.astype(np.intp)), borders))
+            cols = [batch.column(c) for c in ("id", "doc_id", "n_tokens", "inside")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(total))], ["id", "doc_id", "n_tokens", "inside", "logp"])
 
     return run
 
 
 def score(docs: DataFrame, model: tuple | None = None) -> DataFrame:
     """doc_id, n_tokens, sum_logp and mean_logp of every document; the model is trained on ``docs`` if not given."""
-    cls, inside, weights = model or train(docs)
-    sent = docs.sparkSession.sparkContext.broadcast((cls, *inside.arrays(), weights))
-    out = raw_documents(docs).mapInArrow(_scored(sent), "doc_id long, n_tokens long, sum_logp double, rare array<long>")
+    cls, inside = model[:2] if model else count_words(raw_documents(docs).select("raw"))
+    coded = code(docs, cls, inside)
+    sent = docs.sparkSession.sparkContext.broadcast(model[2] if model else _learnt(coded))
+    out = coded.select("id", "doc_id", "n_tokens", "inside", "classes").mapInArrow(_scored(sent), "id long, doc_id long, n_tokens long, inside double, logp double")
+    total = F.col("logp") + F.col("inside")
     if inside.rare is not None:
-        out = materialize(out.withColumn("id", F.monotonically_increasing_id()), "scored")
-        logs = out.select("id", F.explode("rare").alias("word")).join(inside.rare, "word").groupBy("id").agg(F.sum(F.ln("n")).alias("more"))
-        out = out.drop("rare").join(logs, "id", "left").withColumn("sum_logp", F.col("sum_logp") + F.coalesce("more", F.lit(0.0)))
-    return out.select("doc_id", "n_tokens", "sum_logp", F.when(F.col("n_tokens") > 0, F.col("sum_logp") / F.col("n_tokens")).alias("mean_logp"))
+        logs = coded.select("id", F.explode("rare").alias("word")).join(inside.rare, "word").groupBy("id").agg(F.sum(F.ln("n")).alias("more"))
+        out, total = out.join(logs, "id", "left"), total + F.coalesce("more", F.lit(0.0))
+    out = out.select("doc_id", "n_tokens", total.alias("sum_logp"))
+    return out.withColumn("mean_logp", F.when(F.col("n_tokens") > 0, F.col("sum_logp") / F.col("n_tokens")))
 
 
 def digest(docs: DataFrame) -> DataFrame:

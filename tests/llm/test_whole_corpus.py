@@ -49,15 +49,46 @@ def test_keep_one_of_each_class_not_of_each_name(spark):
 
 
 def test_lm_every_token_is_a_target_once(monkeypatch):
-    """The trainer sees each token of each text over the rounds."""
-    texts = [" ".join(f"w{(i * k) % 23}" for k in range(40 + i)) for i in range(30)] + ["", "one"]
-    batch = pa.RecordBatch.from_arrays([pa.array([t.encode() for t in texts], pa.binary())], ["raw"])
-    cls = lm_scoring.Classes(np.zeros(0, np.int64), np.zeros(0, np.int64), 1)
-    seen = []
-    monkeypatch.setattr(lm_scoring.Trainer, "learn", lambda self, ctx, target: seen.append(len(target)))
+    """The trainer sees each token of each text over the rounds, and groups do not mix."""
+    texts = [bytes((i * k) % 23 + 1 for k in range(40 + i)) for i in range(30)] + [b"\x01"]
+    groups = [i // 8 for i in range(len(texts))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(groups[i : i + 5]), pa.array(texts[i : i + 5], pa.binary())], ["group", "classes"]) for i in range(0, len(texts), 5)]
+    monkeypatch.setattr(lm_scoring, "PART", 100)
+    seen, learn = [], lm_scoring.Trainer.learn
+    monkeypatch.setattr(lm_scoring.Trainer, "learn", lambda self, ctx, target: (seen.append(len(target)), learn(self, ctx, target)))
     for turn in range(lm_scoring.ROUNDS):
-        list(lm_scoring._trained(SimpleNamespace(value=(cls, lm_scoring.flat(lm_scoring.fresh()))), turn)(iter([batch])))
-    assert sum(seen) == sum(len(t.split()) for t in texts) and min(seen) > 0
+        assert len(list(lm_scoring._trained(SimpleNamespace(value=lm_scoring.flat(lm_scoring.fresh())), turn)(iter(batches)))) == 4
+    assert sum(seen) == sum(map(len, texts))
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "GROUP", 4000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    a, b = ({r.doc_id: r.mean_logp for r in lm_scoring.digest(docs.repartition(n)).collect()} for n in (2, 9))
+    assert a.keys() == b.keys() and all(a[k] == b[k] or abs(a[k] - b[k]) < 1e-3 for k in a)
+
+
+def test_lm_learns_as_plain_loops():
+    """A few steps of training against one token at a time."""
+    rng = np.random.default_rng(6)
+    ctx, target = rng.integers(0, 9, (40, 4)), rng.integers(0, 9, 40)
+    t = lm_scoring.Trainer(lm_scoring.fresh())
+    t.learn(ctx, target)
+    w = {k: v.astype(np.float64) for k, v in lm_scoring.fresh().items()}
+    grad = {k: np.zeros_like(v) for k, v in w.items()}
+    for row, y in zip(ctx, target, strict=True):
+        h = np.maximum(w["b"] + sum(w["t"][k][c] for k, c in enumerate(row)), 0)
+        z = h @ w["u"] + w["c"]
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        p[y] -= 1
+        back = (w["u"] @ p) * (h > 0)
+        grad["u"] += np.outer(h, p) / 40
+        grad["c"] += p / 40
+        grad["b"] += back / 40
+        for k, c in enumerate(row):
+            grad["t"][k][c] += back / 40
+    for k in w:
+        assert np.allclose(t.w[k], w[k] - lm_scoring.RATE * grad[k] / np.sqrt(1e-3 + grad[k] ** 2), atol=1e-4)
 
 
 def test_lm_gradient_adds_up_over_a_batch():
