@@ -5,7 +5,7 @@ table that grows with the corpus. The most frequent OWN words are classes of the
 remaining classes at equal mass (by count as far as the 2**BITS most frequent words, which every task holds; by hash
 beyond them), and P(token) = P(class | window) * count(word) / count(class). Counts of words beyond the frequent ones
 are joined back to the documents that have them. The network sees WINDOW classes on either side (class 0
-beyond the text's borders), one rectified layer, softmax over classes.
+beyond the text's borders), one rectified layer whose last unit is always 1, softmax over classes.
 
 Texts are read twice: once to count words, once to write their classes (a byte a token). Training deals documents by a
 hash to groups of about GROUP tokens, whose number grows with the corpus, and reads each group in the order of that
@@ -35,10 +35,10 @@ from starloom.llm.store import materialize, raw_documents, shuffle_partitions, s
 
 BITS, CLASSES, OWN = 18, 128, 95
 WINDOW, HIDDEN = 2, 32
-ROUNDS, BATCH, RATE = 2, 256, 0.05
+ROUNDS, BATCH, RATE = 2, 1024, 0.1
 GROUP, PART = 1 << 21, 1 << 16  # tokens that one group learns from, and that are handled at once
 HELD = 1 << 20  # words a task counts before it passes them on
-SHAPES = {"t": (2 * WINDOW, CLASSES, HIDDEN), "b": (HIDDEN,), "u": (HIDDEN, CLASSES), "c": (CLASSES,)}
+SHAPES = {"t": (2 * WINDOW, CLASSES, HIDDEN), "b": (HIDDEN,), "u": (HIDDEN, CLASSES)}
 
 
 def bins(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +112,9 @@ class Inside:
 
 def fresh() -> dict[str, np.ndarray]:
     rng = np.random.default_rng(11)
-    return {k: (rng.normal(0, 0.1, s) if k in "tu" else np.zeros(s)).astype(np.float32) for k, s in SHAPES.items()}
+    out = {k: (rng.normal(0, 0.1, s) if k in "tu" else np.zeros(s)).astype(np.float32) for k, s in SHAPES.items()}
+    out["t"][:, :, -1], out["b"][-1], out["u"][-1] = 0, 1, 0
+    return out
 
 
 def flat(weights: dict[str, np.ndarray]) -> np.ndarray:
@@ -134,7 +136,7 @@ def contexts(cls: np.ndarray, borders: np.ndarray) -> np.ndarray:
     doc = np.repeat(np.arange(len(borders) - 1), np.diff(borders))
     left = np.arange(n) - borders[doc]
     right = borders[doc + 1] - 1 - np.arange(n)
-    out = np.zeros((n, 2 * WINDOW), np.intp)
+    out = np.zeros((n, 2 * WINDOW), np.uint8)
     for k in range(1, WINDOW + 1):
         i = np.flatnonzero(left >= k)
         out[i, WINDOW - k] = cls[i - k]
@@ -143,21 +145,38 @@ def contexts(cls: np.ndarray, borders: np.ndarray) -> np.ndarray:
     return out
 
 
-def _hidden(w: dict[str, np.ndarray], ctx: np.ndarray) -> np.ndarray:
-    h = w["t"][0][ctx[:, 0]] + w["b"]
-    for k in range(1, 2 * WINDOW):
-        h += w["t"][k][ctx[:, k]]
-    return np.maximum(h, 0, out=h)
+class Buffers:
+    """Arrays that steps of up to BATCH tokens are worked out in: fresh ones would cost more than the sums."""
+
+    def __init__(self):
+        self.h, self.part, self.p = (np.empty((BATCH, n), np.float32) for n in (HIDDEN, HIDDEN, CLASSES))
+        self.rows, self.ones = np.arange(BATCH), np.ones((CLASSES, 1), np.float32)
+
+    def hidden(self, w: dict[str, np.ndarray], ctx: np.ndarray) -> np.ndarray:
+        n = len(ctx)
+        h, part = self.h[:n], self.part[:n]
+        np.take(w["t"][0], ctx[:, 0], axis=0, out=h, mode="clip")
+        h += w["b"]
+        for k in range(1, 2 * WINDOW):
+            np.take(w["t"][k], ctx[:, k], axis=0, out=part, mode="clip")
+            h += part
+        return np.maximum(h, 0, out=h)
+
+    def shares(self, w: dict[str, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp(logits) and its sum, by row; logits end at 80, far beyond what training gives."""
+        p = self.p[: len(h)]
+        np.matmul(h, w["u"], out=p)
+        np.minimum(p, 80, out=p)
+        np.exp(p, out=p)
+        return p, p @ self.ones
 
 
 def class_logp(w: dict[str, np.ndarray], ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
-    out = np.empty(len(target), np.float64)
-    for s in range(0, len(target), 8192):
-        logits = _hidden(w, ctx[s : s + 8192]) @ w["u"]
-        logits += w["c"]
-        logits -= logits.max(1, keepdims=True)
-        mine = logits[np.arange(len(logits)), target[s : s + 8192]]
-        out[s : s + 8192] = mine - np.log(np.exp(logits, out=logits).sum(1))
+    out, held = np.empty(len(target), np.float64), Buffers()
+    for s in range(0, len(target), BATCH):
+        p, total = held.shares(w, held.hidden(w, ctx[s : s + BATCH]))
+        mine = p[held.rows[: len(p)], target[s : s + BATCH]]
+        out[s : s + BATCH] = np.log(np.maximum(mine, 1e-37)) - np.log(total[:, 0])
     return out
 
 
@@ -167,19 +186,19 @@ class Trainer:
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = {k: v.copy() for k, v in weights.items()}
         self.g = {k: np.full(s, 1e-3, np.float32) for k, s in SHAPES.items()}
-        self.seen = 0
+        self.seen, self.held = 0, Buffers()
 
     def step(self, ctx: np.ndarray, target: np.ndarray) -> None:
-        h = _hidden(self.w, ctx)
-        p = h @ self.w["u"] + self.w["c"]
-        p = np.exp(p - p.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(p)), target] -= 1
-        p /= len(p)
-        dh = (p @ self.w["u"].T) * (h > 0)
-        grad = {"u": h.T @ p, "c": p.sum(0), "b": dh.sum(0), "t": np.zeros(SHAPES["t"], np.float32)}
+        h = self.held.hidden(self.w, ctx)
+        p, total = self.held.shares(self.w, h)
+        p /= total * np.float32(len(p))
+        p[self.held.rows[: len(p)], target] -= np.float32(1 / len(p))
+        dh = np.matmul(p, self.w["u"].T, out=self.held.part[: len(p)])
+        dh *= h > 0
+        dh[:, -1] = 0  # the unit that is always 1
+        grad = {"u": h.T @ p, "b": dh.sum(0), "t": np.zeros(SHAPES["t"], np.float32)}
         for k in range(2 * WINDOW):
-            order = np.argsort(ctx[:, k].astype(np.uint8), kind="stable")
+            order = np.argsort(ctx[:, k], kind="stable")
             c = ctx[order, k]
             first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
             grad["t"][k][c[first]] = np.add.reduceat(dh[order], first)

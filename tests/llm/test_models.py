@@ -55,7 +55,7 @@ def test_lm_score_is_the_sum(spark, docs, empty):
             h = w["b"].copy()
             for k, j in enumerate((i - 2, i - 1, i + 1, i + 2)):
                 h += w["t"][k][cls[found[j]] if 0 <= j < len(found) else 0]
-            z = np.maximum(h, 0) @ w["u"] + w["c"]
+            z = np.maximum(h, 0) @ w["u"]
             total += z[cls[found[i]]] - np.log(np.exp(z).sum()) + inside[found[i]]
         assert abs(total - r.sum_logp) < 1e-2 + 1e-4 * abs(total)
         assert (r.mean_logp is None) == (r.n_tokens == 0)
