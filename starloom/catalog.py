@@ -88,7 +88,7 @@ def stack_sql(iters: int, weight: str, keys: str = "y, x", source: str = "px") -
 on_px("r1_sigma_clip_stack", lambda px: O.stack(px), stack_sql(3, "1.0"))
 on_px("r2_weighted_stack", lambda px: O.stack(px.withColumn("w", 1 / (F.col("frame_id") + 1).cast("double")), weighted=True), stack_sql(3, "1.0 / (frame_id + 1)"))
 OLA_SQL = f"SELECT y, x, CASE WHEN ws > 1e-6 THEN round(vs / ws, 4) END AS v FROM (SELECT y, x, sum(v * w) AS vs, sum(w) AS ws FROM (SELECT *, 0.25 * (1 - cos(2 * pi() * (y - trow * {O.STRIDE}) / {O.TILE - 1})) * (1 - cos(2 * pi() * (x - tcol * {O.STRIDE}) / {O.TILE - 1})) AS w FROM t) GROUP BY 1, 2)"
-on_px("r8_overlap_add", lambda px: O.overlap_add(O.tile_of(px, SIDE), ("frame_id", "y", "x")), f", {TILES_SQL.replace('FROM px,', 'FROM (SELECT * FROM px WHERE frame_id = 0) px,')} {OLA_SQL}")
+on_px("r8_overlap_add", lambda px: O.overlap_add(O.tile_of(px, SIDE), ("frame_id", "y", "x")), f", {TILES_SQL} {OLA_SQL.replace('SELECT y, x', 'SELECT frame_id, y, x').replace('GROUP BY 1, 2', 'GROUP BY 1, 2, 3')}")
 on_px("r10_tile_seams", lambda px: O.seams(px, SIDE).select(*(F.col(c).cast("long").alias(c) for c in ("r1", "c1", "r2", "c2", "samples")), "mean_abs", "p95_abs"), f""", {TILES_SQL}, u AS (SELECT trow, tcol, y, x, avg(v) AS v FROM t GROUP BY 1, 2, 3, 4), w AS (SELECT trow, tcol, y, x, v - median(v) OVER (PARTITION BY trow, tcol) AS v FROM u),
 d AS (SELECT a.trow AS r1, a.tcol AS c1, b.trow AS r2, b.tcol AS c2, abs(a.v - b.v) AS d FROM w a JOIN w b ON a.y = b.y AND a.x = b.x AND ((b.trow = a.trow AND b.tcol = a.tcol + 1) OR (b.trow = a.trow + 1 AND b.tcol = a.tcol)))
 SELECT r1, c1, r2, c2, count(*) AS samples, round(avg(d), 4) AS mean_abs, round(list_sort(list(d))[CAST(floor(0.95 * (count(*) - 1) + 0.5) AS INT) + 1], 4) AS p95_abs FROM d GROUP BY ALL""")
@@ -102,8 +102,15 @@ on_px("g8_correlation", lambda px: px.alias("a").join(px.where("frame_id = 0").a
 on_px("j8_nearest_cell", lambda px: J.nearest_cells(px.groupBy(F.floor(F.col("y") / 2).alias("cy"), F.floor(F.col("x") / 2).alias("cx")).agg(F.median("v").alias("v")).withColumn("v", F.when((F.col("cy") * 7 + F.col("cx") * 3) % 5 > 0, round6(F.col("v"))))), """, c AS (SELECT cy, cx, CASE WHEN (cy * 7 + cx * 3) % 5 > 0 THEN round(v, 6) END AS v FROM (SELECT y // 2 AS cy, x // 2 AS cx, median(v) AS v FROM px GROUP BY 1, 2))
 SELECT a.cy, a.cx, coalesce(any_value(a.v), arg_min(b.v, ((b.cy - a.cy) ** 2 + (b.cx - a.cx) ** 2) * 10000 + b.cy * 100 + b.cx)) AS v FROM c a, c b WHERE b.v IS NOT NULL GROUP BY 1, 2""")
 on_px("r12_kmeans", lambda px: O.kmeans(O.quantile_labels(O.metrics(px), "noise", 5).select("frame_id", "background", "noise"), ["background", "noise"], 3).select("frame_id", "label"), None)
-on_px("p4_repeated_median", lambda px: J.repeated_median(px.select("frame_id", F.struct("y", "x").alias("id"), F.col("x").cast("double").alias("x"), F.col("v").alias("y")), "frame_id"), """, p AS (SELECT frame_id, x AS id, x::DOUBLE AS x, v AS y FROM px WHERE y = 0), i AS (SELECT a.frame_id, a.id, median((b.y - a.y) / (b.x - a.x)) AS s FROM p a JOIN p b ON a.frame_id = b.frame_id AND a.id <> b.id GROUP BY 1, 2),
-s AS (SELECT frame_id, median(s) AS slope FROM i GROUP BY 1) SELECT frame_id, round(any_value(slope), 6) AS slope, round(median(y - slope * x), 4) AS intercept FROM p JOIN s USING (frame_id) GROUP BY 1""")
+LINE_SQL = """, p AS (SELECT frame_id, y AS row, x AS col, x::DOUBLE AS x, v AS y FROM px), i AS (SELECT a.frame_id, a.row, a.col, median((b.y - a.y) / (b.x - a.x)) AS s FROM p a JOIN p b ON a.frame_id = b.frame_id AND a.x <> b.x GROUP BY 1, 2, 3),
+s AS (SELECT frame_id, median(s) AS slope FROM i GROUP BY 1)"""
+
+
+def line_of(px: DataFrame) -> DataFrame:
+    return J.repeated_median(px.select("frame_id", F.struct("y", "x").alias("id"), F.col("x").cast("double").alias("x"), F.col("v").alias("y")), "frame_id")
+
+
+on_px("p4_repeated_median", lambda px: line_of(px).select("frame_id", round6(F.col("slope")).alias("slope"), F.round("intercept", 4).alias("intercept")), f"{LINE_SQL} SELECT frame_id, round(any_value(slope), 6) AS slope, round(median(y - slope * x), 4) AS intercept FROM p JOIN s USING (frame_id) GROUP BY 1")
 on_px("f7_sampled_frames", lambda px: px.select("frame_id").distinct().where(F.col("frame_id").isin([int(i * (FRAMES - 1) / 6 + 0.5) for i in range(7)])), f"SELECT DISTINCT frame_id FROM px WHERE frame_id IN (SELECT CAST(floor(i * {FRAMES - 1} / 6.0 + 0.5) AS BIGINT) FROM range(7) t(i))")
 
 

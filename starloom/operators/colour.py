@@ -16,7 +16,7 @@ def gains(stars: DataFrame, k_max: float = 3.0, max_condition: float = 3.0, max_
 
     A line through (catalog, image) by repeated medians is read at the median catalog colour; the gain is its inverse.
     reason is the first guard that failed: few stars, determinant, condition, residual; null where the gains hold.
-    A frame holds a bounded list of stars (the brightest), so the pairs inside it are bounded too.
+    Nothing is rounded. A frame holds a bounded list of stars (the brightest), so the pairs inside it are bounded too.
     """
     good = stars.where("img_r > 0 and img_b > 0 and cat_r > 0 and cat_b > 0")
     both = good.select("frame_id", "id", F.explode(F.create_map(F.lit("r"), F.struct(F.col("cat_r").alias("x"), F.col("img_r").alias("y")), F.lit("b"), F.struct(F.col("cat_b").alias("x"), F.col("img_b").alias("y")))).alias("c", "s"))
@@ -24,13 +24,13 @@ def gains(stars: DataFrame, k_max: float = 3.0, max_condition: float = 3.0, max_
     line = repeated_median(points, "key")
     white = points.groupBy("key").agg(F.median("x").alias("white"), F.count("*").alias("n"))
     k = clip(F.try_divide(F.lit(1.0), F.col("intercept") + F.col("slope") * F.col("white")), 1e-3, k_max)
-    k = line.join(white, "key").withColumn("k", F.round(k, 6))
+    k = line.join(white, "key").withColumn("k", k)
     off = F.ln("x") - F.ln(F.col("k") * F.col("y"))
     each = points.join(k.select("key", "k", "n"), "key").withColumn("d", off).withColumn("m", F.median("d").over(Window.partitionBy("key")))
     each = each.groupBy("key").agg(F.first("k").alias("k"), F.first("n").alias("n"), (MAD_TO_SIGMA * F.median(F.abs(F.col("d") - F.col("m")))).alias("rms"))
     of = lambda c, v: F.max(F.when(F.col("key.c") == c, F.col(v)))
-    out = each.groupBy(F.col("key.frame_id").alias("frame_id")).agg(of("r", "k").alias("kr"), of("b", "k").alias("kb"), F.max("n").alias("n_stars"), F.round(F.max("rms"), 5).alias("rms"))
-    out = out.withColumn("determinant", F.round(F.col("kr") * F.col("kb"), 5)).withColumn("condition", F.round(F.greatest("kr", F.lit(1.0), "kb") / F.least("kr", F.lit(1.0), "kb"), 5))
+    out = each.groupBy(F.col("key.frame_id").alias("frame_id")).agg(of("r", "k").alias("kr"), of("b", "k").alias("kb"), F.max("n").alias("n_stars"), F.max("rms").alias("rms"))
+    out = out.withColumn("determinant", F.col("kr") * F.col("kb")).withColumn("condition", F.greatest("kr", F.lit(1.0), "kb") / F.least("kr", F.lit(1.0), "kb"))
     reason = F.when(F.col("n_stars") < least, "few stars").when(F.coalesce(F.col("determinant") <= 0, F.lit(True)), "determinant")
     return out.withColumn("reason", reason.when(F.col("condition") > max_condition, "condition").when(F.col("rms") > max_rms, "residual"))
 

@@ -63,7 +63,7 @@ def repeated_median(points: DataFrame, key: str) -> DataFrame:
     slopes = points.join(other, key).where("id <> id2 and x <> x2").withColumn("s", (F.col("y2") - F.col("y")) / (F.col("x2") - F.col("x")))
     inner = slopes.groupBy(key, "id").agg(F.median("s").alias("s"))
     slope = inner.groupBy(key).agg(F.median("s").alias("slope"))
-    return points.join(slope, key).groupBy(key).agg(F.round(F.first("slope"), 6).alias("slope"), F.round(F.median(F.col("y") - F.col("slope") * F.col("x")), 4).alias("intercept"))
+    return points.join(slope, key).groupBy(key).agg(F.first("slope").alias("slope"), F.median(F.col("y") - F.col("slope") * F.col("x")).alias("intercept"))
 
 
 def around(points: DataFrame, px: DataFrame, r: int) -> DataFrame:

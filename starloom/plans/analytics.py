@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.catalog import METRICS_SQL, STARS_SQL, TILES_SQL, stack_sql
+from starloom.catalog import LINE_SQL, METRICS_SQL, STARS_SQL, TILES_SQL, line_of, stack_sql
 from starloom.functions.robust import clip, floor_rank, nearest_rank, round6, upper_median
 from starloom.operators import frames as O
 from starloom.operators import joins as J
@@ -68,7 +68,7 @@ on_px("a22_weight_variance", lambda px: local(px).groupBy("trow", "tcol").agg(F.
 SQL["a22_weight_variance"] = f"SELECT round(var_pop(w) / (avg(w) ** 2 + 1e-12), 6) AS variance FROM (SELECT avg(weight) AS w FROM {part('w4_local_weights')} GROUP BY trow, tcol)"
 
 
-@query("a28_scan_score", "SELECT user_id, round(greatest(0, 1 - 0.25 * count(*) FILTER (event_type = 'error') - 0.1 * count(*) FILTER (event_type = 'signup')), 4) AS score FROM events WHERE event_id % 9 = 0 GROUP BY 1")
+@query("a28_scan_score", "SELECT user_id, round(greatest(0, 1 - 0.25 * count(*) FILTER (event_type = 'error') - 0.1 * count(*) FILTER (event_type = 'signup')), 4) AS score FROM events GROUP BY 1")
 def _score(s, d):
     kind = F.col("event_type")
     return table(s, d, "events").groupBy("user_id").agg(F.round(F.greatest(F.lit(0.0), 1 - 0.25 * F.count_if(kind == "error") - 0.1 * F.count_if(kind == "signup")), 4).alias("score"))
@@ -189,16 +189,18 @@ s AS (SELECT frame_id, rank, median(v) FILTER (d >= 2 AND d <= 4) AS sky, count(
 
 
 def _wloc_sql(rounds: int) -> str:
-    wm = "min(x) FILTER (keep AND 2 * c >= t)"
-    sql = "WITH k0 AS (SELECT event_type, event_id, value AS v, event_id % 7 + 1 AS w, TRUE AS keep FROM events)"
-    cum = "SELECT *, sum(CASE WHEN keep THEN w END) OVER (PARTITION BY event_type ORDER BY x, event_id) AS c, sum(CASE WHEN keep THEN w END) OVER (PARTITION BY event_type) AS t FROM (SELECT *, {} AS x FROM {})"
+    """Clip rounds that stop where the spread is nothing, fewer than 3 values would be left, or none goes."""
+    g, wm = "PARTITION BY event_type", "min(x) FILTER (keep AND 2 * c >= t)"
+    sql = "WITH k0 AS (SELECT event_type, event_id, value AS v, event_id % 7 + 1 AS w, value IS NOT NULL AS keep FROM events)"
+    cum = f"SELECT *, sum(CASE WHEN keep THEN w END) OVER ({g} ORDER BY x, event_id) AS c, sum(CASE WHEN keep THEN w END) OVER ({g}) AS t FROM (SELECT *, {{}} AS x FROM {{}})"
     for i in range(rounds):
-        sql += f", a{i} AS (SELECT *, {wm} OVER (PARTITION BY event_type) AS m FROM ({cum.format('v', f'k{i}')})), b{i} AS (SELECT * EXCLUDE (x, c, t) FROM a{i}), d{i} AS (SELECT *, {wm} OVER (PARTITION BY event_type) AS mad FROM ({cum.format('abs(v - m)', f'b{i}')}))"
-        sql += f", k{i + 1} AS (SELECT event_type, event_id, v, w, keep AND abs(v - m) <= 2.5 * 1.4826 * mad AS keep FROM d{i})"
-    return sql + f" SELECT event_type, round(sum(w * v) FILTER (keep) / sum(w) FILTER (keep), 5) AS location, CAST(count(*) FILTER (keep) AS BIGINT) AS n FROM k{rounds} GROUP BY 1"
+        sql += f", a{i} AS (SELECT *, {wm} OVER ({g}) AS m FROM ({cum.format('v', f'k{i}')})), b{i} AS (SELECT * EXCLUDE (x, c, t) FROM a{i}), d{i} AS (SELECT *, 1.4826 * ({wm} OVER ({g})) AS mad FROM ({cum.format('abs(v - m)', f'b{i}')}))"
+        sql += f", e{i} AS (SELECT *, keep AND abs(v - m) <= 2.5 * mad AS near FROM d{i}), f{i} AS (SELECT *, count(*) FILTER (near) OVER ({g}) AS n, count(*) FILTER (keep) OVER ({g}) AS held FROM e{i})"
+        sql += f", k{i + 1} AS (SELECT event_type, event_id, v, w, CASE WHEN mad >= 1e-15 AND n >= 3 AND n < held THEN near ELSE keep END AS keep FROM f{i})"
+    return sql + f" SELECT event_type, round(min(x) FILTER (keep AND 2 * c >= t), 5) AS location, CAST(count(*) FILTER (keep) AS BIGINT) AS n FROM ({cum.format('v', f'k{rounds}')}) GROUP BY 1"
 
 
-@query("p5_robust_location", _wloc_sql(3))
+@query("p5_robust_location", _wloc_sql(5))
 def _location(s, d):
     e = table(s, d, "events").select("event_type", "event_id", F.col("value").alias("v"), F.greatest(F.col("event_id") % 7 + 1, F.lit(1e-9)).alias("w"), F.col("value").isNotNull().alias("keep"))
     group = Window.partitionBy("event_type")
@@ -217,8 +219,8 @@ def _location(s, d):
     return middle(e, F.col("v"), "m").groupBy("event_type").agg(F.round(F.min("m"), 5).alias("location"), F.count_if("keep").alias("n"))
 
 
-on_px("p6_white_gains", lambda px: J.repeated_median(px.select("frame_id", F.struct("y", "x").alias("id"), F.col("x").cast("double").alias("x"), F.col("v").alias("y")), "frame_id").select("frame_id", F.round(F.least(1e4 / F.greatest(F.col("intercept") + F.col("slope") * 0.5, F.lit(1e-6)), F.lit(3.0)), 6).alias("gain")), None)
-SQL["p6_white_gains"] = f"SELECT frame_id, round(least(1e4 / greatest(intercept + slope * 0.5, 1e-6), 3), 6) AS gain FROM {part('p4_repeated_median')}"
+on_px("p6_white_gains", lambda px: line_of(px).select("frame_id", F.round(F.least(1e4 / F.greatest(F.col("intercept") + F.col("slope") * 0.5, F.lit(1e-6)), F.lit(3.0)), 6).alias("gain")), None)
+SQL["p6_white_gains"] = f"WITH {PX_SQL} {LINE_SQL}, l AS (SELECT frame_id, any_value(slope) AS slope, median(y - slope * x) AS intercept FROM p JOIN s USING (frame_id) GROUP BY 1) SELECT frame_id, round(least(1e4 / greatest(intercept + slope * 0.5, 1e-6), 3), 6) AS gain FROM l"
 
 
 # sky, warps, grids

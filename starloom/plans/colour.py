@@ -80,27 +80,27 @@ SELECT frame_id, rank, round(py + cy, 5) AS cy, round(qx + cx, 5) AS cx, round(f
 def _kept(px: DataFrame) -> DataFrame:
     w = Window.partitionBy("frame_id")
     m = px.withColumn("m", F.median("v").over(w)).withColumn("s", MAD_TO_SIGMA * F.median(F.abs(F.col("v") - F.col("m"))).over(w))
-    return m.where((F.col("s") <= 0) | (F.abs(F.col("v") - F.col("m")) <= 1.2 * F.col("s"))).groupBy("frame_id").agg(F.count("*").alias("n"), F.round(F.median("v"), 6).alias("med"))
+    return m.where((F.col("s") <= 0) | (F.abs(F.col("v") - F.col("m")) <= 2.5 * F.col("s"))).groupBy("frame_id").agg(F.count("*").alias("n"), F.round(F.median("v"), 6).alias("med"))
 
 
-on_px("n4_mad_clip", _kept, ", a AS (SELECT *, median(v) OVER (PARTITION BY frame_id) AS m FROM px), b AS (SELECT *, 1.4826 * median(abs(v - m)) OVER (PARTITION BY frame_id) AS s FROM a) SELECT frame_id, count(*) AS n, round(median(v), 6) AS med FROM b WHERE s <= 0 OR abs(v - m) <= 1.2 * s GROUP BY 1")
+on_px("n4_mad_clip", _kept, ", a AS (SELECT *, median(v) OVER (PARTITION BY frame_id) AS m FROM px), b AS (SELECT *, 1.4826 * median(abs(v - m)) OVER (PARTITION BY frame_id) AS s FROM a) SELECT frame_id, count(*) AS n, round(median(v), 6) AS med FROM b WHERE s <= 0 OR abs(v - m) <= 2.5 * s GROUP BY 1")
 
 
-# the brightest row's pixels stand in for stars
+# every pixel stands in for a star
 def _stars(px: DataFrame) -> DataFrame:
-    rgb = B.debayer(px, block=EDGE).where("y = 8")
-    return rgb.select("frame_id", F.col("x").alias("id"), (F.col("r") / F.col("g")).alias("img_r"), (F.col("b") / F.col("g")).alias("img_b"), (0.5 + F.col("x") / 10).alias("cat_r"), (1.5 - F.col("x") / 20).alias("cat_b"))
+    rgb = B.debayer(px, block=EDGE)
+    return rgb.select("frame_id", F.struct("y", "x").alias("id"), (F.col("r") / F.col("g")).alias("img_r"), (F.col("b") / F.col("g")).alias("img_b"), (0.5 + F.col("x") / 10).alias("cat_r"), (1.5 - F.col("x") / 20).alias("cat_b"))
 
 
-GAINS_SQL = f"""{RGB_SQL}, p AS (SELECT frame_id, 'r' AS c, x AS id, 0.5::DOUBLE + x / 10 AS cat, r / g AS img FROM rgb WHERE y = 8 AND r / g > 0 AND b / g > 0 UNION ALL SELECT frame_id, 'b', x, 1.5::DOUBLE - x / 20, b / g FROM rgb WHERE y = 8 AND r / g > 0 AND b / g > 0),
-sl AS (SELECT frame_id, c, median(s) AS slope FROM (SELECT a.frame_id, a.c, a.id, median((b.img - a.img) / (b.cat - a.cat)) AS s FROM p a JOIN p b ON a.frame_id = b.frame_id AND a.c = b.c AND a.id <> b.id GROUP BY 1, 2, 3) GROUP BY 1, 2),
-ln AS (SELECT frame_id, c, round(any_value(slope), 6) AS slope, round(median(img - slope * cat), 4) AS icept, median(cat) AS white, count(*) AS n FROM p JOIN sl USING (frame_id, c) GROUP BY 1, 2),
-kk AS (SELECT *, round(least(greatest(1 / (icept + slope * white), 1e-3), 3), 6) AS k FROM ln),
+GAINS_SQL = f"""{RGB_SQL}, p AS (SELECT frame_id, 'r' AS c, y * 64 + x AS id, 0.5::DOUBLE + x / 10 AS cat, r / g AS img FROM rgb WHERE r / g > 0 AND b / g > 0 UNION ALL SELECT frame_id, 'b', y * 64 + x, 1.5::DOUBLE - x / 20, b / g FROM rgb WHERE r / g > 0 AND b / g > 0),
+sl AS (SELECT frame_id, c, median(s) AS slope FROM (SELECT a.frame_id, a.c, a.id, median((b.img - a.img) / (b.cat - a.cat)) AS s FROM p a JOIN p b ON a.frame_id = b.frame_id AND a.c = b.c AND a.cat <> b.cat GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ln AS (SELECT frame_id, c, any_value(slope) AS slope, median(img - slope * cat) AS icept, median(cat) AS white, count(*) AS n FROM p JOIN sl USING (frame_id, c) GROUP BY 1, 2),
+kk AS (SELECT *, least(greatest(1 / (icept + slope * white), 1e-3), 3) AS k FROM ln),
 dd AS (SELECT frame_id, c, k, n, ln(cat) - ln(k * img) AS d FROM p JOIN kk USING (frame_id, c)), dm AS (SELECT *, median(d) OVER (PARTITION BY frame_id, c) AS m FROM dd),
 rr AS (SELECT frame_id, c, any_value(k) AS k, any_value(n) AS n, 1.4826 * median(abs(d - m)) AS rms FROM dm GROUP BY 1, 2),
-gg AS (SELECT frame_id, max(k) FILTER (c = 'r') AS kr, max(k) FILTER (c = 'b') AS kb, max(n) AS n_stars, round(max(rms), 5) AS rms FROM rr GROUP BY 1),
-g AS (SELECT *, round(kr * kb, 5) AS determinant, round(greatest(kr, 1, kb) / least(kr, 1, kb), 5) AS condition FROM gg)"""
-on_px("p6_colour_matrix", lambda px: C.gains(_stars(px)), f"{GAINS_SQL} SELECT *, CASE WHEN n_stars < 3 THEN 'few stars' WHEN determinant <= 0 THEN 'determinant' WHEN condition > 3 THEN 'condition' WHEN rms > 0.35 THEN 'residual' END AS reason FROM g")
+gg AS (SELECT frame_id, max(k) FILTER (c = 'r') AS kr, max(k) FILTER (c = 'b') AS kb, max(n) AS n_stars, max(rms) AS rms FROM rr GROUP BY 1),
+g AS (SELECT *, kr * kb AS determinant, greatest(kr, 1, kb) / least(kr, 1, kb) AS condition FROM gg)"""
+on_px("p6_colour_matrix", lambda px: C.gains(_stars(px)).select("frame_id", "n_stars", "reason", *(F.round(c, 5).alias(c) for c in ("kr", "kb", "rms", "determinant", "condition"))), f"{GAINS_SQL} SELECT frame_id, n_stars, round(kr, 5) AS kr, round(kb, 5) AS kb, round(rms, 5) AS rms, round(determinant, 5) AS determinant, round(condition, 5) AS condition, CASE WHEN n_stars < 3 THEN 'few stars' WHEN determinant <= 0 THEN 'determinant' WHEN condition > 3 THEN 'condition' WHEN rms > 0.35 THEN 'residual' END AS reason FROM g")
 _GRID = f"(SELECT unnest([{', '.join(map(str, C.STRENGTHS))}])::DOUBLE AS alpha)"
 _SIGMA = "CASE WHEN was > 0 THEN now / was - 1 ELSE 0 END"
 on_px("p7_damping", lambda px: C.damp(B.debayer(px, block=EDGE).where("r < 70000 and g < 70000 and b < 70000"), C.gains(_stars(px)).select("frame_id", "kr", "kb"), 20000.0, 60000.0), f"""{GAINS_SQL}, bg AS (SELECT rgb.*, kr, kb FROM rgb JOIN g USING (frame_id) WHERE r < 70000 AND rgb.g < 70000 AND b < 70000),
