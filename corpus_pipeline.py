@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from starloom.llm import host_rules, near_dedup, quality_classifier, suffix_dedup
 from starloom.llm.queries import pack_documents, table
-from starloom.llm.store import materialize
+from starloom.llm.store import materialize, temporary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,9 @@ ORACLE_SQL = None  # trained scores, signatures and tokenizers are beyond SQL; t
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, out, sf_dir)
         if i + 1 < len(STAGES):
-            out = materialize(out, f"stage{i + 1}")
+            with temporary(spark):  # what a stage wrote for itself goes with it
+                out = materialize(stage(spark, out, sf_dir), f"stage{i + 1}", stay=True)
+        else:
+            out = stage(spark, out, sf_dir)
     return out

@@ -55,12 +55,22 @@ def metrics(px: DataFrame) -> DataFrame:
     return graded.groupBy("frame_id").agg(F.first("m").alias("background"), (F.median(F.abs(F.col("v") - F.col("m"))) * MAD_TO_SIGMA).alias("noise"), F.median("g2").alias("energy"))
 
 
-def global_weights(m: DataFrame, wb: float = 0.4, wn: float = 0.3, wg: float = 0.3, k: float = 1.0, limit: float = 3.0) -> DataFrame:
-    """exp(k * clip(-wb z(background) - wn z(noise) + wg z(energy))); the metrics have one row a frame."""
+def global_weights(m: DataFrame, wb: float = 0.4, wn: float = 0.3, wg: float = 0.3, k: float = 1.0, limit: float = 3.0, adaptive: bool = False) -> DataFrame:
+    """exp(k * clip(-wb z(background) - wn z(noise) + wg z(energy))); the metrics have one row a frame.
+
+    ``adaptive`` takes the z-scores' shares of variance, held to [0.1, 0.7], as weights, where there are more than two
+    frames and any variance."""
     every = Window.partitionBy()
     for c in ("background", "noise", "energy"):
         m = robust_z(m, c, every, f"z_{c}")
-    q = clip(wb * -F.col("z_background") + wn * -F.col("z_noise") + wg * F.col("z_energy"), -limit, limit)
+    shares = [F.lit(wb), F.lit(wn), F.lit(wg)]
+    if adaptive:
+        variance = [F.var_pop(f"z_{c}").over(every) for c in ("background", "noise", "energy")]
+        total = variance[0] + variance[1] + variance[2]
+        held = [clip(v / total, 0.1, 0.7) for v in variance]
+        use = (F.count("*").over(every) > 2) & (total > 1e-12)
+        shares = [F.when(use, h / (held[0] + held[1] + held[2])).otherwise(s) for h, s in zip(held, shares, strict=True)]
+    q = clip(shares[0] * -F.col("z_background") + shares[1] * -F.col("z_noise") + shares[2] * F.col("z_energy"), -limit, limit)
     return m.select("frame_id", round6(q).alias("quality"), round6(F.exp(k * q)).alias("weight"))
 
 
@@ -172,3 +182,58 @@ def tile_grid(spark, height: int, width: int, size: int, overlap: float) -> Data
     at = lambda i, length: F.least(F.col(i) * step, F.lit(max(length - size, 0))).cast("int")
     rows = spark.range(n(height)).select(F.col("id").cast("int").alias("trow")).withColumn("tcol", F.explode(F.sequence(F.lit(0), F.lit(n(width) - 1))))
     return rows.select("trow", "tcol", at("trow", height).alias("y0"), at("tcol", width).alias("x0"))
+
+
+def limited(grid: DataFrame, frames: int = 0, tiles: int = 0) -> DataFrame:
+    """The first frames and tiles only; 0 is no limit."""
+    out = grid.where(F.col("frame") < frames) if frames else grid
+    return out.where(F.col("tile") < tiles) if tiles else out
+
+
+def finite_stats(values: DataFrame, key: str) -> DataFrame:
+    """Counts of finite, NaN, infinite and zero values; extremes, mean and sample deviation of the finite ones."""
+    infinite = F.abs("v") == float("inf")
+    finite = F.when(~F.isnan("v") & ~infinite, F.col("v"))
+    return values.groupBy(key).agg(F.count(finite).alias("n"), F.count_if(F.isnan("v")).alias("n_nan"), F.count_if(infinite).alias("n_inf"), F.count_if(F.col("v") == 0).alias("n_zero"), F.min(finite).alias("lo"), F.max(finite).alias("hi"), round6(F.avg(finite)).alias("mean"), round6(F.stddev_samp(finite)).alias("sd"))
+
+
+def header_scan(headers: DataFrame, key: str) -> DataFrame:
+    """Frames, whether they are of one size, a count for each pattern, and whether their colour modes differ."""
+    of = lambda p: F.count_if(F.col("found") == p).alias(p.lower())
+    return headers.groupBy(key).agg(F.count("*").alias("frames"), (F.count_distinct("width", "height") == 1).alias("one_size"), *map(of, ("RGGB", "BGGR", "GRBG", "GBRG")), (F.count_distinct("mode") > 1).alias("ambiguous"), F.min("mode").alias("first_mode"))
+
+
+def forward_box(warps: DataFrame, key: str, width: int, height: int) -> DataFrame:
+    """The whole pixels that hold the frame itself and its corners under every forward warp."""
+    corners = F.array(*(F.struct(F.lit(float(x)).alias("cx"), F.lit(float(y)).alias("cy")) for x in (0, width) for y in (0, height)))
+    at = warps.withColumn("c", F.explode(corners))
+    x = F.col("a00") * F.col("c.cx") + F.col("a01") * F.col("c.cy") + F.col("tx")
+    y = F.col("a10") * F.col("c.cx") + F.col("a11") * F.col("c.cy") + F.col("ty")
+    low = lambda e, n: F.floor(F.least(F.lit(0.0), F.min(e))).cast("int").alias(n)
+    high = lambda e, m, n: F.ceil(F.greatest(F.lit(float(m)), F.max(e))).cast("int").alias(n)
+    return at.groupBy(key).agg(low(x, "x0"), low(y, "y0"), high(x, width, "x1"), high(y, height, "y1"))
+
+
+def final_stack(px: DataFrame, quality: DataFrame, weighted: bool = True, method: str = "rej", kappa: float = 1.0, cap_ratio: float = 0.0) -> DataFrame:
+    """The stack of synthetic frames: weighted by exp(kappa * q), held to ``cap_ratio`` medians if that is given; only
+    with weights off does ``method`` count, and "rej" clips by sigma. ``quality`` (frame_id, q) has a row a frame."""
+    if not weighted and method == "rej":
+        return sigma_clip_stack(px)
+    w = quality.select("frame_id", F.exp(kappa * F.col("q")).alias("w") if weighted else F.lit(1.0).alias("w"))
+    if weighted and cap_ratio > 0:
+        w = w.select("frame_id", F.least("w", F.greatest(F.lit(1e-6), cap_ratio * F.median("w").over(Window.partitionBy()))).alias("w"))
+    return px.join(w, "frame_id").groupBy("y", "x").agg(F.round(F.sum(F.col("v") * F.col("w")) / F.greatest(F.lit(1e-6), F.sum("w")), 4).alias("v"))
+
+
+def enforce_mask(rgb: DataFrame, mask: DataFrame, height: int, width: int) -> DataFrame:
+    """Pixels outside the mask set to 0, in frames whose mask has a value for each of their pixels."""
+    fits = mask.groupBy("frame_id").agg((F.count("*") == height * width).alias("fits"))
+    out = rgb.join(mask, ["frame_id", "y", "x"], "left").join(fits, "frame_id", "left")
+    gone = F.coalesce("fits", F.lit(False)) & ~F.coalesce("inside", F.lit(False))
+    return out.select("frame_id", "y", "x", *(F.when(gone, 0.0).otherwise(round6(F.col(c))).alias(c) for c in "rgb"))
+
+
+def metric_report(m: DataFrame) -> DataFrame:
+    """Count, extremes, median, mean and population deviation of every metric over the frames."""
+    long = m.unpivot("frame_id", ["background", "noise", "energy"], "metric", "value")
+    return long.groupBy("metric").agg(F.count("*").alias("n"), *(F.round(e, 4).alias(n) for n, e in (("lo", F.min("value")), ("hi", F.max("value")), ("med", F.median("value")), ("mean", F.avg("value")), ("sd", F.stddev_pop("value")))))

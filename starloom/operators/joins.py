@@ -92,3 +92,14 @@ def ring_fill(cells: DataFrame, least: int) -> DataFrame:
     mid = F.size("near") / 2
     both = (F.get("near", F.ceil(mid - 1).cast("int")) + F.get("near", F.floor(mid).cast("int"))) / 2
     return df.select("cy", "cx", F.round(F.coalesce("v", both), 6).alias("v"))
+
+
+def overlapping(boxes: DataFrame, cell: int) -> DataFrame:
+    """(lhs, rhs) of all boxes(tile, x, y, w, h) that share area, lhs < rhs: an equi join on the cells that they touch,
+    and only the first common cell of a pair counts. ``cell`` should be about a box's size."""
+    top = lambda at, n: F.floor((F.col(at) + F.col(n) - 1) / cell)
+    on = boxes.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x") / cell), top("x", "w")))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("y") / cell), top("y", "h"))))
+    a, b = (on.select("cx", "cy", *(F.col(c).alias(f"{c}_{s}") for c in ("tile", "x", "y", "w", "h"))) for s in "ab")
+    both = a.join(b, ["cx", "cy"]).where("tile_a < tile_b and x_a < x_b + w_b and x_b < x_a + w_a and y_a < y_b + h_b and y_b < y_a + h_a")
+    first = (F.col("cx") == F.floor(F.greatest("x_a", "x_b") / cell)) & (F.col("cy") == F.floor(F.greatest("y_a", "y_b") / cell))
+    return both.where(first).select(F.col("tile_a").alias("lhs"), F.col("tile_b").alias("rhs"))

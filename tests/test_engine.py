@@ -41,9 +41,12 @@ def e(kind, phase=None, **more):
 CASES = [
     ([e("phase_start", "SCAN_INPUT"), e("phase_end", "SCAN_INPUT", status="ok"), e("phase_start", "ASTROMETRY"), e("phase_progress", "ASTROMETRY", progress=0.5), e("phase_progress", "ASTROMETRY", progress=0.2)], "running", "ASTROMETRY", {"ASTROMETRY": ("running", 0.5)}),
     ([e("phase_start", "ASTROMETRY"), e("phase_end", "ASTROMETRY", status="ok"), e("phase_start", "BGE"), e("phase_end", "BGE", status="ok"), e("resume_start", from_phase="BGE"), e("phase_start", "BGE")], "running", "BGE", {"BGE": ("running", 0.0), "ASTROMETRY": ("ok", 1.0)}),
-    ([e("phase_start", "STATE_CLUSTERING"), e("phase_end", "STATE_CLUSTERING", status="skipped"), e("run_end", success=True)], "completed", "STATE_CLUSTERING", {"STATE_CLUSTERING": ("skipped", 1.0)}),
-    ([e("phase_start", "ASTROMETRY"), e("phase_end", "ASTROMETRY", status="skipped"), e("run_end", success=True), e("resume_start", from_phase="ASTROMETRY"), e("resume_end", success=True)], "completed", "ASTROMETRY", {"ASTROMETRY": ("ok", 1.0)}),
-    ([e("phase_start", "BGE"), e("phase_end", "BGE", status="error")], "failed", "BGE", {"BGE": ("failed", 0.0)}),
+    ([e("phase_start", "STATE_CLUSTERING"), e("phase_end", "STATE_CLUSTERING", status="skipped"), e("run_end", success=True)], "completed", None, {"STATE_CLUSTERING": ("skipped", 1.0)}),
+    ([e("phase_start", "ASTROMETRY"), e("phase_end", "ASTROMETRY", status="skipped"), e("run_end", success=True), e("resume_start", from_phase="ASTROMETRY"), e("resume_end", success=True)], "completed", None, {"ASTROMETRY": ("ok", 1.0)}),
+    ([e("phase_start", "BGE"), e("phase_end", "BGE", status="error")], "failed", None, {"BGE": ("error", 0.0)}),
+    ([e("phase_start", "BGE"), e("phase_progress", "BGE", progress=0.4), e("phase_start", "BGE"), e("phase_progress", "BGE", progress=7.0)], "running", "BGE", {"BGE": ("running", 1.0)}),
+    ([e("phase_end", "ASTROMETRY", status="ok"), e("resume_start", from_phase="pcc"), e("phase_start", "ASTROMETRY"), e("phase_end", "ASTROMETRY", status="ok"), e("phase_end", "ASTROMETRY", status="skipped", reason="existing_wcs")], "running", "PCC", {"ASTROMETRY": ("ok", 1.0), "BGE": ("ok", 1.0), "PCC": ("running", 0.0)}),
+    ([e("phase_end", "BGE", status="stalled"), e("resume_start", from_phase="BGE"), e("resume_end", success=False)], "failed", "BGE", {"BGE": ("running", 0.0)}),
 ]
 
 
