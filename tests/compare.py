@@ -15,7 +15,7 @@ def duck(folder):
 
 
 def plain(v):
-    return None if v is None or (isinstance(v, float) and math.isnan(v)) else round(float(v), 3) if isinstance(v, float) or type(v).__name__ == "Decimal" else v
+    return None if v is None or (isinstance(v, float) and math.isnan(v)) else round(float(v), 7) if isinstance(v, float) or type(v).__name__ == "Decimal" else v
 
 
 def rows(names, data):
@@ -30,5 +30,5 @@ def same(df, con, sql):
     assert sorted(names) == sorted(df.columns), (names, df.columns)
     if len(want) != len(got):
         return f"{len(got)} rows, SQL {len(want)}"
-    bad = [(g, w) for g, w in zip(got, want, strict=True) if g != w and not all(a == b or (isinstance(a, float) and isinstance(b, float) and abs(a - b) <= 2e-3 + 1e-6 * abs(a)) for a, b in zip(g, w, strict=True))]
+    bad = [(g, w) for g, w in zip(got, want, strict=True) if g != w and not all(a == b or (isinstance(a, float) and isinstance(b, float) and abs(a - b) <= 2e-6 + 5e-6 * abs(a)) for a, b in zip(g, w, strict=True))]
     return f"{len(bad)} rows differ: {bad[:2]}" if bad else ""
