@@ -1,10 +1,18 @@
-"""Smooth surfaces through a coarse grid, taken off the pixels if they leave them flatter."""
+"""Smooth surfaces through coarse grids, one for each frame (and channel), taken off the pixels if they leave them flatter.
+
+``key`` names the columns that tell images apart. A task fits one image's coarse grid (some hundred cells, whatever the
+image); pixels meet their surface by an equi join on the image and a band of rows, so no task holds a whole image.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from starloom.functions.robust import MAD_TO_SIGMA
 from starloom.operators.joins import nearest_cells
@@ -28,26 +36,17 @@ def powers(degree: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(degree + 1) for j in range(degree + 1 - i)]
 
 
-def polynomial(cells: DataFrame, degree: int = 2) -> Column:
-    """The surface through cells(y, x, v) (a coarse grid, some hundred rows whatever the image) as an expression of y and x."""
-    g = cells.where("v is not null").select("y", "x", "v").toPandas().astype(float)
-    if g.empty:
-        return F.lit(0.0)
-    y0, x0, size = g["y"].mean(), g["x"].mean(), max(float(np.ptp(g["y"])), float(np.ptp(g["x"])), 1.0)
-    y, x = (g["y"] - y0) / size, (g["x"] - x0) / size
-    c = robust_fit(np.stack([y**i * x**j for i, j in powers(degree)], 1), g["v"].to_numpy())
-    yc, xc = (F.col("y") - y0) / size, (F.col("x") - x0) / size
-    return sum((F.lit(float(k)) * F.pow(yc, F.lit(float(i))) * F.pow(xc, F.lit(float(j))) for k, (i, j) in zip(c, powers(degree), strict=True)), F.lit(0.0))
-
-
-def subtract(px: DataFrame, model: Column, block: int, limit: float = 1.15) -> DataFrame:
-    """v - model + median(model); the pixels as they are where the spread of block medians would grow beyond ``limit`` times."""
-    df = px.withColumn("__b", model)
-    df = df.join(F.broadcast(df.agg(F.median("__b").alias("__m")))).withColumn("__v", F.col("v") - F.col("__b") + F.col("__m"))
-    blocks = df.groupBy(F.floor(F.col("y") / block), F.floor(F.col("x") / block)).agg(F.median("v").alias("old"), F.median("__v").alias("new"))
-    spread = lambda c: F.percentile(c, 0.9) - F.percentile(c, 0.1)
-    better = blocks.agg((spread("new") <= limit * spread("old")).alias("__ok"))
-    return df.join(F.broadcast(better)).withColumn("v", F.when(F.col("__ok"), F.col("__v")).otherwise(F.col("v"))).select(*px.columns)
+def _poly_fit(g: np.ndarray, degree: int) -> dict:
+    """A polynomial through the grid: its terms are rows (power of y, power of x, coefficient)."""
+    if not len(g):
+        return {"method": "poly", "rms": 0.0, "y0": 0.0, "x0": 0.0, "unit": 1.0, "mid": 0.0, "nodes": []}
+    y0, x0 = g[:, 0].mean(), g[:, 1].mean()
+    size = max(float(np.ptp(g[:, 0])), float(np.ptp(g[:, 1])), 1.0)
+    y, x = (g[:, 0] - y0) / size, (g[:, 1] - x0) / size
+    design = np.stack([y**i * x**j for i, j in powers(degree)], 1)
+    c = robust_fit(design, g[:, 2])
+    rms = float(np.sqrt(np.mean((g[:, 2] - design @ c) ** 2)))
+    return {"method": "poly", "rms": rms, "y0": y0, "x0": x0, "unit": size, "mid": 0.0, "nodes": [[float(i), float(j), float(k)] for k, (i, j) in zip(c, powers(degree), strict=True)]}
 
 
 KERNELS = {
@@ -55,12 +54,7 @@ KERNELS = {
     "gaussian": (lambda d, s: np.exp(-d * d / (2 * s * s)), lambda d, s: F.exp(-d * d / (2 * s * s))),
     "thinplate": (lambda d, s: d * d * np.log(d + s), lambda d, s: d * d * F.ln(d + s)),
 }
-
-
-def _grid(cells: DataFrame) -> np.ndarray:
-    """y, x, v of the coarse grid's valid cells (some hundred rows whatever the image)."""
-    g = cells.where("v is not null and not isnan(v)").orderBy("y", "x").select("y", "x", "v").toPandas()
-    return g.to_numpy(float)
+RIDGES = tuple(1e-6 * 3.0**i for i in range(6))
 
 
 def _radial_fit(g: np.ndarray, kernel: str, reach: float, ridges: tuple[float, ...]) -> tuple[np.ndarray, float]:
@@ -75,91 +69,158 @@ def _radial_fit(g: np.ndarray, kernel: str, reach: float, ridges: tuple[float, .
     return within[-1] if within else min(scored, key=lambda t: t[1])
 
 
-def radial(cells: DataFrame, kernel: str = "multiquadric", reach: float | None = None, ridges: tuple[float, ...] = tuple(1e-6 * 3.0**i for i in range(6))) -> tuple[Column, float]:
-    """The radial-basis surface through a coarse grid as an expression of y and x, and its rms; ``reach`` defaults to
-    the grid's spacing. Coefficients travel in the plan as one array, so the expression stays small."""
-    g = _grid(cells)
+def _radial(g: np.ndarray, kernel: str, reach: float | None) -> dict:
+    """A radial-basis surface: its terms are rows (y, x, coefficient); below three cells there is none."""
     if len(g) < 3:
-        return F.lit(0.0), 0.0
+        return {"method": kernel, "rms": 0.0, "y0": 0.0, "x0": 0.0, "unit": 1.0, "mid": 0.0, "nodes": []}
     step = np.diff(np.unique(g[:, 0]))
     reach = reach or float(step.min() if len(step) else 1.0)
-    c, rms = _radial_fit(g, kernel, reach, ridges)
-    node = F.array(*(F.array(F.lit(float(a)), F.lit(float(b)), F.lit(float(k))) for (a, b, _), k in zip(g, c, strict=True)))
-    far = lambda n: F.sqrt((F.col("y") - n[0]) * (F.col("y") - n[0]) + (F.col("x") - n[1]) * (F.col("x") - n[1]))
-    return F.lit(float(np.median(g[:, 2]))) + F.aggregate(node, F.lit(0.0), lambda s, n: s + n[2] * KERNELS[kernel][1](far(n), reach)), rms
-
-
-def surface(cells: DataFrame, method: str = "rbf", degree: int = 2, worst: float = 0.25) -> tuple[Column, str]:
-    """The surface by ``method`` (rbf or poly) and the method used: rbf gives way to a polynomial that fits better if
-    its rms is above ``worst``."""
-    if method == "poly":
-        return polynomial(cells, degree), "poly"
-    model, rms = radial(cells)
-    if rms > worst:
-        other = polynomial(cells, degree)
-        off = cells.where("v is not null").agg(F.sqrt(F.avg(F.pow(F.col("v") - other, F.lit(2.0))))).first()[0]
-        if off is not None and off < rms:
-            return other, "poly"
-    return model, "rbf"
-
-
-def autotune(cells: DataFrame, every: int = 5, degrees: tuple[int, ...] = (1, 2, 3), kernels: tuple[str, ...] = tuple(KERNELS), reaches: tuple[float, ...] = (1.0, 2.0)) -> DataFrame:
-    """trial, method, degree, kernel, reach, rms of all settings, fitted without each ``every``-th cell and measured on
-    these; the best has rank 1, ties go to the simpler (earlier) trial. One task fits one setting on the coarse grid."""
-    spark = cells.sparkSession
-    trials = [("poly", d, None, None) for d in degrees] + [("rbf", None, k, r) for k in kernels for r in reaches]
-    table = spark.createDataFrame([(i, *t) for i, t in enumerate(trials)], "trial int, method string, degree int, kernel string, reach double")
-    g = _grid(cells)
-    scored = table.repartition(len(trials), "trial").mapInPandas(_held_out(g, every), "trial int, method string, degree int, kernel string, reach double, rms double")
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.round("rms", 6), "trial")))
-
-
-def _held_out(g: np.ndarray, every: int):
-    def run(batches):
+    c, rms = _radial_fit(g, kernel, reach, RIDGES)
+    return {"method": kernel, "rms": rms, "y0": 0.0, "x0": 0.0, "unit": reach, "mid": float(np.median(g[:, 2])), "nodes": [[float(a), float(b), float(k)] for (a, b, _), k in zip(g, c, strict=True)]}
+
+
+def _valid(pdf: pd.DataFrame) -> np.ndarray:
+    return pdf[["y", "x", "v"]].dropna().sort_values(["y", "x"]).to_numpy(float)
+
+
+def surfaces(cells: DataFrame, method: str = "multiquadric", degree: int = 2, reach: float | None = None, worst: float | None = None, key: Iterable[str] = ("frame_id",)) -> DataFrame:
+    """One row an image: the surface through its cells(*key, y, x, v) by ``method`` (poly or a kernel), null and NaN
+    cells left out. ``reach`` defaults to the grid's spacing. With ``worst``, a radial surface whose rms is above it
+    gives way to a polynomial that fits better."""
+    key = list(key)
+
+    def best(g: np.ndarray) -> dict:
+        if method == "poly":
+            return _poly_fit(g, degree)
+        found = _radial(g, method, reach)
+        if worst is not None and found["rms"] > worst:
+            other = _poly_fit(g, degree)
+            return other if other["rms"] < found["rms"] else found
+        return found
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{k: pdf[k].iloc[0] for k in key} | best(_valid(pdf))])
+
+    out = StructType([cells.schema[k] for k in key] + StructType.fromDDL("method string, rms double, y0 double, x0 double, unit double, mid double, nodes array<array<double>>").fields)
+    return cells.select(*key, "y", "x", "v").groupBy(*key).applyInPandas(run, out)
+
+
+def modelled(px: DataFrame, found: DataFrame, key: Iterable[str] = ("frame_id",), band: int = 256) -> DataFrame:
+    """px with the column model: its image's surface at the pixel."""
+    key, rows = list(key), F.floor(F.col("y") / band)
+    wide = found.select(*key, F.struct("method", "y0", "x0", "unit", "mid", "nodes").alias("__s")).join(px.select(*key, rows.alias("__band")).distinct(), key)
+    s, y, x = (lambda n: F.col("__s")[n]), F.col("y"), F.col("x")
+    over = lambda term: F.aggregate(s("nodes"), F.lit(0.0), lambda total, n: total + n[2] * term(n))
+    value = F.when(s("method") == "poly", over(lambda n: F.pow((y - s("y0")) / s("unit"), n[0]) * F.pow((x - s("x0")) / s("unit"), n[1])))
+    for name, (_, shape) in KERNELS.items():
+        value = value.when(s("method") == name, over(lambda n, shape=shape: shape(F.sqrt((y - n[0]) * (y - n[0]) + (x - n[1]) * (x - n[1])), s("unit"))))
+    return px.withColumn("__band", rows).join(wide, [*key, "__band"]).select(*px.columns, (s("mid") + value).alias("model"))
+
+
+def _spread(c: str):
+    return F.percentile(c, 0.9) - F.percentile(c, 0.1)
+
+
+def _slope(v: str):
+    """Length of the gradient of the least-squares plane through points (y, x, v)."""
+    c = lambda a, b: F.covar_pop(a, b)
+    det = c("x", "x") * c("y", "y") - c("x", "y") * c("x", "y")
+    sx, sy = c("x", v) * c("y", "y") - c("y", v) * c("x", "y"), c("y", v) * c("x", "x") - c("x", v) * c("x", "y")
+    return F.when(F.abs(det) > 1e-12, F.sqrt(sx * sx + sy * sy) / F.abs(det))
+
+
+def subtract(px: DataFrame, block: int, flat: float = 1.15, steep: float | None = None, key: Iterable[str] = ("frame_id",), together: Iterable[str] | None = None) -> DataFrame:
+    """px(*key, y, x, v, model) to v - model + median(model), and the column applied.
+
+    An image stays as it is where the spread of its block medians would grow beyond ``flat`` times or, with ``steep``,
+    the slope of the plane through them beyond that many times. Images that share the columns ``together`` (the channels
+    of a frame) are corrected all or not at all. What is joined back to the pixels has a row an image.
+    """
+    key, unit = list(key), list(together or key)
+    moved = px.join(px.groupBy(*key).agg(F.median("model").alias("__m")), key).withColumn("__v", F.col("v") - F.col("model") + F.col("__m"))
+    at = lambda c: F.floor(F.col(c) / block).alias(c)
+    blocks = moved.groupBy(*key, at("y"), at("x")).agg(F.median("v").alias("old"), F.median("__v").alias("new"))
+    test = _spread("new") <= flat * _spread("old")
+    if steep is not None:
+        test = test & F.coalesce(_slope("new") <= steep * _slope("old"), F.lit(True))
+    good = blocks.groupBy(*key).agg(test.alias("ok")).groupBy(*unit).agg(F.min("ok").alias("applied"))
+    return moved.join(good, unit).select(*key, "y", "x", F.when(F.col("applied"), F.col("__v")).otherwise(F.col("v")).alias("v"), "applied")
+
+
+def chroma_guard(before: DataFrame, after: DataFrame, sky: DataFrame, limit: float = 1.08) -> DataFrame:
+    """after(frame_id, y, x, r, g, b) where neither ln(r / g) nor ln(b / g) scatters over the sky(frame_id, y, x) beyond
+    ``limit`` times what it did in ``before``; the frame as it was where one does. The column chroma_ok tells which."""
+    pair = before.join(after.select("frame_id", "y", "x", *(F.col(c).alias(f"__{c}") for c in "rgb")), ["frame_id", "y", "x"])
+    std = lambda a, g: F.stddev_pop(F.ln(F.when(F.col(a) > 0, F.col(a)) / F.when(F.col(g) > 0, F.col(g))))
+    keep = lambda c: F.coalesce(std(f"__{c}", "__g") <= limit * std(c, "g"), F.lit(True))
+    ok = pair.join(sky.select("frame_id", "y", "x"), ["frame_id", "y", "x"], "left_semi").groupBy("frame_id").agg((keep("r") & keep("b")).alias("__ok"))
+    ok_col = F.coalesce("__ok", F.lit(True))
+    return pair.join(ok, "frame_id", "left").select("frame_id", "y", "x", *(F.when(ok_col, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in "rgb"), ok_col.alias("chroma_ok"))
+
+
+def autotune(cells: DataFrame, every: int = 5, degrees: tuple[int, ...] = (1, 2, 3), kernels: tuple[str, ...] = tuple(KERNELS), reaches: tuple[float, ...] = (1.0, 2.0), steps: tuple[int, ...] = (1,)) -> DataFrame:
+    """frame_id, trial, method (poly or a kernel), degree, reach, step, rms, rank: all settings for the cells(frame_id,
+    y, x, v) of each frame, fitted without each ``every``-th cell and measured on these; ``step`` takes only each n-th
+    row and column of the grid. The best of a frame has rank 1, ties go to the simpler (earlier) trial; a frame with
+    fewer than three cells to fit has no finite rms. A task fits one setting to one frame's coarse grid."""
+    kinds = [("poly", d, None) for d in degrees] + [(k, None, r) for k in kernels for r in reaches]
+    trials = [(i, *t, n) for i, (t, n) in enumerate((t, n) for t in kinds for n in steps)]
+    rows = F.array(*(F.struct(F.lit(i).alias("trial"), F.lit(m).alias("method"), F.lit(d).cast("int").alias("degree"), F.lit(r).cast("double").alias("reach"), F.lit(n).alias("step")) for i, m, d, r, n in trials))
+    each = cells.select("frame_id", "y", "x", "v", F.explode(rows).alias("t"))
+    out = StructType([cells.schema["frame_id"]] + StructType.fromDDL("trial int, method string, degree int, reach double, step int, rms double").fields)
+    scored = each.select("frame_id", "y", "x", "v", "t.*").groupBy("frame_id", "trial").applyInPandas(_held_out(every), out)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("frame_id").orderBy(F.round("rms", 6), "trial")))
+
+
+def _held_out(every: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, g = pdf.iloc[0], _valid(pdf)
         test = np.arange(len(g)) % every == every - 1
-        fit, out = g[~test], g[test]
-        step = np.diff(np.unique(g[:, 0]))
-        unit, size, mid = float(step.min() if len(step) else 1.0), max(np.ptp(g[:, :2]) if len(g) else 1.0, 1.0), g[:, :2].sum(0) / max(len(g), 1)
-        base = lambda p, degree: np.stack([((p[:, 0] - mid[0]) / size) ** i * ((p[:, 1] - mid[1]) / size) ** j for i, j in powers(degree)], 1)
-        for trials in batches:
-            rms = []
-            for t in trials.itertuples():
-                if len(fit) < 3 or not len(out):
-                    rms.append(float("inf"))
-                    continue
-                if t.method == "poly":
-                    got = base(out, int(t.degree)) @ robust_fit(base(fit, int(t.degree)), fit[:, 2])
-                else:
-                    far = np.hypot(out[:, None, 0] - fit[None, :, 0], out[:, None, 1] - fit[None, :, 1])
-                    c, _ = _radial_fit(fit, t.kernel, t.reach * unit, tuple(1e-6 * 3.0**i for i in range(6)))
-                    got = KERNELS[t.kernel][0](far, t.reach * unit) @ c + np.median(fit[:, 2])
-                rms.append(float(np.sqrt(np.mean((out[:, 2] - got) ** 2))))
-            yield trials.assign(rms=rms)
+        out, n = g[test], int(t.step)
+        lines = lambda c: np.searchsorted(np.unique(g[:, c]), g[:, c]) % n == 0
+        fit = g[~test & lines(0) & lines(1)]
+        rms = float("inf")
+        if len(fit) >= 3 and len(out):
+            spacing = np.diff(np.unique(fit[:, 0]))
+            found = _poly_fit(fit, int(t.degree)) if t.method == "poly" else _radial(fit, t.method, t.reach * float(spacing.min() if len(spacing) else 1.0))
+            nodes, d = np.array(found["nodes"]), out[:, None, :2]
+            if t.method == "poly":
+                got = (((d[..., 0] - found["y0"]) / found["unit"]) ** nodes[:, 0] * ((d[..., 1] - found["x0"]) / found["unit"]) ** nodes[:, 1]) @ nodes[:, 2]
+            else:
+                got = KERNELS[t.method][0](np.hypot(d[..., 0] - nodes[:, 0], d[..., 1] - nodes[:, 1]), found["unit"]) @ nodes[:, 2] + found["mid"]
+            rms = float(np.sqrt(np.mean((out[:, 2] - got) ** 2)))
+        return pdf.iloc[:1][["frame_id", "trial", "method", "degree", "reach", "step"]].assign(rms=rms)
 
     return run
 
 
-def mesh_cells(px: DataFrame, size: int, sigmas: float = 3.0, least: int = 4) -> DataFrame:
-    """cells(cy, cx, v) of px(y, x, v): medians of pixels within ``sigmas`` of the whole median (bright sources fall out);
+def _side(df: DataFrame, small: DataFrame, key: list[str]) -> DataFrame:
+    """df beside a table with a row an image (without a key: a single row)."""
+    return df.join(small, key) if key else df.join(F.broadcast(small))
+
+
+def mesh_cells(px: DataFrame, size: int, sigmas: float = 3.0, least: int = 4, key: Iterable[str] = ()) -> DataFrame:
+    """cells(*key, cy, cx, v) of px(*key, y, x, v): medians of pixels within ``sigmas`` of the image's median (bright sources fall out);
     a cell with fewer than ``least`` of them takes the value of the nearest that has a value."""
-    m = px.join(F.broadcast(px.agg(F.median("v").alias("__m"))))
-    m = m.join(F.broadcast(m.agg((MAD_TO_SIGMA * F.median(F.abs(F.col("v") - F.col("__m")))).alias("__s"))))
+    key = list(key)
+    m = _side(px, px.groupBy(*key).agg(F.median("v").alias("__m")), key)
+    m = _side(m, m.groupBy(*key).agg((MAD_TO_SIGMA * F.median(F.abs(F.col("v") - F.col("__m")))).alias("__s")), key)
     calm = F.when((F.col("__s") <= 0) | (F.abs(F.col("v") - F.col("__m")) <= sigmas * F.col("__s")), F.col("v"))
-    cells = m.groupBy(F.floor(F.col("y") / size).alias("cy"), F.floor(F.col("x") / size).alias("cx")).agg(F.median(calm).alias("v"), F.count(calm).alias("n"))
-    return nearest_cells(cells.select("cy", "cx", F.when(F.col("n") >= least, F.col("v")).alias("v")))
+    cells = m.groupBy(*key, F.floor(F.col("y") / size).alias("cy"), F.floor(F.col("x") / size).alias("cx")).agg(F.median(calm).alias("v"), F.count(calm).alias("n"))
+    return nearest_cells(cells.select(*key, "cy", "cx", F.when(F.col("n") >= least, F.col("v")).alias("v")), *key)
 
 
-def mesh(px: DataFrame, cells: DataFrame, size: int) -> DataFrame:
+def mesh(px: DataFrame, cells: DataFrame, size: int, key: Iterable[str] = ()) -> DataFrame:
     """px with the column model: cells read bilinearly between their centres, level beyond the outermost ones.
 
     Four equi joins with the coarse grid; Spark broadcasts it where it is small and shuffles both sides where not."""
-    ends = cells.agg(F.max("cy").alias("__hy"), F.max("cx").alias("__hx"))
-    df = px.join(F.broadcast(ends))
+    key = list(key)
+    df = _side(px, cells.groupBy(*key).agg(F.max("cy").alias("__hy"), F.max("cx").alias("__hx")), key)
     for c, h in (("y", "__hy"), ("x", "__hx")):
         at = F.least(F.greatest((F.col(c) + 0.5) / size - 0.5, F.lit(0.0)), F.col(h).cast("double"))
         df = df.withColumn(f"__{c}0", F.floor(at)).withColumn(f"__{c}1", F.least(F.col(f"__{c}0") + 1, F.col(h))).withColumn(f"__{c}f", at - F.floor(at))
     for i in (0, 1):
         for j in (0, 1):
-            df = df.join(cells.select(F.col("cy").alias(f"__y{i}"), F.col("cx").alias(f"__x{j}"), F.col("v").alias(f"__c{i}{j}")), [f"__y{i}", f"__x{j}"], "left")
+            df = df.join(cells.select(*key, F.col("cy").alias(f"__y{i}"), F.col("cx").alias(f"__x{j}"), F.col("v").alias(f"__c{i}{j}")), [*key, f"__y{i}", f"__x{j}"], "left")
     side = lambda i: F.col(f"__c{i}0") * (1 - F.col("__xf")) + F.col(f"__c{i}1") * F.col("__xf")
     return df.withColumn("model", side(0) * (1 - F.col("__yf")) + side(1) * F.col("__yf")).select(*px.columns, "model")

@@ -37,14 +37,15 @@ def cone_search(stars: DataFrame, centres: DataFrame, radius: float) -> DataFram
     return s.join(c, "band").where(haversine_squared(F.col("ra0"), F.col("dec0"), F.col("ra"), F.col("dec")) <= limit).select("centre_id", "id")
 
 
-def nearest_cells(cells: DataFrame) -> DataFrame:
-    """cells(cy, cx, v): a null cell takes the value of the nearest valid one, ties to the smaller (cy, cx).
+def nearest_cells(cells: DataFrame, *key: str) -> DataFrame:
+    """cells(*key, cy, cx, v), ``key`` telling images apart: a null cell takes the value of the nearest valid one, ties to the smaller (cy, cx).
 
-    The grid is coarse (a few hundred cells, whatever the images), so all valid cells travel in one array; nothing of
-    the pixels does."""
-    valid = cells.where("v is not null").agg(F.collect_list(F.struct("cy", "cx", "v")).alias("valid"))
+    The grid is coarse (a few hundred cells, whatever the images), so an image's valid cells travel in one array; nothing
+    of the pixels does."""
+    valid = cells.where("v is not null").groupBy(*key).agg(F.collect_list(F.struct("cy", "cx", "v")).alias("valid"))
     near = F.array_min(F.transform("valid", lambda s: F.struct(((s.cy - F.col("cy")) * (s.cy - F.col("cy")) + (s.cx - F.col("cx")) * (s.cx - F.col("cx"))).alias("d2"), s.cy.alias("cy"), s.cx.alias("cx"), s.v.alias("v"))))
-    return cells.join(F.broadcast(valid)).select("cy", "cx", F.coalesce("v", near.v).alias("v"))
+    both = cells.join(valid, list(key), "left") if key else cells.join(F.broadcast(valid))
+    return both.select(*key, "cy", "cx", F.coalesce("v", near.v).alias("v"))
 
 
 def bridge(series: DataFrame, value: str, order: str, *keys: str) -> DataFrame:
@@ -85,7 +86,7 @@ def ring_fill(cells: DataFrame, least: int) -> DataFrame:
     """A null cell takes the median of the valid ones in square rings around it, as many rings as hold ``least`` of them.
 
     As in nearest_cells, the coarse grid's valid cells travel in one array of bounded size."""
-    valid = cells.where("v is not null").agg(F.collect_list(F.struct("cy", "cx", "v")).alias("valid"))
+    valid = cells.where("v is not null").groupBy(*key).agg(F.collect_list(F.struct("cy", "cx", "v")).alias("valid"))
     ring = lambda c: F.greatest(F.abs(c.cy - F.col("cy")), F.abs(c.cx - F.col("cx")))
     df = cells.join(F.broadcast(valid)).withColumn("reach", F.get(F.array_sort(F.transform("valid", ring)), F.least(F.lit(least), F.size("valid")) - 1))
     df = df.withColumn("near", F.array_sort(F.transform(F.filter("valid", lambda c: ring(c) <= F.col("reach")), lambda c: c.v)))

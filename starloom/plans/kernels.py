@@ -16,13 +16,12 @@ def _rounded(df, *names):
 
 
 def _cells(px):
-    one = px.where("frame_id = 0").select("y", "x", "v")
-    return one, one.groupBy((F.floor(F.col("y") / O.CELL) * O.CELL + 1.5).alias("y"), (F.floor(F.col("x") / O.CELL) * O.CELL + 1.5).alias("x")).agg(F.median("v").alias("v"))
+    at = lambda c: (F.floor(F.col(c) / O.CELL) * O.CELL + 1.5).alias(c)
+    return px.groupBy("frame_id", at("y"), at("x")).agg(F.median("v").alias("v"))
 
 
-def _flat(px, model=B.polynomial):
-    one, cells = _cells(px)
-    return _rounded(B.subtract(one, model(cells), O.CELL), "v")
+def _flat(px, **how):
+    return _rounded(B.subtract(B.modelled(px, B.surfaces(_cells(px), **how)), O.CELL), "v")
 
 
 def _lost(px):
@@ -35,10 +34,10 @@ def _lost(px):
 
 on_px("g7_phase_correlation", lambda px: _rounded(R.frame_shifts(px, 0), "dy", "dx", "peak"), None)
 on_px("g3_star_match", lambda px: _rounded(R.match_stars(O.local_maxima(px, 0.5, 12), O.local_maxima(px.where("frame_id = 0"), 0.5, 12)), "a00", "a01", "tx", "a10", "a11", "ty"), None)
-on_px("b4_flat_background", _flat, None)
-on_px("b3_radial_background", lambda px: _flat(px, lambda cells: B.radial(cells)[0]), None)
-on_px("b5_best_surface", lambda px: _flat(px, lambda cells: B.surface(cells)[0]), None)
-on_px("b7_autotune", lambda px: B.autotune(_cells(px)[1]).withColumn("rms", F.round("rms", 3)), None)
+on_px("b4_flat_background", lambda px: _flat(px, method="poly"), None)
+on_px("b3_radial_background", _flat, None)
+on_px("b5_best_surface", lambda px: _flat(px, worst=0.25), None)
+on_px("b7_autotune", lambda px: B.autotune(_cells(px), steps=(1, 2)).withColumn("rms", F.round("rms", 3)), None)
 on_px("g9_cascade", lambda px: _rounded(R.cascade(px, 0), "a00", "a01", "tx", "a10", "a11", "ty", "cc"), None)
 on_px("g4_triangles", lambda px: _rounded(R.cascade(px, 0, ("triangles",)), "a00", "a01", "tx", "a10", "a11", "ty", "cc"), None)
 on_px("g13_filled_warps", _lost, None)

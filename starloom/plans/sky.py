@@ -123,27 +123,26 @@ on_px("n21_calm_mask", _calm, ", g AS (SELECT *, abs(coalesce(lead(v) OVER r, v)
 
 def _moved(px: DataFrame) -> DataFrame:
     warps = px.select("frame_id").distinct().selectExpr("frame_id", "1d a00", "0d a01", "3d tx", "0d a10", "1d a11", "-2d ty")
-    return B.warp_mosaic(px, warps, SIDE, SIDE, EDGE).where("v > 0").select("frame_id", "y", "x", F.round("v", 3).alias("v"))
+    return B.warp_mosaic(px, warps, SIDE, SIDE, EDGE).select("frame_id", "y", "x", F.round("v", 3).alias("v"))
 
 
 # an odd shift lies between two pixels of the same colour
-on_px("n14_mosaic_warp", _moved, f", s AS (SELECT frame_id, y + 2 AS y, x - 2 AS x, v / 2 AS v FROM px UNION ALL SELECT frame_id, y + 2, x - 4, v / 2 FROM px) SELECT frame_id, y, x, round(sum(v), 3) AS v FROM s WHERE y < {SIDE} AND x >= 0 AND x < {SIDE} GROUP BY 1, 2, 3")
+on_px("n14_mosaic_warp", _moved, f", s AS (SELECT frame_id, y + 2 AS y, x - 2 AS x, v / 2 AS v FROM px UNION ALL SELECT frame_id, y + 2, x - 4, v / 2 FROM px) SELECT frame_id, y, x, round(coalesce(sum(v), 0), 3) AS v FROM (SELECT DISTINCT frame_id FROM px) CROSS JOIN range({SIDE}) a(y) CROSS JOIN range({SIDE}) b(x) LEFT JOIN s USING (frame_id, y, x) GROUP BY 1, 2, 3")
 on_px("p12_chroma_after", lambda px: B.debayer(px, block=EDGE).join(C.gains(_stars(px)).select("frame_id", "kr", "kb"), "frame_id").groupBy("frame_id").agg(*(F.round(F.stddev_pop(F.ln(e) - F.ln("g")), 5).alias(n) for n, e in (("was_r", F.col("r")), ("now_r", C.attenuated(F.col("r"), F.col("kr"), 20000.0, 60000.0)), ("was_b", F.col("b")), ("now_b", C.attenuated(F.col("b"), F.col("kb"), 20000.0, 60000.0)))), round6(F.median("g")).alias("green")), f"""{GAINS_SQL}, w AS (SELECT rgb.*, kr, kb, least(greatest((r - 20000) / 40000, 0), 1) AS tr, least(greatest((b - 20000) / 40000, 0), 1) AS tb FROM rgb JOIN g USING (frame_id))
 SELECT frame_id, round(stddev_pop(ln(r) - ln(g)), 5) AS was_r, round(stddev_pop(ln(r * (1 + tr * tr * (3 - 2 * tr) * (kr - 1))) - ln(g)), 5) AS now_r, round(stddev_pop(ln(b) - ln(g)), 5) AS was_b, round(stddev_pop(ln(b * (1 + tb * tb * (3 - 2 * tb) * (kb - 1))) - ln(g)), 5) AS now_b, round(median(g), 6) AS green FROM w GROUP BY 1""")
 
 
-# a mesh of calm cells under frame 0
+# a mesh of calm cells under every frame
 def _mesh(px: DataFrame) -> DataFrame:
-    one = px.where("frame_id = 0").select("y", "x", "v")
-    return G.mesh(one, G.mesh_cells(one, O.CELL, 0.8, 8), O.CELL).select("y", "x", F.round("model", 4).alias("model"))
+    return G.mesh(px, G.mesh_cells(px, O.CELL, 0.8, 8, ("frame_id",)), O.CELL, ("frame_id",)).select("frame_id", "y", "x", F.round("model", 4).alias("model"))
 
 
 _TOP = SIDE // O.CELL - 1
-on_px("b8_mesh_model", _mesh, f""", o AS (SELECT y, x, v, median(v) OVER () AS m FROM px WHERE frame_id = 0), k AS (SELECT *, 1.4826 * median(abs(v - m)) OVER () AS s FROM o),
-h AS (SELECT cy, cx, CASE WHEN n >= 8 THEN v END AS v FROM (SELECT y // {O.CELL} AS cy, x // {O.CELL} AS cx, median(v) FILTER (s <= 0 OR abs(v - m) <= 0.8 * s) AS v, count(*) FILTER (s <= 0 OR abs(v - m) <= 0.8 * s) AS n FROM k GROUP BY 1, 2)),
-c AS (SELECT a.cy, a.cx, coalesce(any_value(a.v), arg_min(b.v, ((b.cy - a.cy) ** 2 + (b.cx - a.cx) ** 2) * 10000 + b.cy * 100 + b.cx)) AS v FROM h a, h b WHERE b.v IS NOT NULL GROUP BY 1, 2),
-u AS (SELECT y, x, least(greatest((y + 0.5::DOUBLE) / {O.CELL} - 0.5::DOUBLE, 0), {_TOP}) AS uy, least(greatest((x + 0.5::DOUBLE) / {O.CELL} - 0.5::DOUBLE, 0), {_TOP}) AS ux FROM o)
-SELECT y, x, round(sum(c.v * (1 - abs(cy - uy)) * (1 - abs(cx - ux))), 4) AS model FROM u JOIN c ON abs(cy - uy) < 1 AND abs(cx - ux) < 1 GROUP BY 1, 2""")
+on_px("b8_mesh_model", _mesh, f""", o AS (SELECT *, median(v) OVER (PARTITION BY frame_id) AS m FROM px), k AS (SELECT *, 1.4826 * median(abs(v - m)) OVER (PARTITION BY frame_id) AS s FROM o),
+h AS (SELECT frame_id, cy, cx, CASE WHEN n >= 8 THEN v END AS v FROM (SELECT frame_id, y // {O.CELL} AS cy, x // {O.CELL} AS cx, median(v) FILTER (s <= 0 OR abs(v - m) <= 0.8 * s) AS v, count(*) FILTER (s <= 0 OR abs(v - m) <= 0.8 * s) AS n FROM k GROUP BY 1, 2, 3)),
+c AS (SELECT a.frame_id, a.cy, a.cx, coalesce(any_value(a.v), arg_min(b.v, ((b.cy - a.cy) ** 2 + (b.cx - a.cx) ** 2) * 10000 + b.cy * 100 + b.cx)) AS v FROM h a JOIN h b USING (frame_id) WHERE b.v IS NOT NULL GROUP BY 1, 2, 3),
+u AS (SELECT frame_id, y, x, least(greatest((y + 0.5::DOUBLE) / {O.CELL} - 0.5::DOUBLE, 0), {_TOP}) AS uy, least(greatest((x + 0.5::DOUBLE) / {O.CELL} - 0.5::DOUBLE, 0), {_TOP}) AS ux FROM o)
+SELECT frame_id, y, x, round(sum(c.v * (1 - abs(cy - uy)) * (1 - abs(cx - ux))), 4) AS model FROM u JOIN c USING (frame_id) WHERE abs(cy - uy) < 1 AND abs(cx - ux) < 1 GROUP BY 1, 2, 3""")
 _CHROMA = f"""{RGB_SQL}, l AS (SELECT *, 0.299 * r + 0.587 * g + 0.114 * b AS y_ FROM rgb), q AS (SELECT frame_id, quantile_cont(y_, 0.9) AS lim FROM l GROUP BY 1),
 s AS (SELECT a.frame_id, a.y, a.x, any_value(a.y_) AS l, any_value(a.r - a.y_) AS cr, any_value(a.b - a.y_) AS cb, avg(b.r - b.y_) AS sr, avg(b.b - b.y_) AS sb {near_sql(2, 'l')}),
 k AS (SELECT s.*, l + cr + CASE WHEN l <= lim THEN 0.7 ELSE 0 END * (sr - cr) AS red, l + cb + CASE WHEN l <= lim THEN 0.7 ELSE 0 END * (sb - cb) AS blue FROM s JOIN q USING (frame_id))

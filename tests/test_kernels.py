@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from starloom.operators import background as G
 from starloom.operators import blocks as B
@@ -86,14 +87,39 @@ def test_similarity_from_stars(spark):
 def test_surface_ignores_outliers_and_flattens(spark):
     y, x = np.indices((24, 24))
     image = 100 + 2.0 * y - 1.5 * x + 0.05 * x * y
-    px = rows(spark, image).drop("frame_id")
+    px = rows(spark, image)
     cells = image[::3, ::3].copy()
     cells[2, 2] += 500
-    coarse = spark.createDataFrame([(float(3 * i), float(3 * j), float(v)) for (i, j), v in np.ndenumerate(cells)], "y double, x double, v double")
-    flat = grid(G.subtract(px, G.polynomial(coarse), 4), "v", image.shape)
-    assert np.ptp(flat) < 1.0
-    worse = grid(G.subtract(px, G.polynomial(coarse) * -1, 4), "v", image.shape)
-    assert np.allclose(worse, image)  # the guard holds
+    coarse = spark.createDataFrame([(0, float(3 * i), float(3 * j), float(v)) for (i, j), v in np.ndenumerate(cells)], "frame_id long, y double, x double, v double")
+    model = G.modelled(px, G.surfaces(coarse, "poly"), band=7)
+    flat = G.subtract(model, 4)
+    assert np.ptp(grid(flat, "v", image.shape)) < 1.0 and flat.where("not applied").count() == 0
+    worse = G.subtract(model.withColumn("model", -F.col("model")), 4)
+    assert np.allclose(grid(worse, "v", image.shape), image)  # the guard holds
+    assert worse.where("applied").count() == 0
+
+
+def test_frames_have_surfaces_of_their_own_and_channels_go_together(spark):
+    y, x = np.indices((12, 12))
+    shapes = {"r": 50 + 3.0 * y, "g": 80 - 2.0 * x, "b": 70 + 1.0 * x}
+    data = [(f, c, i, j, float(v) * (f + 1)) for f in range(2) for c, image in shapes.items() for (i, j), v in np.ndenumerate(image)]
+    px, key = spark.createDataFrame(data, "frame_id long, channel string, y long, x long, v double"), ("frame_id", "channel")
+    model = G.modelled(px, G.surfaces(px, "poly", 1, key=key), key)
+    flat = G.subtract(model, 3, steep=1.08, key=key, together=("frame_id",))
+    assert flat.count() == len(data) and flat.where("not applied").count() == 0
+    assert all(r.s < 1e-6 for r in flat.groupBy(*key).agg(F.stddev("v").alias("s")).collect())
+    turned = model.withColumn("model", F.when(F.expr("frame_id = 1 and channel = 'b'"), -F.col("model")).otherwise(F.col("model")))
+    out = {r.frame_id: (r.a, r.n) for r in G.subtract(turned, 3, steep=1.08, key=key, together=("frame_id",)).groupBy("frame_id").agg(F.max("applied").alias("a"), F.count("*").alias("n")).collect()}
+    assert out == {0: (True, 432), 1: (False, 432)}  # one channel worsens, so none of its frame is touched
+
+
+def test_chroma_guard_takes_back_what_scatters_colours(spark):
+    rng = np.random.default_rng(4)
+    rows_ = [(f, i, j, *(float(v) for v in rng.normal(100, 2, 3))) for f in range(2) for i in range(8) for j in range(8)]
+    before = spark.createDataFrame(rows_, "frame_id long, y long, x long, r double, g double, b double")
+    after = before.withColumn("r", F.when(F.col("frame_id") == 1, F.col("r") + 20 * (F.col("x") % 2)).otherwise(F.col("r") + 1))
+    got = {(r.frame_id, r.y, r.x): r for r in G.chroma_guard(before, after, before.where("y < 6")).collect()}
+    assert all(got[f, i, j].r == pytest.approx(r + (f == 0)) and got[f, i, j].chroma_ok == (f == 0) for f, i, j, r, _, _ in rows_)
 
 
 def test_mesh_follows_the_sky_under_stars(spark):

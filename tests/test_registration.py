@@ -76,16 +76,16 @@ def test_lost_warps_follow_the_drift(spark):
 
 
 def coarse(spark, image, step=3):
-    return spark.createDataFrame([(float(step * i), float(step * j), float(v)) for (i, j), v in np.ndenumerate(image[::step, ::step])], "y double, x double, v double")
+    return spark.createDataFrame([(0, float(step * i), float(step * j), float(v)) for (i, j), v in np.ndenumerate(image[::step, ::step])], "frame_id long, y double, x double, v double")
 
 
 @pytest.mark.parametrize("kernel", G.KERNELS)
 def test_radial_surface_flattens(spark, kernel):
     y, x = np.indices((25, 25))
     image = 200 + 20 * np.sin(y / 6) + 15 * np.cos(x / 7)
-    model, rms = G.radial(coarse(spark, image), kernel, 4.0)
-    flat = grid(G.subtract(rows(spark, image).drop("frame_id"), model, 5), "v", image.shape)
-    assert rms < 3 and np.std(flat[3:-3, 3:-3]) < 0.3 * np.std(image)
+    found = G.surfaces(coarse(spark, image), kernel, reach=4.0)
+    flat = grid(G.subtract(G.modelled(rows(spark, image), found), 5), "v", image.shape)
+    assert found.first().rms < 3 and np.std(flat[3:-3, 3:-3]) < 0.3 * np.std(image)
 
 
 def test_surface_choice_and_autotune(spark):
@@ -93,9 +93,10 @@ def test_surface_choice_and_autotune(spark):
     cells = coarse(spark, 100 + 2.0 * y - x)
     best = {r["rank"]: r for r in G.autotune(cells).collect()}
     assert len(best) == 9 and best[1].method == "poly" and best[1].degree == 1 and best[1].rms < 1e-6
-    assert G.surface(cells, "poly")[1] == "poly" and G.surface(cells)[1] in ("rbf", "poly")
-    assert G.radial(cells.limit(2))[1] == 0.0
-    assert G.autotune(cells.limit(0)).count() == 9
+    assert {r.step for r in G.autotune(cells, steps=(1, 2)).collect()} == {1, 2}
+    assert G.surfaces(cells, worst=0.0).first().method == "poly" and G.surfaces(cells).first().method == "multiquadric"
+    assert G.surfaces(cells.limit(2)).first().rms == 0.0
+    assert G.autotune(cells.limit(0)).count() == 0
 
 
 def test_linearity_measures(spark):
