@@ -282,4 +282,4 @@ def _capped(s, d):
     return e.select("user_id", round6(F.least("w", 2 * F.median("w").over(Window.partitionBy()))).alias("w"))
 
 
-from starloom.plans import analytics, colour, intake, kernels, runs, sky, stencils  # noqa: E402, F401  (they register theirs, some upon the SQL above)
+from starloom.plans import analytics, colour, intake, kernels, photometry, runs, sky, stencils  # noqa: E402, F401  (they register theirs, some upon the SQL above)

@@ -129,6 +129,19 @@ def _slope(v: str):
     return F.when(F.abs(det) > 1e-12, F.sqrt(sx * sx + sy * sy) / F.abs(det))
 
 
+def plane(px: DataFrame, cells: DataFrame, key: Iterable[str] = ("frame_id",)) -> DataFrame:
+    """px with the column model: the least-squares plane through its image's cells(*key, y, x, v); level where the cells
+    lie on a line. One small aggregation, without Python."""
+    c, key = (lambda a, b: F.covar_pop(a, b)), list(key)
+    det = c("x", "x") * c("y", "y") - c("x", "y") * c("x", "y")
+    slope = lambda e: F.coalesce(F.when(F.abs(det) > 1e-12, e / det), F.lit(0.0))
+    fit = cells.groupBy(*key).agg(
+        slope(c("x", "v") * c("y", "y") - c("y", "v") * c("x", "y")).alias("__sx"), slope(c("y", "v") * c("x", "x") - c("x", "v") * c("x", "y")).alias("__sy"),
+        F.avg("y").alias("__y"), F.avg("x").alias("__x"), F.avg("v").alias("__v"))
+    model = F.col("__v") + F.col("__sx") * (F.col("x") - F.col("__x")) + F.col("__sy") * (F.col("y") - F.col("__y"))
+    return px.join(fit, key).select(*px.columns, model.alias("model"))
+
+
 def subtract(px: DataFrame, block: int, flat: float = 1.15, steep: float | None = None, key: Iterable[str] = ("frame_id",), together: Iterable[str] | None = None) -> DataFrame:
     """px(*key, y, x, v, model) to v - model + median(model), and the column applied.
 
