@@ -10,6 +10,7 @@ from starloom.operators import background as G
 from starloom.operators import blocks as B
 from starloom.operators import frames as O
 from starloom.operators import photometry as P
+from starloom.operators import stars as S
 from starloom.plans.analytics import _labels, part
 from starloom.plans.colour import GAINS_SQL
 from starloom.plans.stencils import EDGE, RGB_SQL
@@ -91,3 +92,14 @@ on_px("v6_cluster_report", lambda px: (lambda c: c.groupBy("label").agg(F.count(
 SQL["v6_cluster_report"] = f"SELECT label, count(*) AS n, min(frame_id) AS first_frame, round(min(weight), 6) AS lo, round(median(weight), 6) AS med, round(max(weight), 6) AS hi, round(avg(weight), 6) AS mean FROM {part('w6_quantile_labels')} JOIN {part('w3_global_weights')} USING (frame_id) GROUP BY 1"
 on_px("v6_overlap_report", lambda px: px.groupBy("y", "x").agg(F.count("*").alias("covered")).groupBy("covered").agg(F.count("*").alias("pixels")), None)
 SQL["v6_overlap_report"] = f"WITH {PX_SQL} SELECT covered, count(*) AS pixels FROM (SELECT y, x, count(*) AS covered FROM px GROUP BY 1, 2) GROUP BY 1"
+
+
+# stars in patches: no SQL, tests hold them against planted stars and plain Python
+def _tiles(px: DataFrame) -> DataFrame:
+    return S.typed_weights(S.tile_metrics(O.tile_of(px, SIDE).select("frame_id", "trow", "tcol", "y", "x", "v")), 1)
+
+
+on_px("n6_frame_stars", lambda px: (lambda f: f.select("frame_id", "star_count", *(F.round(c, 4).alias(c) for c in f.columns[2:])))(S.frame_stars(px, r=3, apart=2)), None)
+on_px("n7_tile_metrics", lambda px: _tiles(px).withColumns({c: F.round(c, 4) for c in (*S.TILE_METRICS, "weight")}), None)
+on_px("a18_nine_medians", lambda px: S.tile_summary(_tiles(px)).withColumns({c: F.round(c, 4) for c in S.TILE_METRICS}), None)
+on_px("b1_sky_tiles", lambda px: S.sky_tiles(S.tile_summary(_tiles(px))).select("trow", "tcol", "kind", "star_count"), None)
