@@ -14,7 +14,7 @@ from starloom.functions.robust import clip, median_or_zero, robust_z, round6, te
 from starloom.operators import frames as O
 from starloom.operators import joins as J
 from starloom.registry import QUERIES, SQL, on_px, query
-from starloom.sources.frames import FRAMES, PX_SQL, SIDE, pixels, table
+from starloom.sources.frames import COMMON, PX_SQL, SIDE, pixels, table
 from starloom.streaming.events import windowed_counts
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -58,7 +58,7 @@ def _clip_sql(rounds: int) -> str:
 
 
 on_px("a15_sigma_clip_background", O.sigma_clip_background, _clip_sql(5))
-on_px("a16_coverage", lambda px: O.coverage(px, FRAMES), f"SELECT y, x, count(*) AS covered, count(*) >= {FRAMES} AS common FROM px WHERE v > 0 GROUP BY 1, 2")
+on_px("a16_coverage", lambda px: O.coverage(px, COMMON), f"SELECT y, x, count(*) AS covered, count(*) >= {COMMON} AS common FROM px WHERE v > 0 GROUP BY 1, 2")
 on_px("w2_frame_metrics", lambda px: O.metrics(px).select("frame_id", *(round6(F.col(c)).alias(c) for c in ("background", "noise", "energy"))), f", {METRICS_SQL} SELECT frame_id, round(background, 6) AS background, round(noise, 6) AS noise, round(energy, 6) AS energy FROM met")
 on_px("w3_global_weights", lambda px: O.global_weights(O.metrics(px)), f""", {METRICS_SQL}, {z_sql('met', 'background', 'zb')}, {z_sql('zb_t', 'noise', 'zn')}, {z_sql('zn_t', 'energy', 'ze')}
 SELECT frame_id, round(q, 6) AS quality, round(exp(q), 6) AS weight FROM (SELECT frame_id, least(greatest(-0.4 * zb - 0.3 * zn + 0.3 * ze, -3), 3) AS q FROM ze_t)""")
@@ -111,7 +111,7 @@ def line_of(px: DataFrame) -> DataFrame:
 
 
 on_px("p4_repeated_median", lambda px: line_of(px).select("frame_id", round6(F.col("slope")).alias("slope"), F.round("intercept", 4).alias("intercept")), f"{LINE_SQL} SELECT frame_id, round(any_value(slope), 6) AS slope, round(median(y - slope * x), 4) AS intercept FROM p JOIN s USING (frame_id) GROUP BY 1")
-on_px("f7_sampled_frames", lambda px: px.select("frame_id").distinct().where(F.col("frame_id").isin([int(i * (FRAMES - 1) / 6 + 0.5) for i in range(7)])), f"SELECT DISTINCT frame_id FROM px WHERE frame_id IN (SELECT CAST(floor(i * {FRAMES - 1} / 6.0 + 0.5) AS BIGINT) FROM range(7) t(i))")
+on_px("f7_sampled_frames", lambda px: O.sampled(px.select("frame_id").distinct(), 7), "SELECT DISTINCT frame_id FROM px WHERE frame_id IN (SELECT CAST(floor(i * hi / 6.0 + 0.5) AS BIGINT) FROM (SELECT max(frame_id) AS hi FROM px), range(7) t(i))")
 
 
 @query("f12_mode_gate", "SELECT user_id, n, CASE WHEN n < 50 THEN 'abort' WHEN n < 70 THEN 'reduced' ELSE 'full' END AS mode FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)")

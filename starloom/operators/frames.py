@@ -41,7 +41,15 @@ def sigma_clip_background(px: DataFrame, rounds: int = 5, k: float = 3.0) -> Dat
     return df.groupBy("frame_id").agg(round6(F.median(F.when(F.col("keep"), F.col("v")))).alias("background"), F.sum(F.col("keep").cast("long")).alias("n_kept"))
 
 
+def sampled(px: DataFrame, n: int) -> DataFrame:
+    """The rows of ``n`` frames spread evenly from the first to the last (frame_id counts from 0)."""
+    last = px.agg(F.max("frame_id").alias("__hi"))
+    wanted = last.select(F.explode(F.array_distinct(F.array(*(F.floor(i * F.col("__hi") / (n - 1) + 0.5) for i in range(n))))).alias("frame_id"))
+    return px.join(F.broadcast(wanted), "frame_id", "left_semi")
+
+
 def coverage(px: DataFrame, frames: int) -> DataFrame:
+    """covered: frames with a value above 0 at a pixel; common: whether at least ``frames`` have one."""
     valid = (~F.isnan("v") & (F.col("v") > 0)).cast("long")
     return px.groupBy("y", "x").agg(F.sum(valid).alias("covered")).withColumn("common", F.col("covered") >= frames)
 

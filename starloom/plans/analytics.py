@@ -10,7 +10,7 @@ from starloom.functions.robust import clip, floor_rank, nearest_rank, round6, up
 from starloom.operators import frames as O
 from starloom.operators import joins as J
 from starloom.registry import SQL, on_px, query
-from starloom.sources.frames import FRAMES, PX_SQL, SIDE, table
+from starloom.sources.frames import COMMON, PX_SQL, SIDE, table
 
 def by_frame():
     return Window.partitionBy("frame_id")
@@ -37,8 +37,8 @@ def local(px: DataFrame) -> DataFrame:
 on_px("f2_output_scale", lambda px: px.withColumn("b", F.median("v").over(by_frame())).select("frame_id", "y", "x", F.round(F.col("v") / F.col("b") * F.when((F.col("y") % 2 == 0) & (F.col("x") % 2 == 0), 1000.0).otherwise(800.0) + 32, 5).alias("v")), "SELECT frame_id, y, x, round(v / median(v) OVER (PARTITION BY frame_id) * CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN 1000 ELSE 800 END + 32, 5) AS v FROM px")
 on_px("f3_normalize_to", lambda px: px.withColumn("b", F.median("v").over(by_frame())).select("frame_id", "y", "x", round6(F.col("v") * 1000 / F.greatest("b", F.lit(1e-6))).alias("scaled"), round6(F.col("v") + 1000 - F.col("b")).alias("shifted")), "SELECT frame_id, y, x, round(v * 1000 / greatest(median(v) OVER f, 1e-6), 6) AS scaled, round(v + 1000 - median(v) OVER f, 6) AS shifted FROM px WINDOW f AS (PARTITION BY frame_id)")
 on_px("f4_valid", lambda px: px.select("frame_id", "y", "x", F.when(~F.isnan("v") & (F.col("v") > 40000), round6(F.col("v"))).alias("v")), "SELECT frame_id, y, x, CASE WHEN NOT isnan(v) AND v > 40000 THEN round(v, 6) END AS v FROM px")
-on_px("f5_canvas_mask", lambda px: px.join(px.groupBy("y", "x").agg(F.count("*").alias("n")).where(f"n >= {FRAMES - 1}"), ["y", "x"], "left").select("frame_id", "y", "x", F.when(F.col("n").isNotNull(), round6(F.col("v"))).otherwise(0.0).alias("v")), f"SELECT frame_id, y, x, CASE WHEN count(*) OVER (PARTITION BY y, x) >= {FRAMES - 1} THEN round(v, 6) ELSE 0 END AS v FROM px")
-on_px("f8_probe_frames", lambda px: px.where(F.col("frame_id").isin([i * (FRAMES - 1) // 4 for i in range(5)]) & F.col("y").between(4, 11) & F.col("x").between(4, 11)).select("frame_id", "y", "x", round6(F.col("v")).alias("v")), f"SELECT frame_id, y, x, round(v, 6) AS v FROM px WHERE frame_id IN (SELECT i * {FRAMES - 1} // 4 FROM range(5) t(i)) AND y BETWEEN 4 AND 11 AND x BETWEEN 4 AND 11")
+on_px("f5_canvas_mask", lambda px: px.join(px.groupBy("y", "x").agg(F.count("*").alias("n")).where(f"n >= {COMMON}"), ["y", "x"], "left").select("frame_id", "y", "x", F.when(F.col("n").isNotNull(), round6(F.col("v"))).otherwise(0.0).alias("v")), f"SELECT frame_id, y, x, CASE WHEN count(*) OVER (PARTITION BY y, x) >= {COMMON} THEN round(v, 6) ELSE 0 END AS v FROM px")
+on_px("f8_probe_frames", lambda px: O.sampled(px, 5).where(F.col("y").between(4, 11) & F.col("x").between(4, 11)).select("frame_id", "y", "x", round6(F.col("v")).alias("v")), "SELECT frame_id, y, x, round(v, 6) AS v FROM px WHERE frame_id IN (SELECT CAST(floor(i * hi / 4.0 + 0.5) AS BIGINT) FROM (SELECT max(frame_id) AS hi FROM px), range(5) t(i)) AND y BETWEEN 4 AND 11 AND x BETWEEN 4 AND 11")
 on_px("f9_frame_limit", lambda px: px.where("frame_id < 3").groupBy("frame_id").agg(F.count("*").alias("n")), "SELECT frame_id, count(*) AS n FROM px WHERE frame_id < 3 GROUP BY 1")
 
 
@@ -50,7 +50,7 @@ def _colour(s, d):
 
 
 # aggregations
-on_px("a16_tile_coverage", lambda px: longs(O.tile_of(O.coverage(px, FRAMES), SIDE).groupBy("trow", "tcol").agg(round6(F.avg(F.col("common").cast("double"))).alias("ratio")), "trow", "tcol"), f", c AS (SELECT y, x, count(*) >= {FRAMES} AS common FROM px WHERE v > 0 GROUP BY 1, 2), {TILES_SQL.replace('px.*', 'c.*').replace('FROM px,', 'FROM c,')} SELECT trow, tcol, round(avg(common::INT), 6) AS ratio FROM t GROUP BY 1, 2")
+on_px("a16_tile_coverage", lambda px: longs(O.tile_of(O.coverage(px, COMMON), SIDE).groupBy("trow", "tcol").agg(round6(F.avg(F.col("common").cast("double"))).alias("ratio")), "trow", "tcol"), f", c AS (SELECT y, x, count(*) >= {COMMON} AS common FROM px WHERE v > 0 GROUP BY 1, 2), {TILES_SQL.replace('px.*', 'c.*').replace('FROM px,', 'FROM c,')} SELECT trow, tcol, round(avg(common::INT), 6) AS ratio FROM t GROUP BY 1, 2")
 on_px("a17_tile_quality", lambda px: local(px).groupBy("frame_id").agg(F.round(F.avg("weight"), 5).alias("mean"), F.round(F.var_pop("weight"), 5).alias("var")), None)
 SQL["a17_tile_quality"] = f"SELECT frame_id, round(avg(weight), 5) AS mean, round(var_pop(weight), 5) AS var FROM {part('w4_local_weights')} GROUP BY 1"
 on_px("a18_tile_medians", lambda px: longs(O.tile_of(px, SIDE).groupBy("frame_id", "trow", "tcol").agg(F.count("*").alias("n"), round6(F.median("v")).alias("med")).groupBy("trow", "tcol").agg(round6(F.median("med")).alias("med"), F.round(F.median("n")).cast("long").alias("n"), F.when(F.count_if(F.col("med") > 50000) * 2 >= F.count("*"), "STAR").otherwise("STRUCTURE").alias("kind")), "trow", "tcol"), None)

@@ -18,17 +18,25 @@ from starloom.registry import SQL, on_px, query
 from starloom.sources.frames import PX_SQL, SIDE, table
 
 
+def _rgb(px: DataFrame) -> DataFrame:
+    """Pixels with all three colours."""
+    return B.debayer(px, block=EDGE).dropna()
+
+
+_RGB = RGB_SQL.replace("rgb AS", "rgb0 AS", 1) + ", rgb AS (SELECT * FROM rgb0 WHERE r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL)"
+
+
 def _sky(rgb: DataFrame) -> DataFrame:
-    """The darker three fifths of a frame, by green."""
-    return rgb.join(rgb.groupBy("frame_id").agg(F.percentile("g", 0.6).alias("q")), "frame_id").where(F.col("g") <= F.col("q")).select("frame_id", "y", "x")
+    """The darker three fifths of a frame, by green; a pixel at the quantile, but for rounding, is in."""
+    return rgb.join(rgb.groupBy("frame_id").agg((F.percentile("g", 0.6) * (1 + 1e-9)).alias("q")), "frame_id").where(F.col("g") <= F.col("q")).select("frame_id", "y", "x")
 
 
-_SKY = "q AS (SELECT frame_id, quantile_cont(g, 0.6) AS qg FROM rgb GROUP BY 1)"
+_SKY = "q AS (SELECT frame_id, quantile_cont(g, 0.6) * (1 + 1e-9::DOUBLE) AS qg FROM rgb GROUP BY 1)"
 
 
 # a plane off every channel, all three or none, then the scatter of the sky's colours
 def _guarded(px: DataFrame) -> DataFrame:
-    rgb, key = B.debayer(px, block=EDGE), ("frame_id", "channel")
+    rgb, key = _rgb(px), ("frame_id", "channel")
     long = rgb.unpivot(["frame_id", "y", "x"], list("rgb"), "channel", "v")
     at = lambda c: (F.floor(F.col(c) / O.CELL) * O.CELL + 1.5).alias(c)
     cells = long.groupBy(*key, at("y"), at("x")).agg(F.median("v").alias("v"))
@@ -42,7 +50,7 @@ _SX = "(covar_pop(x, {0}) * covar_pop(y, y) - covar_pop(y, {0}) * covar_pop(x, y
 _SY = "(covar_pop(y, {0}) * covar_pop(x, x) - covar_pop(x, {0}) * covar_pop(x, y))"
 _STEEP = f"sqrt({_SX} * {_SX} + {_SY} * {_SY}) / abs({_DET})"
 _STD = "stddev_pop(ln(CASE WHEN {0} > 0 THEN {0} END / CASE WHEN {1} > 0 THEN {1} END)) FILTER (g <= qg)"
-on_px("b9_guarded_background", _guarded, f"""{RGB_SQL}, {_SKY}, ch AS (SELECT frame_id, y, x, 'r' AS c, r AS v FROM rgb UNION ALL SELECT frame_id, y, x, 'g', g FROM rgb UNION ALL SELECT frame_id, y, x, 'b', b FROM rgb),
+on_px("b9_guarded_background", _guarded, f"""{_RGB}, {_SKY}, ch AS (SELECT frame_id, y, x, 'r' AS c, r AS v FROM rgb UNION ALL SELECT frame_id, y, x, 'g', g FROM rgb UNION ALL SELECT frame_id, y, x, 'b', b FROM rgb),
 ce AS (SELECT frame_id, c, y // {O.CELL} * {O.CELL} + 1.5::DOUBLE AS y, x // {O.CELL} * {O.CELL} + 1.5::DOUBLE AS x, median(v) AS v FROM ch GROUP BY 1, 2, 3, 4),
 pl AS (SELECT frame_id, c, {_SX.format('v')} / {_DET} AS sx, {_SY.format('v')} / {_DET} AS sy, avg(y) AS y0, avg(x) AS x0, avg(v) AS v0 FROM ce GROUP BY 1, 2),
 mo AS (SELECT ch.*, v0 + sx * (x - x0) + sy * (y - y0) AS model FROM ch JOIN pl USING (frame_id, c)), mv AS (SELECT *, v - model + median(model) OVER (PARTITION BY frame_id, c) AS nv FROM mo),
@@ -54,13 +62,13 @@ SELECT frame_id, y, x, {', '.join(f'round(CASE WHEN chroma_ok THEN n{c} ELSE {c}
 
 
 def _measured(px: DataFrame) -> DataFrame:
-    rgb = B.debayer(px, block=EDGE)
+    rgb = _rgb(px)
     stars = O.local_maxima(px, 0.5, 12).select("frame_id", "rank", F.col("y").alias("py"), F.col("x").alias("px_"))
     return P.measure_stars(rgb, stars, _sky(rgb), SIDE, SIDE)
 
 
 _TOPS = ", ".join(f"quantile_cont({c}, 0.999) AS t{c}" for c in "rgb")
-_MEASURED = f"""{RGB_SQL}, {_SKY}, st AS (SELECT frame_id, rank, y AS py, x AS qx FROM {{stars}} WHERE y BETWEEN 5 AND {SIDE - 6} AND x BETWEEN 5 AND {SIDE - 6}),
+_MEASURED = f"""{_RGB}, {_SKY}, st AS (SELECT frame_id, rank, y AS py, x AS qx FROM {{stars}} WHERE y BETWEEN 5 AND {SIDE - 6} AND x BETWEEN 5 AND {SIDE - 6}),
 fr AS (SELECT frame_id, {_TOPS}, count(*) FILTER (g <= qg) / count(*) AS share FROM rgb JOIN q USING (frame_id) GROUP BY 1),
 di AS (SELECT st.*, r, g, b, g <= qg AS calm, sqrt((y - py) ** 2 + (x - qx) ** 2) AS d, greatest(abs(y - py), abs(x - qx)) AS box FROM st JOIN rgb ON rgb.frame_id = st.frame_id AND abs(y - py) <= 3 AND abs(x - qx) <= 3 JOIN q ON q.frame_id = st.frame_id),
 ag AS (SELECT frame_id, rank, {', '.join(f"max({c}) FILTER (box <= 1) AS p{c}, sum({c}) FILTER (d <= 1.5) - count(*) FILTER (d <= 1.5) * median({c}) FILTER (d BETWEEN 2 AND 3) AS f{c}" for c in 'rgb')}, count(*) FILTER (d <= 1.5) AS k, count(*) FILTER (d BETWEEN 2 AND 3) AS n, count(*) FILTER (calm AND d BETWEEN 2 AND 3) AS safe FROM di GROUP BY 1, 2),

@@ -132,9 +132,9 @@ on_px("p12_chroma_after", lambda px: B.debayer(px, block=EDGE).join(C.gains(_sta
 SELECT frame_id, round(stddev_pop(ln(r) - ln(g)), 5) AS was_r, round(stddev_pop(ln(r * (1 + tr * tr * (3 - 2 * tr) * (kr - 1))) - ln(g)), 5) AS now_r, round(stddev_pop(ln(b) - ln(g)), 5) AS was_b, round(stddev_pop(ln(b * (1 + tb * tb * (3 - 2 * tb) * (kb - 1))) - ln(g)), 5) AS now_b, round(median(g), 6) AS green FROM w GROUP BY 1""")
 
 
-# a mesh of calm cells under every frame
+# a mesh of calm cells under every frame; a value between two thousandths, but for rounding, goes up
 def _mesh(px: DataFrame) -> DataFrame:
-    return G.mesh(px, G.mesh_cells(px, O.CELL, 0.8, 8, ("frame_id",)), O.CELL, ("frame_id",)).select("frame_id", "y", "x", F.round("model", 4).alias("model"))
+    return G.mesh(px, G.mesh_cells(px, O.CELL, 0.8, 8, ("frame_id",)), O.CELL, ("frame_id",)).select("frame_id", "y", "x", (F.floor(F.col("model") * 1000 + 0.500001) / 1000).alias("model"))
 
 
 _TOP = SIDE // O.CELL - 1
@@ -142,7 +142,7 @@ on_px("b8_mesh_model", _mesh, f""", o AS (SELECT *, median(v) OVER (PARTITION BY
 h AS (SELECT frame_id, cy, cx, CASE WHEN n >= 8 THEN v END AS v FROM (SELECT frame_id, y // {O.CELL} AS cy, x // {O.CELL} AS cx, median(v) FILTER (s <= 0 OR abs(v - m) <= 0.8 * s) AS v, count(*) FILTER (s <= 0 OR abs(v - m) <= 0.8 * s) AS n FROM k GROUP BY 1, 2, 3)),
 c AS (SELECT a.frame_id, a.cy, a.cx, coalesce(any_value(a.v), arg_min(b.v, ((b.cy - a.cy) ** 2 + (b.cx - a.cx) ** 2) * 10000 + b.cy * 100 + b.cx)) AS v FROM h a JOIN h b USING (frame_id) WHERE b.v IS NOT NULL GROUP BY 1, 2, 3),
 u AS (SELECT frame_id, y, x, least(greatest((y + 0.5::DOUBLE) / {O.CELL} - 0.5::DOUBLE, 0), {_TOP}) AS uy, least(greatest((x + 0.5::DOUBLE) / {O.CELL} - 0.5::DOUBLE, 0), {_TOP}) AS ux FROM o)
-SELECT frame_id, y, x, round(sum(c.v * (1 - abs(cy - uy)) * (1 - abs(cx - ux))), 4) AS model FROM u JOIN c USING (frame_id) WHERE abs(cy - uy) < 1 AND abs(cx - ux) < 1 GROUP BY 1, 2, 3""")
+SELECT frame_id, y, x, floor(sum(c.v * (1 - abs(cy - uy)) * (1 - abs(cx - ux))) * 1000 + 0.500001) / 1000 AS model FROM u JOIN c USING (frame_id) WHERE abs(cy - uy) < 1 AND abs(cx - ux) < 1 GROUP BY 1, 2, 3""")
 _CHROMA = f"""{RGB_SQL}, l AS (SELECT *, 0.299 * r + 0.587 * g + 0.114 * b AS y_ FROM rgb), q AS (SELECT frame_id, quantile_cont(y_, 0.9) AS lim FROM l GROUP BY 1),
 s AS (SELECT a.frame_id, a.y, a.x, any_value(a.y_) AS l, any_value(a.r - a.y_) AS cr, any_value(a.b - a.y_) AS cb, avg(b.r - b.y_) AS sr, avg(b.b - b.y_) AS sb {near_sql(2, 'l')}),
 k AS (SELECT s.*, l + cr + CASE WHEN l <= lim THEN 0.7 ELSE 0 END * (sr - cr) AS red, l + cb + CASE WHEN l <= lim THEN 0.7 ELSE 0 END * (sb - cb) AS blue FROM s JOIN q USING (frame_id))

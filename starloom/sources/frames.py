@@ -10,9 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FRAMES, SIDE = 20, 16
+SIDE, COMMON = 16, 8  # pixels a side; frames that make a pixel common
 
-PX_SQL = f"""px AS (SELECT l_suppkey % {FRAMES} AS frame_id, l_partkey % {SIDE} AS y, l_orderkey % {SIDE} AS x,
+PX_SQL = f"""px AS (SELECT l_suppkey AS frame_id, l_partkey % {SIDE} AS y, l_orderkey % {SIDE} AS x,
   CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100 AS v FROM lineitem GROUP BY 1, 2, 3)"""
 
 
@@ -21,9 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """px(frame_id, y, x, v): prices as pixel values, summed as integers so that every engine agrees."""
+    """px(frame_id, y, x, v): a frame for each supplier, so frames grow with the table; prices as pixel values, summed as integers so that every engine agrees."""
     cents = F.sum(F.round(F.col("l_extendedprice") * 100).cast("long"))
-    keys = ((F.col("l_suppkey") % FRAMES).alias("frame_id"), (F.col("l_partkey") % SIDE).alias("y"), (F.col("l_orderkey") % SIDE).alias("x"))
+    keys = (F.col("l_suppkey").alias("frame_id"), (F.col("l_partkey") % SIDE).alias("y"), (F.col("l_orderkey") % SIDE).alias("x"))
     return table(spark, sf_dir, "lineitem").groupBy(*keys).agg((cents.cast("double") / F.count("*") / 100).alias("v"))
 
 
