@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,8 +166,12 @@ def quantile_labels(df: DataFrame, value: str, k: int) -> DataFrame:
 
 def kmeans(points: DataFrame, dims: list[str], k: int, rounds: int = 20) -> DataFrame:
     """Lloyd's rounds on a frame table: the first centre is the middle row, the others are farthest points, an empty
-    cluster's centre is 0. Centres (k rows) are held by the driver, points are not."""
+    cluster's centre is 0. Centres (k rows) are held by the driver, points are not; these are kept by the executors (on
+    disk where memory is short) while the rounds read them, a lost part is computed anew."""
+    points = points.persist(StorageLevel.MEMORY_AND_DISK)
     n = points.count()
+    if not n:
+        return points.withColumn("label", F.lit(0))
     mid = points.orderBy("frame_id").offset(n // 2).limit(1).select(*dims).first()
     centres = [tuple(mid)]
     dist = lambda c: sum(((F.col(d) - F.lit(float(v))) * (F.col(d) - F.lit(float(v))) for d, v in zip(dims, c, strict=True)), F.lit(0.0))
