@@ -31,6 +31,13 @@ def test_groups_come_whole(spark, rows):
     assert by_null.agg(F.max("n")).first()[0] == 100 and by_null.count() == 401
 
 
+def test_a_kernel_sees_many_blocks_at_once(spark):
+    out = B.on_blocks(frames(spark, 40), lambda a, *_: {"n": np.full(a.shape, float(len(a))), "cells": np.full(a.shape, float(a[0].size))}, 1, "n double, cells double", 8)
+    most, cells = out.agg(F.max("n"), F.max("cells")).first()
+    assert most > 4 and cells <= 100
+    assert B.on_blocks(frames(spark, 40), lambda a, *_: {"n": np.full(a.shape, float(a[0].size))}, 1, "n double").agg(F.max("n")).first()[0] == 256
+
+
 def test_frames_tuned_together_as_alone(spark):
     px = frames(spark, 6, 8).withColumn("v", F.when(F.col("frame_id") == 5, 7.0).otherwise(F.col("v") + F.col("x") * F.col("frame_id")))
     together = {(r.frame_id, r.trial): r for r in G.autotune(px.where("frame_id < 4 or x + y < 9"), steps=(1, 2)).collect()}
