@@ -55,3 +55,43 @@ def test_frames_tuned_together_as_alone(spark):
         assert together[f, 6].rms == pytest.approx(np.sqrt(np.mean((g[test, 2] - got) ** 2)), rel=1e-5, abs=1e-9)
     plan = G.autotune(px)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInPandas" not in plan
+
+
+def test_repeated_median_sends_points_not_pairs(spark, monkeypatch):
+    monkeypatch.setattr(J, "SLOPES", 50)
+    rng = np.random.default_rng(2)
+    rows = [(k, i, float(rng.integers(0, 5)), float(rng.normal())) for k in range(4) for i in range(23 + k)] + [(9, 0, 1.0, 2.0), (9, 1, 1.0, 3.0)]
+    points = spark.createDataFrame(rows, "key long, id long, x double, y double")
+    found = J.repeated_median(points, "key")
+    got = {r.key: r for r in found.collect()}
+    assert set(got) == {0, 1, 2, 3}
+    for k, r in got.items():
+        mine = [(x, y) for key, _, x, y in rows if key == k]
+        slope = np.median([np.median(s) for x, y in mine if (s := [(b - y) / (a - x) for a, b in mine if a != x])])
+        assert r.slope == pytest.approx(slope) and r.intercept == pytest.approx(np.median([y - slope * x for x, y in mine]))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "id2" not in plan and "MapInArrow" in plan
+
+
+def test_band_join_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(J, "MEMBERS", 3)
+    rows = [(i, float(i % 11) / 4) for i in range(90)] + [(91, None), (92, float("nan")), (93, -0.3)]
+    df = spark.createDataFrame(rows, "id long, price double")
+    found = J.band_join(df, df, "price", 0.5).select("id", "id_r")
+    want = sorted((a, b) for a, p in rows for b, q in rows if p is not None and q is not None and abs(p - q) <= 0.5)
+    assert sorted(map(tuple, found.collect())) == want
+    assert "Generate explode(a" in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("radius", [2.5, 40.0])
+def test_cone_search_everywhere(spark, radius):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(a), float(d)) for i, (a, d) in enumerate(zip(rng.uniform(0, 360, 250), np.degrees(np.arcsin(rng.uniform(-1, 1, 250))), strict=True))]
+    rows += [(300 + i, a, d) for i, (a, d) in enumerate([(0.0, 89.5), (180.0, 89.0), (90.0, 90.0), (0.1, 0.0), (359.9, 0.5), (359.9, 0.5), (-0.2, 0.2), (10.0, -90.0), (200.0, -88.0), (12.0, 70.0), (18.0, 70.5)])]
+    stars = spark.createDataFrame(rows, "id long, ra double, dec double")
+    found = J.cone_search(stars, stars, radius)
+    limit = math.sin(math.radians(radius) / 2) ** 2
+    r = math.radians
+    want = sorted((c, s) for c, a, d in rows for s, b, e in rows if math.sin(r(e - d) / 2) ** 2 + math.cos(r(d)) * math.cos(r(e)) * math.sin(r(b - a) / 2) ** 2 <= limit)
+    assert sorted(map(tuple, found.collect())) == want
+    assert "cell" in found._jdf.queryExecution().executedPlan().toString()
