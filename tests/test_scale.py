@@ -95,3 +95,26 @@ def test_cone_search_everywhere(spark, radius):
     want = sorted((c, s) for c, a, d in rows for s, b, e in rows if math.sin(r(e - d) / 2) ** 2 + math.cos(r(d)) * math.cos(r(e)) * math.sin(r(b - a) / 2) ** 2 <= limit)
     assert sorted(map(tuple, found.collect())) == want
     assert "cell" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_warp_of_frames_that_leave_the_canvas(spark):
+    px = frames(spark, 3, 10, holes=0.0)
+    warps = spark.createDataFrame([(0, 1.0, 0.0, 300.0, 0.0, 1.0, 0.0), (1, 0.0, -1.0, 9.0, 1.0, 0.0, 0.0), (2, 1.0, 0.0, 0.5, 0.0, 1.0, -7.0)], "frame_id long, a00 double, a01 double, tx double, a10 double, a11 double, ty double")
+    got = {(r.frame_id, r.y, r.x): r.v for r in B.warp(px, warps, 11, 9, block=4).collect()}
+    assert len(got) == 3 * 11 * 9
+    a = np.zeros((3, 20, 20))
+    for r in px.collect():
+        a[r.frame_id, r.y, r.x] = r.v
+    for (f, y, x), v in got.items():
+        want = {0: 0.0, 1: a[1, x, 9 - y] if y <= 9 else 0.0, 2: (a[2, y - 7, x] + a[2, y - 7, x + 1]) / 2 if y >= 7 else 0.0}[f]
+        assert v == pytest.approx(want)
+
+
+def test_tiles_filtered_together_as_alone(spark):
+    rng = np.random.default_rng(5)
+    stack = rng.normal(100, 9, (7, 8, 6))
+    for kernel in (B.soft_threshold, lambda a: B.wiener(a, 3.0)):
+        assert np.allclose(kernel(stack), [kernel(t) for t in stack])
+    rows = [(0, 0, t, y, x, float(stack[t, y, x]) if (y, x) != (3, 3) else None) for t in range(7) for y in range(8 - t % 2) for x in range(6) if (y, x) != (2, 2)]
+    out = B.on_tiles(spark.createDataFrame(rows, "frame_id long, trow int, tcol int, y long, x long, v double"), lambda a: np.full(a.shape, float(len(a))) + a * 0)
+    assert sorted({r.v for r in out.where("y <> 3 or x <> 3").collect()}) == [3.0, 4.0]
