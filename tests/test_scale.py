@@ -118,3 +118,20 @@ def test_tiles_filtered_together_as_alone(spark):
     rows = [(0, 0, t, y, x, float(stack[t, y, x]) if (y, x) != (3, 3) else None) for t in range(7) for y in range(8 - t % 2) for x in range(6) if (y, x) != (2, 2)]
     out = B.on_tiles(spark.createDataFrame(rows, "frame_id long, trow int, tcol int, y long, x long, v double"), lambda a: np.full(a.shape, float(len(a))) + a * 0)
     assert sorted({r.v for r in out.where("y <> 3 or x <> 3").collect()}) == [3.0, 4.0]
+
+
+def test_tiles_are_measured_in_batches(spark):
+    from starloom.operators import stars as S
+
+    rng = np.random.default_rng(6)
+    tile = rng.normal(100, 5, (8, 8))
+    rows = [(f, 0, 0, y, x, float(tile[y, x]) if (y + f, x) != (3, 3) else None) for f in range(3) for y in range(8) for x in range(8) if (y, x) != (7, 7)]
+    out = S.tile_metrics(spark.createDataFrame(rows, "frame_id long, trow int, tcol int, y long, x long, v double"))
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    for r in out.collect():
+        a = tile.copy()
+        a[7, 7] = np.nan
+        if r.frame_id <= 3:
+            a[3 - r.frame_id, 3] = np.nan
+        want = S.measure_tile(np.where(np.isnan(a), np.nanmedian(a), a))
+        assert all(getattr(r, c) == pytest.approx(want[c]) for c in want)
