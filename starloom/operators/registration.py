@@ -40,6 +40,9 @@ def frame_shifts(px: DataFrame, reference: int) -> DataFrame:
     return px.join(ref, ["y", "x"]).groupBy("frame_id").applyInPandas(run, "frame_id long, dy double, dx double, peak double")
 
 
+HELD = 200_000  # distances that are looked at at once
+
+
 def similarity(a: np.ndarray, b: np.ndarray, tolerance: float = 2.0) -> tuple[np.ndarray, int]:
     """The 2 x 3 similarity from points a (x, y) to b with most matches within the tolerance, refitted to them.
 
@@ -51,14 +54,17 @@ def similarity(a: np.ndarray, b: np.ndarray, tolerance: float = 2.0) -> tuple[np
     for n in np.argsort(-np.abs(za[i] - za[j]))[:60]:
         p, q = za[i[n]], za[j[n]]
         turn = (zb[m] - zb[k]) / (q - p) if q != p else np.zeros(0)
-        for t, at in zip(turn, k, strict=False):
-            if not 0.5 <= abs(t) <= 2:
-                continue
-            far = np.abs((t * (za - p) + zb[at])[:, None] - zb[None])
-            near = far.argmin(1)
-            good = np.flatnonzero((far[np.arange(len(za)), near] <= tolerance) & (far.argmin(0)[near] == np.arange(len(za))))
-            if len(good) > pairs.shape[1]:
-                pairs = np.stack([good, near[good]])
+        fit = np.flatnonzero((np.abs(turn) >= 0.5) & (np.abs(turn) <= 2))
+        for some in np.array_split(fit, -(-len(fit) * len(za) * len(zb) // HELD)) if len(fit) else ():
+            far = np.abs((turn[some, None] * (za - p) + zb[k[some], None])[:, :, None] - zb)
+            near = far.argmin(2)
+            good = np.take_along_axis(far, near[:, :, None], 2)[:, :, 0] <= tolerance
+            good &= np.take_along_axis(far.argmin(1), near, 1) == np.arange(len(za))
+            most = good.sum(1)
+            if most.max(initial=0) > pairs.shape[1]:
+                first = most.argmax()
+                own = np.flatnonzero(good[first])
+                pairs = np.stack([own, near[first, own]])
         if pairs.shape[1] >= max(3, 0.8 * min(len(za), len(zb))):
             break
     if pairs.shape[1] >= 2:

@@ -135,3 +135,17 @@ def test_tiles_are_measured_in_batches(spark):
             a[3 - r.frame_id, 3] = np.nan
         want = S.measure_tile(np.where(np.isnan(a), np.nanmedian(a), a))
         assert all(getattr(r, c) == pytest.approx(want[c]) for c in want)
+
+
+def test_similarity_as_one_hypothesis_at_a_time(monkeypatch):
+    from starloom.operators import registration as R
+
+    rng = np.random.default_rng(7)
+    for n in range(6):
+        a = rng.uniform(0, 16, (9, 2)).round()
+        b = np.concatenate([a[:5] @ np.array([[0.0, 1.0], [-1.0, 0.0]]) + n, rng.uniform(0, 16, (4, 2)).round()])
+        whole = R.similarity(a, b)
+        monkeypatch.setattr(R, "HELD", 81)
+        alone = R.similarity(a, b)
+        monkeypatch.undo()
+        assert np.allclose(whole[0], alone[0]) and whole[1] == alone[1] >= 5
