@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,11 +107,21 @@ def colour_table() -> list[tuple[float, float, float, float]]:
 
 def blackbody_rgb(kelvin: Column) -> tuple[Column, Column, Column]:
     """Linear red, green and blue of a black body, their sum 1; 0 outside 1000 to 50000 K."""
-    rows = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip("erbg", (r[0], r[1], r[3], r[2]), strict=True))) for r in colour_table()))
-    sum_of = lambda c: F.aggregate(rows, F.lit(0.0), lambda s, r: s + r[c] / (F.exp(r["e"] / kelvin) - 1))
-    lit = [F.greatest(sum_of(c), F.lit(0.0)) for c in "rgb"]
-    total = lit[0] + lit[1] + lit[2]
-    return tuple(F.when(kelvin.between(1000, 50000) & (total > 0), x / total).otherwise(0.0) for x in lit)
+    table = np.array(colour_table())
+
+    @F.pandas_udf("r double, g double, b double")
+    def shares(k: pd.Series) -> pd.DataFrame:  # one exponential for each row of the table; expressions took one for each use
+        t = k.to_numpy(float, na_value=np.nan)
+        inside = (t >= 1000) & (t <= 50000)
+        lit = np.zeros((len(t), 3))
+        for e, *colours in table:
+            lit += np.array(colours) / (np.exp(e / np.where(inside, t, 1000.0)) - 1)[:, None]
+        lit = np.maximum(lit, 0)
+        total = lit.sum(1, keepdims=True)
+        return pd.DataFrame(np.where(inside[:, None] & (total > 0), lit / np.where(total > 0, total, 1), 0.0), columns=list("rgb"))
+
+    found = shares(kelvin)
+    return tuple(found[c] for c in "rgb")
 
 
 def filter_curve(wl: Column, channel: str) -> Column:

@@ -149,3 +149,15 @@ def test_similarity_as_one_hypothesis_at_a_time(monkeypatch):
         alone = R.similarity(a, b)
         monkeypatch.undo()
         assert np.allclose(whole[0], alone[0]) and whole[1] == alone[1] >= 5
+
+
+def test_black_body_takes_each_exponential_once(spark):
+    from starloom.functions import intake as I
+
+    df = spark.createDataFrame([(float(k),) for k in (900, 1000, 3500, 5772, 50000, 50001)], "k double")
+    out = df.select("k", *(c.alias(n) for c, n in zip(I.blackbody_rgb(F.col("k")), "rgb", strict=True)))
+    for r in out.collect():
+        lit = [max(sum(row[i] / (math.exp(row[0] / r.k) - 1) for row in I.colour_table()), 0) for i in (1, 2, 3)]
+        inside = 1000 <= r.k <= 50000
+        assert [r.r, r.g, r.b] == pytest.approx([v / sum(lit) if inside else 0.0 for v in lit])
+    assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("exp(") <= 3
