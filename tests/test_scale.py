@@ -161,3 +161,17 @@ def test_black_body_takes_each_exponential_once(spark):
         inside = 1000 <= r.k <= 50000
         assert [r.r, r.g, r.b] == pytest.approx([v / sum(lit) if inside else 0.0 for v in lit])
     assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("exp(") <= 3
+
+
+def test_warp_query_rounds_ties_as_its_sql(spark, tmp_path):
+    from starloom import catalog
+
+    import duckdb
+
+    # half of it at the edge: 38582.505 prints as a tie, times 100 it is just below a half
+    rows = [(0, y, x, 77165.01) for y in range(16) for x in range(16)]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_orderkey long, l_extendedprice double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(con.execute(catalog.oracle_sql()["n16_warp"]).fetchall())
+    assert sorted(tuple(r) for r in catalog.queries()["n16_warp"](spark, str(tmp_path)).select("frame_id", "y", "x", "v").collect()) == want
