@@ -29,28 +29,33 @@ def _offsets(inner: float, outer: float) -> int:
     return sum(inner <= math.hypot(i, j) <= outer for i in range(-n, n + 1) for j in range(-n, n + 1))
 
 
-def measure_stars(rgb: DataFrame, stars: DataFrame, sky: DataFrame, height: int, width: int, r: float = 1.5, inner: float = 2.0, outer: float = 3.0, min_stars: int = 3, aperture_share: float = 0.5, annulus_share: float = 0.3, least: int = 10, saturation: float = 0.995, top: float = 0.999) -> DataFrame:
+def measure_stars(rgb: DataFrame, stars: DataFrame, sky: DataFrame | str, height: int, width: int, r: float = 1.5, inner: float = 2.0, outer: float = 3.0, min_stars: int = 3, aperture_share: float = 0.5, annulus_share: float = 0.3, least: int = 10, saturation: float = 0.995, top: float = 0.999) -> DataFrame:
     """frame_id, rank, flux_r, flux_g, flux_b, relaxed for stars(frame_id, rank, py, px_) on rgb(frame_id, y, x, r, g, b).
 
     Out go: stars within outer + 2 of an edge; those whose 3 x 3 peak reaches ``saturation`` of the frame's ``top``
     quantile in any channel; those with too few pixels in aperture or annulus; those whose annulus holds too small a
-    share of sky(frame_id, y, x), which is 0.25 and half the frame's share of sky, at most 0.55. A frame left with fewer
+    share of sky(frame_id, y, x), or of the pixels where rgb's column of that name is true, which is 0.25 and half the frame's share of sky, at most 0.55. A frame left with fewer
     than ``min_stars`` valid stars by the last guard is measured without it (relaxed), if that gives more. A flux is the
     sum over the aperture less the annulus' median; all three must be above 0. A null value is no pixel.
+
+    What holds for a frame is told to its pixels by windows, so rgb is made and dealt to frames once.
     """
-    rgb = rgb.select("frame_id", "y", "x", *CHANNELS).dropna()
     edge = outer + 2
     inside = stars.select("frame_id", "rank", "py", "px_").where(F.col("px_").between(edge, width - edge - 1e-9) & F.col("py").between(edge, height - edge - 1e-9))
-    calm = sky.select("frame_id", "y", "x", F.lit(1).alias("sky"))
-    seen = rgb.join(calm, ["frame_id", "y", "x"], "left")
-    frame = seen.groupBy("frame_id").agg(*(F.percentile(c, top).alias(f"top_{c}") for c in CHANNELS), (F.count("sky") / F.count("*")).alias("share"))
+    if isinstance(sky, str):
+        seen = rgb.select("frame_id", "y", "x", *CHANNELS, F.when(F.col(sky), 1).alias("sky")).dropna(subset=CHANNELS)
+    else:
+        calm = sky.select("frame_id", "y", "x", F.lit(1).alias("sky"))
+        seen = rgb.select("frame_id", "y", "x", *CHANNELS).dropna().join(calm, ["frame_id", "y", "x"], "left")
+    of = Window.partitionBy("frame_id")
+    frame = [f"top_{c}" for c in CHANNELS] + ["share"]
+    seen = seen.withColumns({f"top_{c}": F.percentile(c, top).over(of) for c in CHANNELS} | {"share": F.count("sky").over(of) / F.count("*").over(of)})
     near = around(inside, seen, math.ceil(outer)).withColumn("d", F.sqrt((F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")).cast("double")))
     peak = (F.abs("dy") <= 1) & (F.abs("dx") <= 1)
     ring, disk = F.col("d").between(inner, outer), F.col("d") <= r
     found = near.groupBy("frame_id", "rank").agg(
         *(F.max(F.when(peak, F.col(c))).alias(f"peak_{c}") for c in CHANNELS), *(F.median(F.when(ring, F.col(c))).alias(f"sky_{c}") for c in CHANNELS),
-        *(F.sum(F.when(disk, F.col(c))).alias(f"sum_{c}") for c in CHANNELS), F.count_if(disk).alias("k"), F.count_if(ring).alias("n"), F.count_if(ring & F.col("sky").isNotNull()).alias("safe"))
-    found = found.join(frame, "frame_id")
+        *(F.sum(F.when(disk, F.col(c))).alias(f"sum_{c}") for c in CHANNELS), F.count_if(disk).alias("k"), F.count_if(ring).alias("n"), F.count_if(ring & F.col("sky").isNotNull()).alias("safe"), *(F.first(c).alias(c) for c in frame))
     dark = F.lit(True)
     for c in CHANNELS:
         dark = dark & ~((F.col(f"top_{c}") > 0) & (F.col(f"peak_{c}") >= saturation * F.col(f"top_{c}")))
@@ -58,7 +63,7 @@ def measure_stars(rgb: DataFrame, stars: DataFrame, sky: DataFrame, height: int,
     flux = [(F.col(f"sum_{c}") - F.col("k") * F.col(f"sky_{c}")).alias(f"flux_{c}") for c in CHANNELS]
     found = found.select("frame_id", "rank", *flux, (F.col("safe") >= clip(0.25 + 0.5 * F.col("share"), 0.25, 0.55) * F.col("n")).alias("calm"))
     good = (F.col("flux_r") > 0) & (F.col("flux_g") > 0) & (F.col("flux_b") > 0)
-    of = Window.partitionBy("frame_id")  # a frame's star list is bounded by the catalog's magnitudes
+    # a frame's star list is bounded by the catalog's magnitudes
     strict = F.count_if(good & F.col("calm")).over(of)
     found = found.withColumn("relaxed", (strict < min_stars) & (F.count_if(good).over(of) > strict))
     return found.where(good & (F.col("calm") | F.col("relaxed"))).select("frame_id", "rank", *(f"flux_{c}" for c in CHANNELS), "relaxed")

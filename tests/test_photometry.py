@@ -69,3 +69,14 @@ def test_first_source(spark):
     rows = [(1, "b", 1), (1, "a", 2), (1, "a", 3), (2, "b", 4), (3, "z", 5), (2, None, 6)]
     stars = spark.createDataFrame(rows, "field long, source string, id long")
     assert {(r.field, r.source, r.id) for r in P.first_source(stars, ["a", "b"]).collect()} == {(1, "a", 2), (1, "a", 3), (2, "b", 4)}
+
+
+def test_sky_as_a_column_and_as_a_table_agree(spark):
+    places = [(10, 10), (10, 30), (30, 10)]
+    image = field(places)
+    image["g"][0, :4] = image["r"][0, :4] = image["b"][0, :4] = 5000.0
+    rgb, stars = tables(spark, image, places)
+    for calm in ("g <= 100", "g <= 100 and y > 20", "g <= 100 and nullif(x, 30) is not null"):
+        a = P.measure_stars(rgb, stars, rgb.where(calm), SIDE, SIDE)
+        b = P.measure_stars(rgb.withColumn("calm", F.expr(calm)), stars, "calm", SIDE, SIDE)
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) != []

@@ -175,3 +175,10 @@ def test_warp_query_rounds_ties_as_its_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     want = sorted(con.execute(catalog.oracle_sql()["n16_warp"]).fetchall())
     assert sorted(tuple(r) for r in catalog.queries()["n16_warp"](spark, str(tmp_path)).select("frame_id", "y", "x", "v").collect()) == want
+
+
+def test_star_fluxes_make_colours_once(spark):
+    from starloom import catalog
+
+    df = catalog.queries()["p3_star_fluxes"](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
