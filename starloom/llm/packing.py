@@ -16,11 +16,13 @@ An empty table gives an empty result. The pipeline stage drops nothing. Columns
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +34,9 @@ from starloom.llm.store import materialize, shuffle_partitions, small_batches
 END = 1
 DIMS, BITS = 4, 12
 TABLE = 300_000  # words in a task's table
+PART = 2 << 20  # bytes of text that are cut into words at once, about; a text is never parted
+WHITE = np.array([i < 128 and chr(i).isspace() for i in range(256)])
+WIDE_WHITE = re.compile(r"[^\S\x00-\x7f]")
 
 
 class Growing:
@@ -75,21 +80,33 @@ class Words:
         self.flat, self.first, self.count, self.vector = (Growing(*x) for x in ((np.uint16,), (np.int64,), (np.int64,), (np.float32, DIMS)))
         self.safe = Growing(bool)
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
+        """Adds those of the distinct ``words`` that the table lacks, all in one call of the tokenizer."""
         if len(self.at) > TABLE:
             self.clear()
         new = [w for w in words if w not in self.at]
         if not new:
             return
-        ids = np.array(self.fast.encode_ordinary(" " + " ".join(new)), np.uint16)
-        borders = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(w.encode()) + 1 for w in new])) + 1
+        text = " " + " ".join(new)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        begins = np.flatnonzero(raw == ord(" "))  # words hold no space
+        ends = np.append(begins[1:], len(raw))
+        ids = self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint16)
+        borders = np.searchsorted(np.cumsum(self.size[ids]), ends) + 1
         starts = np.append(0, borders[:-1])
         self.first.add(starts + self.flat.n)
         self.count.add(borders - starts)
         self.vector.add(np.add.reduceat(self.signs[ids], np.minimum(starts, len(ids) - 1)))
         self.flat.add(ids)
         # two spaces, or a space beside other white space, may join in one token
-        self.safe.add(np.array([w != "" and not w[0].isspace() and not w[-1].isspace() for w in new]))
+        left, right = raw[np.minimum(begins + 1, len(raw) - 1)], raw[ends - 1]
+        safe = (ends - begins > 1) & ~WHITE[left] & ~WHITE[right]
+        if WIDE_WHITE.search(text):
+            for k in np.flatnonzero(safe & ((left > 127) | (right > 127))):
+                safe[k] = not new[k][0].isspace() and not new[k][-1].isspace()
+        if self.special in text:
+            safe &= ~np.fromiter((self.special in w for w in new), bool, len(new))
+        self.safe.add(safe)
         self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
 
     def one(self, text: str) -> np.ndarray:
@@ -98,24 +115,36 @@ class Words:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint16)
         return np.array(self.fast.encode_ordinary(text), np.uint16)
 
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-        """Each text's ids, and the sum of their signs."""
-        cut = [t.split(" ") for t in texts]
-        self.learn(set().union(*(c[1:] for c in cut)))
+    def encode(self, texts: list[str] | pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+        """Each text's ids, and the sum of their signs. Words are cut and numbered by Arrow, so that Python sees each
+        distinct one once."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        cut = pc.split_pattern(texts, " ")
+        words = cut.flatten().dictionary_encode()
+        known = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn(known)
+        number = words.indices.to_numpy()
+        at = np.fromiter(map(self.at.__getitem__, known), np.int64, len(known))[number]
+        ends = np.cumsum(pc.list_value_length(cut).to_numpy())
+        heads = np.append(0, ends[:-1])
+        plain = np.logical_and.reduceat(self.safe.all[at], heads)
+        n = self.count.all[at]
+        n[heads] = 0  # a first word has no space before it
+        n[~np.repeat(plain, ends - heads)] = 0
+        upto = np.cumsum(n)
+        flat = self.flat.all[np.repeat(self.first.all[at] - upto + n, n) + np.arange(upto[-1])]
+        summed = np.add.reduceat(self.vector.all[at] * (n > 0)[:, None], heads, dtype=np.float64)
+        first, last = (upto - n)[heads], upto[ends - 1]
         out, vectors = [], np.zeros((len(texts), DIMS))
-        for k, (text, words) in enumerate(zip(texts, cut, strict=True)):
-            at = np.fromiter(map(self.at.__getitem__, words[1:]), np.int64, len(words) - 1)
-            head = words[0]
-            if self.special in text or head == "" or head[0].isspace() or head[-1].isspace() or not self.safe.all[at].all():
-                ids = self.one(text)
-                vectors[k] = self.signs[ids].sum(0)
+        for k, simple in enumerate(plain.tolist()):
+            if simple:
+                start = np.array(self.fast.encode_ordinary(known[number[heads[k]]]), np.uint16)
+                vectors[k] = self.signs[start].sum(0) + summed[k]
+                out.append(np.concatenate([start, flat[first[k] : last[k]]]))
             else:
-                start = np.array(self.fast.encode_ordinary(head), np.uint16)
-                n = self.count.all[at]
-                rest = self.flat.all[np.repeat(self.first.all[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                ids = np.concatenate([start, rest])
-                vectors[k] = self.signs[start].sum(0) + self.vector.all[at].sum(0)
-            out.append(ids)
+                ids = self.one(texts[k].as_py())
+                vectors[k] = self.signs[ids].sum(0)
+                out.append(ids)
         return out, vectors
 
 
@@ -162,9 +191,11 @@ def _tokenized(tokenizer: str, ranks: str, pattern: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(tokenizer, ranks, pattern)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                ids, vectors = words.encode(part.column("text").to_pylist())
+            size = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)) // PART
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(size)) + 1, [batch.num_rows]]) if batch.num_rows else []
+            for k, end in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(k, end - k)
+                ids, vectors = words.encode(part.column("text"))
                 ids = [np.append(x, np.uint16(END)) for x in ids]
                 n = np.array([len(x) for x in ids], np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(curve_keys(vectors + words.signs[END])), pa.array(n), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "key", "n", "ids"])

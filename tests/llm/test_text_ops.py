@@ -73,6 +73,23 @@ def test_words_any_text(t):
         assert WORDS.encode([x])[0][0].tolist() == WHOLE.encode(x, add_special_tokens=False).ids
 
 
+def test_words_are_looked_up_once_a_batch():
+    class Counting(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counting.asked += 1
+            return super().__getitem__(key)
+
+    texts = ["one two " * 500, "", "two one", " one", "a\x1c one", "one \u3000two one", "é \x85é two", "two <|endoftext|> one", "one  two"]
+    words = packing.Words(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    words.at = Counting()
+    ids, vectors = words.encode(texts)
+    assert [i.tolist() for i in ids] == [WHOLE.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [v.tolist() for v in vectors] == [words.signs[i].sum(0).tolist() if len(i) else [0.0] * packing.DIMS for i in ids]
+    assert Counting.asked <= len({w for t in texts for w in t.split(" ")})
+
+
 def test_packing(spark, docs, empty):
     got = queries.pack_documents(docs, True).collect()
     want = Counter()
