@@ -36,8 +36,9 @@ SQL["r4_direct_blend"] = f"WITH {PX_SQL}, {TILES_SQL}, tw AS (SELECT t.*, weight
 # three channels, stacked with the frames' shared weights
 def _channels(px: DataFrame) -> DataFrame:
     w = O.global_weights(O.metrics(px)).select("frame_id", F.col("weight").alias("w"))
-    rgb = B.debayer(px, block=EDGE).join(w, "frame_id").unpivot(["frame_id", "y", "x", "w"], ["r", "g", "b"], "channel", "v")
-    return O.stack(rgb.withColumn("v", F.round("v", 3)), weighted=True, keys=("channel", "y", "x"))
+    rgb = B.debayer(px, block=EDGE).join(w, "frame_id").select("y", "x", "w", F.posexplode(F.array("r", "g", "b")).alias("c", "v"))
+    stacked = O.stack(rgb.withColumn("v", F.round("v", 3)), weighted=True, keys=("c", "y", "x"))
+    return stacked.select(F.element_at(F.array(*map(F.lit, "rgb")), F.col("c") + 1).alias("channel"), "y", "x", "v", "n_kept")
 
 
 on_px("r6_channel_stack", _channels, None)

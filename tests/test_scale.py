@@ -182,3 +182,27 @@ def test_star_fluxes_make_colours_once(spark):
 
     df = catalog.queries()["p3_star_fluxes"](spark, "/root/testdata/sf0.001")
     assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_stack_holds_arrays_not_windows(spark):
+    from starloom.operators import frames as O
+
+    rng = np.random.default_rng(5)
+    rows = [(f, y, x, float(rng.normal(100, 10) + 500 * (rng.random() < 0.1)), float(rng.random()) + 0.1) for f in range(25) for y in range(3) for x in (0, 1, None) if f < 2 + 20 * y]
+    px = spark.createDataFrame(rows, "frame_id long, y long, x int, v double, w double")
+    found = O.stack(px, weighted=True)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.y, r.x): (r.v, r.n_kept) for r in found.collect()}
+    assert len(got) == 9 and [f.dataType.simpleString() for f in found.schema] == ["bigint", "int", "double", "bigint"]
+    for (y, x), (v, n_kept) in got.items():
+        a, w = np.array([r[3:] for r in rows if r[1] == y and r[2] == x]).T
+        keep, stop = np.ones(len(a), bool), len(a) <= 2
+        for _ in range(3):
+            k = keep * w
+            mean = (k * a).sum() / k.sum()
+            sigma = np.sqrt((k * (a - mean) ** 2).sum() / (k.sum() - (k * w).sum() / k.sum()))
+            if not stop:
+                left = keep & (np.abs(a - mean) <= 2 * sigma)
+                stop = left.sum() < np.ceil(0.5 * len(a)) or left.sum() == keep.sum()
+                keep = left
+        assert n_kept == keep.sum() and v == pytest.approx((keep * w * a).sum() / (keep * w).sum(), abs=1e-4)
