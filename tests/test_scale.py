@@ -206,3 +206,28 @@ def test_stack_holds_arrays_not_windows(spark):
                 stop = left.sum() < np.ceil(0.5 * len(a)) or left.sum() == keep.sum()
                 keep = left
         assert n_kept == keep.sum() and v == pytest.approx((keep * w * a).sum() / (keep * w).sum(), abs=1e-4)
+
+
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_chroma_is_smoothed_in_one_call_of_both_planes(spark, rounds):
+    rng = np.random.default_rng(8)
+    rows = [(f, y, x, *map(float, rng.random(3))) for f in range(2) for y in range(9) for x in range(10) if rng.random() < 0.8]
+    rgb = spark.createDataFrame(rows, "frame_id long, y long, x long, r double, g double, b double")
+    found = B.chroma_denoise(rgb, rounds=rounds, block=4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == rounds and "Join" not in plan
+    got = {(r.frame_id, r.y, r.x): (r.r, r.g, r.b) for r in found.collect()}
+    assert len(got) == len(rows)
+    for f in range(2):
+        a = np.full((3, 9, 10), np.nan)
+        for _, y, x, *v in (r for r in rows if r[0] == f):
+            a[:, y, x] = v
+        luma = 0.299 * a[0] + 0.587 * a[1] + 0.114 * a[2]
+        there, limit = ~np.isnan(luma), np.nanquantile(luma, 0.9)
+        for c in (0, 2):
+            d = s = a[c] - luma
+            for _ in range(rounds):
+                s = np.where(there, B.box_mean(s, 2), np.nan)
+            want = luma + d + np.where(luma <= limit, 0.7, 0.0) * (s - d)
+            for y, x in zip(*np.nonzero(there), strict=True):
+                assert got[f, y, x][c] == pytest.approx(want[y, x], abs=1e-9)
