@@ -12,7 +12,7 @@ from starloom.operators import colour as C
 from starloom.operators import frames as O
 from starloom.operators import joins as J
 from starloom.plans.analytics import _LAB, _labels, local, longs, part
-from starloom.plans.stencils import EDGE, RGB_SQL
+from starloom.plans.stencils import RGB_SQL
 from starloom.registry import SQL, on_px, query
 from starloom.sources import catalogs as S
 from starloom.sources.frames import PX_SQL, SIDE, table
@@ -36,7 +36,7 @@ SQL["r4_direct_blend"] = f"WITH {PX_SQL}, {TILES_SQL}, tw AS (SELECT t.*, weight
 # three channels, stacked with the frames' shared weights
 def _channels(px: DataFrame) -> DataFrame:
     w = O.global_weights(O.metrics(px)).select("frame_id", F.col("weight").alias("w"))
-    rgb = B.debayer(px, block=EDGE).join(w, "frame_id").select("y", "x", "w", F.posexplode(F.array("r", "g", "b")).alias("c", "v"))
+    rgb = B.debayer(px).join(w, "frame_id").select("y", "x", "w", F.posexplode(F.array("r", "g", "b")).alias("c", "v"))
     stacked = O.stack(rgb.withColumn("v", F.round("v", 3)), weighted=True, keys=("c", "y", "x"))
     return stacked.select(F.element_at(F.array(*map(F.lit, "rgb")), F.col("c") + 1).alias("channel"), "y", "x", "v", "n_kept")
 
@@ -89,7 +89,7 @@ on_px("n4_mad_clip", _kept, ", a AS (SELECT *, median(v) OVER (PARTITION BY fram
 
 # every pixel stands in for a star
 def _stars(px: DataFrame) -> DataFrame:
-    rgb = B.debayer(px, block=EDGE)
+    rgb = B.debayer(px)
     return rgb.select("frame_id", F.struct("y", "x").alias("id"), (F.col("r") / F.col("g")).alias("img_r"), (F.col("b") / F.col("g")).alias("img_b"), (0.5 + F.col("x") / 10).alias("cat_r"), (1.5 - F.col("x") / 20).alias("cat_b"))
 
 
@@ -104,7 +104,7 @@ g AS (SELECT *, kr * kb AS determinant, greatest(kr, 1, kb) / least(kr, 1, kb) A
 on_px("p6_colour_matrix", lambda px: C.gains(_stars(px)).select("frame_id", "n_stars", "reason", *(F.round(c, 5).alias(c) for c in ("kr", "kb", "rms", "determinant", "condition"))), f"{GAINS_SQL} SELECT frame_id, n_stars, round(kr, 5) AS kr, round(kb, 5) AS kb, round(rms, 5) AS rms, round(determinant, 5) AS determinant, round(condition, 5) AS condition, CASE WHEN n_stars < 3 THEN 'few stars' WHEN determinant <= 0 THEN 'determinant' WHEN condition > 3 THEN 'condition' WHEN rms > 0.35 THEN 'residual' END AS reason FROM g")
 _GRID = f"(SELECT unnest([{', '.join(map(str, C.STRENGTHS))}])::DOUBLE AS alpha)"
 _SIGMA = "CASE WHEN was > 0 THEN now / was - 1 ELSE 0 END"
-on_px("p7_damping", lambda px: C.damp(B.debayer(px, block=EDGE).where("r < 70000 and g < 70000 and b < 70000"), C.gains(_stars(px)).select("frame_id", "kr", "kb"), 20000.0, 60000.0), f"""{GAINS_SQL}, bg AS (SELECT rgb.*, kr, kb FROM rgb JOIN g USING (frame_id) WHERE r < 70000 AND rgb.g < 70000 AND b < 70000),
+on_px("p7_damping", lambda px: C.damp(B.debayer(px).where("r < 70000 and g < 70000 and b < 70000"), C.gains(_stars(px)).select("frame_id", "kr", "kb"), 20000.0, 60000.0), f"""{GAINS_SQL}, bg AS (SELECT rgb.*, kr, kb FROM rgb JOIN g USING (frame_id) WHERE r < 70000 AND rgb.g < 70000 AND b < 70000),
 u AS (SELECT frame_id, 'r' AS c, r AS v, g AS gr, kr AS k FROM bg UNION ALL SELECT frame_id, 'b', b, g, kb FROM bg), st AS (SELECT *, least(greatest((v - 20000) / 40000, 0), 1) AS t FROM u),
 sd AS (SELECT frame_id, c, alpha, round(stddev_pop(ln(v / gr)), 9) AS was, round(stddev_pop(ln(v * (1 + t * t * (3 - 2 * t) * alpha * (k - 1)) / gr)), 9) AS now FROM st, {_GRID} GROUP BY 1, 2, 3),
 ch AS (SELECT frame_id, c, alpha, {_SIGMA} AS d FROM sd WHERE {_SIGMA} <= 0.08),

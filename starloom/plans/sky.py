@@ -128,7 +128,7 @@ def _moved(px: DataFrame) -> DataFrame:
 
 # an odd shift lies between two pixels of the same colour
 on_px("n14_mosaic_warp", _moved, f", s AS (SELECT frame_id, y + 2 AS y, x - 2 AS x, v / 2 AS v FROM px UNION ALL SELECT frame_id, y + 2, x - 4, v / 2 FROM px) SELECT frame_id, y, x, round(coalesce(sum(v), 0), 3) AS v FROM (SELECT DISTINCT frame_id FROM px) CROSS JOIN range({SIDE}) a(y) CROSS JOIN range({SIDE}) b(x) LEFT JOIN s USING (frame_id, y, x) GROUP BY 1, 2, 3")
-on_px("p12_chroma_after", lambda px: B.debayer(px, block=EDGE).join(C.gains(_stars(px)).select("frame_id", "kr", "kb"), "frame_id").groupBy("frame_id").agg(*(F.round(F.stddev_pop(F.ln(e) - F.ln("g")), 5).alias(n) for n, e in (("was_r", F.col("r")), ("now_r", C.attenuated(F.col("r"), F.col("kr"), 20000.0, 60000.0)), ("was_b", F.col("b")), ("now_b", C.attenuated(F.col("b"), F.col("kb"), 20000.0, 60000.0)))), round6(F.median("g")).alias("green")), f"""{GAINS_SQL}, w AS (SELECT rgb.*, kr, kb, least(greatest((r - 20000) / 40000, 0), 1) AS tr, least(greatest((b - 20000) / 40000, 0), 1) AS tb FROM rgb JOIN g USING (frame_id))
+on_px("p12_chroma_after", lambda px: B.debayer(px).join(C.gains(_stars(px)).select("frame_id", "kr", "kb"), "frame_id").groupBy("frame_id").agg(*(F.round(F.stddev_pop(F.ln(e) - F.ln("g")), 5).alias(n) for n, e in (("was_r", F.col("r")), ("now_r", C.attenuated(F.col("r"), F.col("kr"), 20000.0, 60000.0)), ("was_b", F.col("b")), ("now_b", C.attenuated(F.col("b"), F.col("kb"), 20000.0, 60000.0)))), round6(F.median("g")).alias("green")), f"""{GAINS_SQL}, w AS (SELECT rgb.*, kr, kb, least(greatest((r - 20000) / 40000, 0), 1) AS tr, least(greatest((b - 20000) / 40000, 0), 1) AS tb FROM rgb JOIN g USING (frame_id))
 SELECT frame_id, round(stddev_pop(ln(r) - ln(g)), 5) AS was_r, round(stddev_pop(ln(r * (1 + tr * tr * (3 - 2 * tr) * (kr - 1))) - ln(g)), 5) AS now_r, round(stddev_pop(ln(b) - ln(g)), 5) AS was_b, round(stddev_pop(ln(b * (1 + tb * tb * (3 - 2 * tb) * (kb - 1))) - ln(g)), 5) AS now_b, round(median(g), 6) AS green FROM w GROUP BY 1""")
 
 
@@ -147,4 +147,4 @@ _CHROMA = f"""{RGB_SQL}, l AS (SELECT *, 0.299 * r + 0.587 * g + 0.114 * b AS y_
 s AS (SELECT a.frame_id, a.y, a.x, any_value(a.y_) AS l, any_value(a.r - a.y_) AS cr, any_value(a.b - a.y_) AS cb, avg(b.r - b.y_) AS sr, avg(b.b - b.y_) AS sb {near_sql(2, 'l')}),
 k AS (SELECT s.*, l + cr + CASE WHEN l <= lim THEN 0.7 ELSE 0 END * (sr - cr) AS red, l + cb + CASE WHEN l <= lim THEN 0.7 ELSE 0 END * (sb - cb) AS blue FROM s JOIN q USING (frame_id))
 SELECT frame_id, y, x, round(red, 3) AS r, round((l - 0.299 * red - 0.114 * blue) / 0.587, 3) AS g, round(blue, 3) AS b FROM k"""
-on_px("n19_chroma_denoise", lambda px: B.chroma_denoise(B.debayer(px, block=EDGE), block=EDGE).select("frame_id", "y", "x", *(F.round(c, 3).alias(c) for c in "rgb")), _CHROMA)
+on_px("n19_chroma_denoise", lambda px: B.chroma_denoise(B.debayer(px), block=EDGE).select("frame_id", "y", "x", *(F.round(c, 3).alias(c) for c in "rgb")), _CHROMA)

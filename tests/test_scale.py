@@ -231,3 +231,15 @@ def test_chroma_is_smoothed_in_one_call_of_both_planes(spark, rounds):
             want = luma + d + np.where(luma <= limit, 0.7, 0.0) * (s - d)
             for y, x in zip(*np.nonzero(there), strict=True):
                 assert got[f, y, x][c] == pytest.approx(want[y, x], abs=1e-9)
+
+
+def test_pixels_of_whole_frames_are_dealt_once(spark, monkeypatch):
+    from starloom import catalog
+    from starloom.sources.frames import pixels
+
+    folder, dealt, real = "/root/testdata/sf0.001", [], B.in_groups
+    monkeypatch.setattr(B, "in_groups", lambda df, *a, **k: dealt.append(df) or real(df, *a, **k))
+    found = {n: catalog.queries()[n](spark, folder) for n in ("n1_background_mask", "n2_sobel_energy", "n11_cosmetic", "f16_luminance", "x26_log_chroma", "p8_apply_gains", "n20_post_metrics")}
+    assert len(dealt) == 7 and {d.count() for d in dealt} == {pixels(spark, folder).count()}
+    plan = found["n20_post_metrics"]._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # values come out of the same call as their derivatives
